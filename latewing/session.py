@@ -16,6 +16,12 @@ SETTINGS = {
     # A skewed side is split even if that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Sessions are merged inside each task before the exchange.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Streaming state on local disk with its change log in the checkpoint, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -8,11 +8,12 @@ overwrites it, so a batch that is run again leaves no duplicates. Errors are not
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from latewing.functions.labels import at_threshold
 from latewing.operators.aggregates import prob_stats
 from latewing.operators.models import score_batch
+from latewing.operators.ordered import running
 from latewing.sources.messages import parse_messages
 
 ALERT_SCHEMA = T.StructType([
@@ -94,8 +95,7 @@ def running_metrics(metrics: DataFrame) -> DataFrame:
 
 def producer_metrics(batches: DataFrame) -> DataFrame:
     """Running total over a table with one row per sent batch."""
-    w = Window.orderBy("batch_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return batches.withColumn("total_sent", F.sum("records_in_batch").over(w))
+    return running(batches, [], ["batch_num"], {"total_sent": "records_in_batch"})
 
 
 def recent_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
