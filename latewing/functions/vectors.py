@@ -10,7 +10,7 @@ from latewing.functions.casts import _c
 
 def vec_get(vec, i: int, default: float | None = None) -> Column:
     """Slot ``i``; a missing vector or slot gives ``default``."""
-    v = F.get(vector_to_array(_c(vec)), F.lit(i))
+    v = F.when(_c(vec).isNotNull(), F.get(vector_to_array(_c(vec)), F.lit(i)))
     return v if default is None else F.coalesce(v, F.lit(float(default)))
 
 

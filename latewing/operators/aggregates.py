@@ -149,8 +149,14 @@ def pivot_od(od: DataFrame, dests: Sequence[str], value: str = "avg_delay") -> D
     return od.groupBy("origin").pivot("dest", list(dests)).agg(F.first(value))
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation over the rows that have both values; NULL, not an error, where one of them is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_samp(a, b), F.stddev(x) * F.stddev(y))
+
+
 def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.corr(a, b).alias("corr"))
+    return df.agg(pearson(a, b).alias("corr"))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -159,7 +165,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return f"_{min(i, j)}_{max(i, j)}"
 
     ids = range(len(cols))
-    row = df.agg(*[F.corr(cols[i], cols[j]).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
+    row = df.agg(*[pearson(cols[i], cols[j]).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
     cells = _unpivot(row, [
         F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.nanvl(F.col(pair(i, j)), F.lit(None)).alias("corr"))
         for i in ids for j in ids

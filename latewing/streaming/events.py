@@ -23,11 +23,15 @@ def event_rate(events: DataFrame, width: str = "1 hour", delay: str = "1 hour",
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", key: str = "flight_id"):
-    """Activity sessions of a flight: events no further apart than the gap."""
+    """Activity sessions of a flight: events less than the gap apart.
+
+    Start and end are aggregates, not fields of the window: a later filter on a window field would be pushed below the
+    merging of sessions and cut them.
+    """
     return (
         with_event_time(events, delay).groupBy(F.session_window("ts", gap).alias("w"), key)
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+        .agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("session_start"), F.max("ts").alias("_last"))
+        .select(key, "session_start", (F.col("_last") + F.expr(f"INTERVAL {gap}")).alias("session_end"), "events")
     )
 
 
