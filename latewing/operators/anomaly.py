@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -111,7 +112,7 @@ def inject_anomalies(events: DataFrame, percent: int = 5, drop_kind: str = LANDI
     df = timed(events)
     bucket = md5_bucket(key_text("flight_id"), seed)
     chosen = df.where(bucket < percent).groupBy("flight_id").agg(F.min("us").alias("_first"))
-    stretched = left_lookup(df, cut_lineage(chosen, "chosen"), ["flight_id"]).withColumns({
+    stretched = left_lookup(df, cut_lineage(chosen, "chosen"), ["flight_id"], salt_on=["event_id"]).withColumns({
         "injected": F.when(F.col("_first").isNotNull(), "stretched").when(bucket < 2 * percent, "dropped"),
         "us": F.coalesce(2 * F.col("us") - F.col("_first"), F.col("us")),
     }).drop("_first")
@@ -128,13 +129,13 @@ def _scaler(cols: Sequence[str]):
 def kmeans_outliers(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int = 5, spread: float = 3.0,
                     min_share: float = 0.01, seed: int = 42) -> DataFrame:
     """Cluster, distance to the own centre, and a flag for far flights and for members of tiny clusters."""
-    model = Pipeline(stages=[*_scaler(cols), KMeans(featuresCol="scaled", k=k, seed=seed)]).fit(flights)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.stages[-1].clusterCenters()])
-    own = F.element_at(centres, F.col("prediction") + 1)
-    squares = F.zip_with(vector_to_array("scaled"), own, lambda a, b: (a - b) * (a - b))
-    placed = model.transform(flights).select(
-        "flight_id", F.col("prediction").alias("cluster"),
-        F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("distance"))
+    scaled = Pipeline(stages=_scaler(cols)).fit(flights).transform(flights).select("flight_id", "scaled").persist(
+        StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    try:
+        model = KMeans(featuresCol="scaled", k=k, seed=seed).fit(scaled)
+        placed = cut_lineage(_placed(model, scaled), "clusters")
+    finally:
+        scaled.unpersist()
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     fleet = placed.agg(F.struct(F.avg("distance").alias("m"), F.stddev("distance").alias("s"), F.count("distance").alias("n"))).scalar()
     # One row per cluster, at most k rows.
@@ -143,6 +144,16 @@ def kmeans_outliers(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int =
     return joined.withColumn("outlier", far | (F.col("cluster_size") < min_share * F.col("_f.n"))).drop("_f")
 
 
+def _placed(model, scaled: DataFrame) -> DataFrame:
+    """Cluster and distance to its centre; the centres are k short literal arrays."""
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    own = F.element_at(centres, F.col("prediction") + 1)
+    squares = F.zip_with(vector_to_array("scaled"), own, lambda a, b: (a - b) * (a - b))
+    return model.transform(scaled).select(
+        "flight_id", F.col("prediction").alias("cluster"),
+        F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("distance"))
+
+
 def pca_reconstruction(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int = 3) -> DataFrame:
     """Squared distance of a flight to the plane of the first ``k`` components."""
     model = Pipeline(stages=[*_scaler(cols), PCA(inputCol="scaled", outputCol="main", k=k)]).fit(flights)
@@ -166,7 +177,7 @@ def grid_density(flights: DataFrame, cols: Sequence[str], width: float = 0.5) ->
     for n in names:
         near = near.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
     density = near.groupBy(*names).agg(F.sum("_n").alias("density"))
-    return left_lookup(cells, cut_lineage(density, "density"), names).select("flight_id", "density")
+    return left_lookup(cells, cut_lineage(density, "density"), names, salt_on=["flight_id"]).select("flight_id", "density")
 
 
 # Isolation forest (Liu, Ting, Zhou 2008): random splits isolate outliers in few steps.

@@ -40,12 +40,10 @@ def complete_features(raw: DataFrame) -> DataFrame:
     return typed_features(raw).na.drop("any", subset=[*NUMERIC_FEATURES, *CATEGORICAL_FEATURES])
 
 
-def string_indexers(cols: Sequence[str]) -> list[StringIndexer]:
-    """Most frequent category first, ties alphabetical, unseen values one extra index."""
-    return [
-        StringIndexer(inputCol=c, outputCol=f"{c}_indexed", handleInvalid="keep", stringOrderType="frequencyDesc")
-        for c in cols
-    ]
+def string_indexer(cols: Sequence[str]) -> StringIndexer:
+    """Most frequent category first, ties alphabetical, unseen values one extra index; all columns in one pass."""
+    return StringIndexer(inputCols=list(cols), outputCols=[f"{c}_indexed" for c in cols], handleInvalid="keep",
+                         stringOrderType="frequencyDesc")
 
 
 def hash_stage(col: str, buckets: int = 10_000) -> SQLTransformer:
@@ -69,9 +67,9 @@ def fit_encoder(
 ) -> PipelineModel:
     """Indexers and assembler. A column with too many categories for an index is hashed instead."""
     sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in categorical]).first()
-    stages = [
-        string_indexers([c])[0] if sizes[c] <= max_indexed else hash_stage(c) for c in categorical
-    ]
+    small = [c for c in categorical if sizes[c] <= max_indexed]
+    stages = [string_indexer(small)] if small else []
+    stages += [hash_stage(c) for c in categorical if c not in small]
     return Pipeline(stages=[*stages, assembler(numeric, categorical)]).fit(df)
 
 
@@ -81,4 +79,4 @@ def feature_names(model: PipelineModel) -> list[str]:
 
 def index_sizes(model: PipelineModel) -> list[int]:
     """Categories per indexer, counting the extra one for unseen values."""
-    return [len(s.labels) + 1 for s in model.stages if hasattr(s, "labelsArray")]
+    return [len(labels) + 1 for s in model.stages if hasattr(s, "labelsArray") for labels in s.labelsArray]

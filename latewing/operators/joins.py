@@ -22,14 +22,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 
 def left_lookup(
-    fact: DataFrame, dim: DataFrame, keys: Sequence[str], salts: int = SALTS, max_rows: int = BROADCAST_ROWS
+    fact: DataFrame, dim: DataFrame, keys: Sequence[str], salts: int = SALTS, max_rows: int = BROADCAST_ROWS,
+    salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left equi-join to a table with one row per key: broadcast if measured small, else salted.
 
-    The salted way copies the dimension ``salts`` times and spreads each fact key over as many tasks.
+    The salted way copies the dimension ``salts`` times and spreads each fact key over as many tasks, by a hash of the
+    ``salt_on`` columns (all columns if not given), which is the same when a task is run again.
     """
     if fits_broadcast(dim, max_rows):
         return fact.join(F.broadcast(dim), list(keys), "left")
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*(salt_on or fact.columns)), F.lit(salts)).cast("int"))
     return salted.join(salted_dim, [*keys, "_salt"], "left").drop("_salt")

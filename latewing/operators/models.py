@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -22,6 +23,9 @@ DT_PARAMS = dict(maxDepth=15, minInstancesPerNode=5, minInfoGain=0.0, seed=42)
 RF_PARAMS = dict(numTrees=50, maxDepth=15, minInstancesPerNode=5, subsamplingRate=0.8,
                  featureSubsetStrategy="sqrt", seed=42)
 MIN_BINS = 400
+# Memory for the statistics of one pass: with many bins the default forces a pass over the data per few nodes.
+TREE_MEMORY_MB = 512
+ROWS_PER_PART = 1_000_000
 
 
 @dataclass
@@ -34,14 +38,17 @@ def _classifier(kind: str, bins: int, params: dict):
     if kind == "lr":
         return LogisticRegression(**{**LR_PARAMS, **params})
     tree = {"dt": (DecisionTreeClassifier, DT_PARAMS), "rf": (RandomForestClassifier, RF_PARAMS)}[kind]
-    return tree[0](**{"maxBins": bins, **tree[1], **params})
+    return tree[0](**{"maxBins": bins, "maxMemoryInMB": TREE_MEMORY_MB, **tree[1], **params})
 
 
 def train_models(train: DataFrame, kinds=("lr", "dt", "rf"), **params: dict) -> dict[str, Trained]:
     """Fit the encoder once, then each classifier on the encoded rows; ``params`` maps a kind to overrides."""
     encoder = fit_encoder(train)
     bins = max([MIN_BINS, *index_sizes(encoder)])
-    encoded = encoder.transform(train).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    # Training passes over the rows many times, so they are spread over all cores and kept; lost parts are recomputed.
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, math.ceil(train.count() / ROWS_PER_PART))
+    encoded = encoder.transform(train).select("features", "label").repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         out = {}
         for kind in kinds:

@@ -11,8 +11,11 @@ from latewing.operators.ordered import CHUNK_ROWS, running
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(*by, column, value, n)`` over the non-NULL values of several numeric columns, in one pass."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    rows = df.select(*by, F.inline(pairs))
+    if len(columns) == 1:
+        rows = df.select(*by, F.lit(columns[0]).alias("column"), F.col(columns[0]).cast("double").alias("value"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+        rows = df.select(*by, F.inline(pairs))
     return rows.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*by, "column", "value").agg(
         F.count(F.lit(1)).alias("n"))
 

@@ -120,7 +120,7 @@ def markov_likelihood(events: DataFrame, rows: int | None = None) -> DataFrame:
         steps(events, ["event_type"], rows).where(F.col("prev_event_type").isNotNull())
         .groupBy("flight_id", "prev_event_type", "event_type").agg(F.count(F.lit(1)).alias("c"))
     )
-    joined = left_lookup(own, probs, ["prev_event_type", "event_type"])
+    joined = left_lookup(own, probs, ["prev_event_type", "event_type"], salt_on=["flight_id"])
     total = F.sum(F.col("c") * F.ln("prob"))
     return joined.groupBy("flight_id").agg(
         F.sum("c").alias("steps"), total.alias("log_likelihood"), (total / F.sum("c")).alias("mean_log_prob"))
@@ -326,7 +326,7 @@ def peer_stats(flights: DataFrame, value: str, peer: Sequence[str]) -> DataFrame
     if not peer:
         fleet = flights.agg(F.struct(*cols).alias("s")).scalar()
         return flights.withColumn("_s", fleet).select(*flights.columns, "_s.*")
-    return left_lookup(flights, cut_lineage(flights.groupBy(*peer).agg(*cols), "peers"), peer)
+    return left_lookup(flights, cut_lineage(flights.groupBy(*peer).agg(*cols), "peers"), peer, salt_on=["flight_id"])
 
 
 def peer_zscore(flights: DataFrame, value: str, peer: Sequence[str] = (), out: str = "z") -> DataFrame:
@@ -346,7 +346,7 @@ def percent_rank(flights: DataFrame, value: str, out: str = "pct_rank", rows: in
     ranked = running(value_counts(flights, [value]), [], ["value"], {"_cum": "n"}, {"_all": "n"}, rows, chunk_rows)
     share = F.coalesce(F.try_divide(F.col("_cum") - F.col("n"), F.col("_all") - 1), F.lit(0.0))
     table = ranked.select(F.col("value").alias(value), share.alias(out))
-    return left_lookup(flights, cut_lineage(table, "ranks"), [value])
+    return left_lookup(flights, cut_lineage(table, "ranks"), [value], salt_on=["flight_id"])
 
 
 def starts(events: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import features, metrics, models
@@ -19,21 +18,28 @@ NAMES = {"lr": "Logistic Regression", "dt": "Decision Tree", "rf": "Random Fores
 
 
 @lru_cache(maxsize=8)
-def _training(app_id: str, sf: str):
+def _parts(app_id: str, sf: str) -> tuple[DataFrame, DataFrame]:
     spark = SparkSession.getActiveSession()
-    rows = cut_lineage(features.training_rows(flights(spark, sf), FLIGHT_KEY))
-    train, test = split_random(rows, 0.8, FLIGHT_KEY)
-    return train, test, models.train_models(train)
+    rows = cut_lineage(features.training_rows(flights(spark, sf), FLIGHT_KEY), "training")
+    return split_random(rows, 0.8, FLIGHT_KEY)
 
 
-def training(spark: SparkSession, sf: str):
-    """``(train, test, {kind: Trained})``."""
-    return _training(spark.sparkContext.applicationId, sf)
+@lru_cache(maxsize=24)
+def _fitted(app_id: str, sf: str, kind: str) -> models.Trained:
+    return models.train_models(_parts(app_id, sf)[0], (kind,))[kind]
+
+
+def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows."""
+    return _parts(spark.sparkContext.applicationId, sf)
+
+
+def fitted(spark: SparkSession, sf: str, kind: str) -> models.Trained:
+    return _fitted(spark.sparkContext.applicationId, sf, kind)
 
 
 def test_scores(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    _, test, fitted = training(spark, sf)
-    return models.predict(fitted[kind].model, test)
+    return models.predict(fitted(spark, sf, kind).model, parts(spark, sf)[1])
 
 
 def _rank_sql(col: str) -> str:
@@ -44,7 +50,7 @@ def _rank_sql(col: str) -> str:
 @query("ml_string_index", " UNION ALL ".join(f"({_rank_sql(c)})" for c in CATEGORICAL_FEATURES), "flights")
 def _(spark, sf):
     df = flights(spark, sf)
-    coded = Pipeline(stages=features.string_indexers(CATEGORICAL_FEATURES)).fit(df).transform(df)
+    coded = features.string_indexer(CATEGORICAL_FEATURES).fit(df).transform(df)
     parts = [
         coded.groupBy(F.col(c).alias("value"), F.col(f"{c}_indexed").alias("idx")).agg(F.count(F.lit(1)).alias("count"))
         .withColumn("column", F.lit(c)) for c in CATEGORICAL_FEATURES
@@ -106,55 +112,52 @@ def _(spark, sf):
 
 @query("ml_feature_importance")
 def _(spark, sf):
-    return models.feature_importance(spark, training(spark, sf)[2]["rf"].model)
+    return models.feature_importance(spark, fitted(spark, sf, "rf").model)
 
 
 @query("topk_feature_importance")
 def _(spark, sf):
-    return models.top_importance(models.feature_importance(spark, training(spark, sf)[2]["rf"].model), 5)
+    return models.top_importance(models.feature_importance(spark, fitted(spark, sf, "rf").model), 5)
 
 
 @query("ml_compare_models")
 def _(spark, sf):
-    fitted = training(spark, sf)[2]
-    return metrics.compare_models({NAMES[k]: test_scores(spark, sf, k) for k in fitted},
-                                  {NAMES[k]: t.seconds for k, t in fitted.items()})
+    return metrics.compare_models({name: test_scores(spark, sf, k) for k, name in NAMES.items()},
+                                  {name: fitted(spark, sf, k).seconds for k, name in NAMES.items()})
 
 
 @query("ml_train_time")
 def _(spark, sf):
-    fitted = training(spark, sf)[2]
-    return metrics.model_row(NAMES["rf"], test_scores(spark, sf, "rf"), fitted["rf"].seconds).select(
+    return metrics.model_row(NAMES["rf"], test_scores(spark, sf, "rf"), fitted(spark, sf, "rf").seconds).select(
         "model", "train_seconds")
 
 
 @query("ml_overfit_gap")
 def _(spark, sf):
-    train, test, fitted = training(spark, sf)
+    train, _ = parts(spark, sf)
     return metrics.overfit_gap({
-        NAMES[k]: (models.predict(t.model, train), models.predict(t.model, test)) for k, t in fitted.items()})
+        name: (models.predict(fitted(spark, sf, k).model, train), test_scores(spark, sf, k)) for k, name in NAMES.items()})
 
 
 @query("score_batch", "SELECT count(*) AS scored_rows FROM flights", "flights")
 def _(spark, sf):
     raw = flights(spark, sf).select(*[F.col(c).cast("string") for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)])
-    out = models.score_batch(training(spark, sf)[2]["rf"].model, raw)
+    out = models.score_batch(fitted(spark, sf, "rf").model, raw)
     return out.where(F.col("p").isNotNull()).agg(F.count(F.lit(1)).alias("scored_rows"))
 
 
 @query("score_batch_distribution")
 def _(spark, sf):
     raw = flights(spark, sf).select(*[F.col(c).cast("string") for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)])
-    out = models.score_batch(training(spark, sf)[2]["rf"].model, raw)
+    out = models.score_batch(fitted(spark, sf, "rf").model, raw)
     return out.groupBy("prediction", "flagged").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _saved(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the model at hand next to those of its saved and reloaded copy, test rows by agreement."""
-    _, test, fitted = training(spark, sf)
     path = run_folder(spark, "model")
-    models.save_model(fitted["rf"].model, path)
-    mine = models.predict(fitted["rf"].model, test)
+    models.save_model(fitted(spark, sf, "rf").model, path)
+    mine = test_scores(spark, sf, "rf")
     both = models.predict(models.load_model(path), mine.withColumnRenamed("p", "p_mine").withColumnRenamed(
         "prediction", "prediction_mine"))
     same = (F.col("p") == F.col("p_mine")) & (F.col("prediction") == F.col("prediction_mine"))

@@ -10,7 +10,7 @@ from latewing.operators import ranking
 from latewing.operators.features import complete_features
 from latewing.plans.files import message_sql, route_messages
 from latewing.plans.flights import KEY, flights
-from latewing.plans.learning import training
+from latewing.plans.learning import fitted
 from latewing.plans.registry import query
 from latewing.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from latewing.session import run_folder
@@ -68,7 +68,7 @@ def _(spark, sf):
 def _scored_stream(app_id: str, sf: str) -> str:
     spark = SparkSession.getActiveSession()
     out = run_folder(spark, "scoring")
-    model = training(spark, sf)[2]["rf"].model
+    model = fitted(spark, sf, "rf").model
     finish(scoring.start_scoring(message_stream(spark, sf), model, out, f"{out}/checkpoint", available_now=True))
     return out
 

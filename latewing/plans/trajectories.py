@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import anomaly as an, models, trajectory as tr
 from latewing.operators.aggregates import corr_matrix
-from latewing.plans.learning import training
+from latewing.plans.learning import fitted, parts
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, EXPECTED_EVENTS, NUMERIC_FEATURES
 from latewing.session import cut_lineage
@@ -298,14 +300,21 @@ FEATS = f"""{S}, feats AS (SELECT flight_id, count(*) AS events, (max(us) - min(
   count(*) FILTER (event_type = 'purchase') AS landings, count(DISTINCT event_type) AS kinds FROM s GROUP BY 1)"""
 
 
+@lru_cache(maxsize=8)
+def _feats(app_id: str, sf: str) -> DataFrame:
+    spark = SparkSession.getActiveSession()
+    return cut_lineage(an.flight_features(events(spark, sf), n(spark, sf)), "feats")
+
+
 def feats(spark, sf) -> DataFrame:
-    return an.flight_features(events(spark, sf), n(spark, sf))
+    """The flight feature table, written once per session: every detector reads it several times."""
+    return _feats(spark.sparkContext.applicationId, sf)
 
 
 @query("p_flight_features", f"""WITH {FEATS} SELECT flight_id, events, duration_s, mean_gap_s, max_gap_s, round(distance_km, 3) AS distance_km,
   max_alt, round(mean_alt, 4) AS mean_alt, round(std_alt, 4) AS std_alt, take_offs, landings, CAST(kinds AS INT) AS kinds FROM feats""", V)
 def _(spark, sf):
-    return feats(spark, sf).withColumns({
+    return an.flight_features(events(spark, sf), n(spark, sf)).withColumns({
         "distance_km": F.round("distance_km", 3), "mean_alt": F.round("mean_alt", 4), "std_alt": F.round("std_alt", 4)})
 
 
@@ -330,7 +339,7 @@ def _(spark, sf):
 
 @query("p_corr_prune")
 def _(spark, sf):
-    rows = cut_lineage(feats(spark, sf), "feats")
+    rows = feats(spark, sf)
     kept = an.corr_prune(rows, an.FEATURES, 0.8)
     return rows.select("flight_id", *kept)
 
@@ -367,17 +376,17 @@ def _(spark, sf):
 
 @query("p_kmeans_outliers")
 def _(spark, sf):
-    return an.kmeans_outliers(cut_lineage(feats(spark, sf), "feats"))
+    return an.kmeans_outliers(feats(spark, sf))
 
 
 @query("p_isolation_forest")
 def _(spark, sf):
-    return an.isolation_forest(cut_lineage(feats(spark, sf), "feats"))
+    return an.isolation_forest(feats(spark, sf))
 
 
 @query("p_pca_recon")
 def _(spark, sf):
-    return an.pca_reconstruction(cut_lineage(feats(spark, sf), "feats"))
+    return an.pca_reconstruction(feats(spark, sf))
 
 
 @query("p_knn_density", f"""WITH {FEATS}, z AS (SELECT flight_id, floor((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER () / 0.5) AS x,
@@ -397,8 +406,7 @@ def _(spark, sf):
 
 @query("p_permutation_importance")
 def _(spark, sf):
-    _, test, fitted = training(spark, sf)
-    model = fitted["rf"].model
+    model, test = fitted(spark, sf, "rf").model, parts(spark, sf)[1]
     cols = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
     return an.permutation_importance(lambda df: models.predict(model, df), test, cols, FLIGHT_KEY,
                                      table_rows(spark, sf, "lineitem"))
