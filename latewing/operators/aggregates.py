@@ -11,6 +11,7 @@ from latewing.functions import labels
 from latewing.functions.text import period_padded
 from latewing.operators.ordered import CHUNK_ROWS
 from latewing.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from latewing.session import cut_lineage
 
 
 def _n(cond: Column | None = None) -> Column:
@@ -66,28 +67,37 @@ def max_raw_vs_clipped(df: DataFrame) -> DataFrame:
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def _counts_once(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Value counts, written out: the data is read once and everything else works on distinct values."""
+    return cut_lineage(value_counts(df, [col], by), "counts")
+
+
 def summary_stats(df: DataFrame, col: str, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Mean, sample deviation, minimum, quartiles and maximum in one row."""
-    quartiles = exact_quantiles(df, [col], QUARTILES, rows=rows, chunk_rows=chunk_rows)
-    base = df.agg(F.mean(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"),
-                  F.max(col).alias("max"))
-    return base.withColumn("_q", quartiles.select(F.struct(*QUARTILES)).scalar()).select(
+    """Mean, sample deviation, minimum, quartiles and maximum in one row, from one pass over the data."""
+    counts = _counts_once(df, col)
+    quartiles = quantiles_of_counts(counts, QUARTILES, rows=rows, chunk_rows=chunk_rows).select(F.struct(*QUARTILES))
+    mean = counts.agg(F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n"))).scalar()
+    off = F.col("value") - F.col("_m")
+    base = counts.withColumn("_m", mean).agg(
+        F.max("_m").alias("mean"), F.sqrt(F.try_divide(F.sum(off * off * F.col("n")), F.sum("n") - 1)).alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    return base.withColumn("_q", quartiles.scalar()).select(
         "mean", "std", "min", *[F.col(f"_q.{q}").alias(q) for q in QUARTILES], "max")
 
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, rows: int | None = None,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Quartiles, upper fence and the rows above it, all from one value-count table."""
-    counts = value_counts(df, [col])
+    """Quartiles, upper fence, and the known values above it, from one pass over the data."""
+    counts = _counts_once(df, col)
     fence = quantiles_of_counts(counts, {"q1": 0.25, "q3": 0.75}, rows=rows, chunk_rows=chunk_rows).select(
         F.struct("q1", "q3").alias("f"))
-    total = df.agg(_n()).scalar()
-    above = F.coalesce(F.sum(F.when(F.col("value") > F.col("_f.q3") + k * (F.col("_f.q3") - F.col("_f.q1")),
-                                    F.col("n"))), F.lit(0))
+    upper = F.col("_f.q3") + k * (F.col("_f.q3") - F.col("_f.q1"))
+    above = F.coalesce(F.sum(F.when(F.col("value") > upper, F.col("n"))), F.lit(0))
     return (
         counts.withColumn("_f", fence.scalar())
-        .agg(F.max("_f.q1").alias("q1"), F.max("_f.q3").alias("q3"), above.alias("outliers"))
-        .withColumns({"iqr": F.col("q3") - F.col("q1"), "total": total})
+        .agg(F.max("_f.q1").alias("q1"), F.max("_f.q3").alias("q3"), above.alias("outliers"),
+             F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+        .withColumn("iqr", F.col("q3") - F.col("q1"))
         .select("q1", "q3", "iqr", (F.col("q3") + k * F.col("iqr")).alias("upper"), "outliers", "total",
                 (F.col("outliers") * F.lit(100.0) / F.nullif(F.col("total"), F.lit(0))).alias("pct"))
     )
@@ -149,23 +159,24 @@ def pivot_od(od: DataFrame, dests: Sequence[str], value: str = "avg_delay") -> D
     return od.groupBy("origin").pivot("dest", list(dests)).agg(F.first(value))
 
 
-def pearson(a: str, b: str) -> Column:
-    """Correlation over the rows that have both values; NULL, not an error, where one of them is constant."""
-    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return F.try_divide(F.covar_samp(a, b), F.stddev(x) * F.stddev(y))
+def _pearson(a: str, b: str) -> Column:
+    """NULL, not an error, where one of the columns is constant."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev(a) * F.stddev(b))
 
 
 def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(pearson(a, b).alias("corr"))
+    return df.na.drop(subset=[a, b]).agg(_pearson(a, b).alias("corr"))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long Pearson matrix ``(a, b, corr, strength)`` from one pass over all rows; NULL where a column is constant."""
+    """Long Pearson matrix ``(a, b, corr, strength)`` over complete rows, in one pass: a deviation per column and a
+    covariance per pair."""
     def pair(i: int, j: int) -> str:
         return f"_{min(i, j)}_{max(i, j)}"
 
     ids = range(len(cols))
-    row = df.agg(*[pearson(cols[i], cols[j]).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
+    row = df.select(*cols).na.drop().agg(*[
+        _pearson(cols[i], cols[j]).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
     cells = _unpivot(row, [
         F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.nanvl(F.col(pair(i, j)), F.lit(None)).alias("corr"))
         for i in ids for j in ids
@@ -195,8 +206,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None) ->
 
 def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5, rows: int | None = None,
               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Quartiles, whisker ends and outlier count per group, all from one table of value counts."""
-    counts = value_counts(df, [col], [by])
+    """Quartiles, whisker ends and outlier count per group, from one pass over the data."""
+    counts = _counts_once(df, col, [by])
     q = quantiles_of_counts(counts, QUARTILES, [by], rows, chunk_rows).drop("column", "total")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - k * iqr, F.col("q3") + k * iqr)

@@ -10,13 +10,14 @@ and the plain window is used. All results are exact on both ways.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import ceil, isqrt
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 CHUNK_ROWS = 1_000_000   # rows one window task may hold
 MAX_PIECES = 16_384      # border values kept in the plan
 PER_PIECE = 16           # sampled rows per border
+LEVELS = 3               # steps of the border search
 
 _CHUNK, _POS, _N = "_chunk", "_pos", "_n"
 
@@ -27,7 +28,7 @@ def with_chunk(df: DataFrame, cols: Sequence[str], rows: int, chunk_rows: int =
     ``rows`` may be an upper bound. Columns must be comparable; tuples that are equal share a range.
     """
     pieces = min(MAX_PIECES, ceil(rows / chunk_rows) + 1)
-    width = max(2, isqrt(pieces))
+    width = max(2, ceil(pieces ** (1 / LEVELS)))
     # Hash sample of about PER_PIECE rows per piece: the same rows whatever the partitioning.
     grain = 1 << 30
     keep = max(1, min(grain, round(grain * pieces * PER_PIECE / max(rows, 1))))
@@ -36,21 +37,21 @@ def with_chunk(df: DataFrame, cols: Sequence[str], rows: int, chunk_rows: int =
         df.where(F.pmod(F.xxhash64(*cols), F.lit(grain)) < keep).select(tuple_col.alias("t")).distinct()
         .agg(F.sort_array(F.collect_list("t")).alias("a"))
     )
-    fine = F.filter("a", lambda _, i: (i + 1) % PER_PIECE == 0)
-    borders = (
-        sample.select(fine.alias("fine"))
-        .select(F.struct("fine", F.filter("fine", lambda _, i: (i + 1) % width == 0).alias("coarse")).alias("b"))
-        .scalar()
-    )
-    # Two short scans instead of one over all borders.
-    coarse = F.size(F.filter(F.col("_b.coarse"), lambda x: x <= tuple_col))
-    near = F.slice(F.col("_b.fine"), F.col("_skip") + 1, F.lit(width))
-    return (
-        df.withColumn("_b", borders)
-        .withColumn("_skip", coarse * width)
-        .withColumn(_CHUNK, F.col("_skip") + F.size(F.filter(near, lambda x: x <= tuple_col)))
-        .drop("_b", "_skip")
-    )
+    # All borders, every width-th, every width²-th …: a search looks at a few short slices instead of all borders.
+    def each(n: int) -> Column:
+        return F.filter("a", lambda _, i: (i + 1) % n == 0)
+
+    levels = [f"l{k}" for k in range(LEVELS)]
+    # The borders are few by construction. As JSON they fold into one literal of the plan, the same for every branch;
+    # a subquery's value would have to be carried through the rows. Any values will do as borders, so nothing is lost.
+    text = sample.select(F.to_json(F.struct(*[each(PER_PIECE * width ** k).alias(n) for k, n in enumerate(levels)]))).first()[0]
+    element = T.StructType([T.StructField(c, df.schema[c].dataType) for c in cols])
+    borders = F.from_json(F.lit(text), T.StructType([T.StructField(n, T.ArrayType(element)) for n in levels]))
+    df = df.withColumn(_CHUNK, F.size(F.filter(borders[levels[-1]], lambda x: x <= tuple_col)))
+    for name in reversed(levels[:-1]):
+        near = F.slice(borders[name], F.col(_CHUNK) * width + 1, F.lit(width))
+        df = df.withColumn(_CHUNK, F.col(_CHUNK) * width + F.size(F.filter(near, lambda x: x <= tuple_col)))
+    return df
 
 
 def windowed(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from latewing.functions.geo import bearing_deg, haversine_km, turn_deg
 from latewing.operators.joins import left_lookup
@@ -104,13 +104,12 @@ def bad_order(events: DataFrame, illegal: Sequence[tuple[str, str]], rows: int |
 
 
 def transition_probabilities(events: DataFrame, rows: int | None = None) -> DataFrame:
-    """``(prev_event_type, event_type, n, prob)``; totals per type come from the pair counts."""
+    """``(prev_event_type, event_type, n, prob)``; the totals per type are summed over the short table of pair counts."""
     pairs = (
         steps(events, ["event_type"], rows).where(F.col("prev_event_type").isNotNull())
         .groupBy("prev_event_type", "event_type").agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = pairs.groupBy("prev_event_type").agg(F.sum("n").alias("_total"))
-    return pairs.join(totals, "prev_event_type").withColumn("prob", F.col("n") / F.col("_total")).drop("_total")
+    return pairs.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("prev_event_type")))
 
 
 def markov_likelihood(events: DataFrame, rows: int | None = None) -> DataFrame:

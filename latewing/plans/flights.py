@@ -12,7 +12,7 @@ from latewing.operators import aggregates as agg, clean, dims, ranking, sampling
 from latewing.operators.quantiles import exact_quantiles
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, MONTH_NAMES, NUMERIC_FEATURES, WEEKDAY_NAMES
-from latewing.session import run_folder
+from latewing.session import cut_lineage, run_folder
 from latewing.sources import views
 from latewing.sources.files import read_parquet, union_by_name, write_parquet
 from latewing.sources.views import FLIGHT_KEY, table, table_rows
@@ -227,7 +227,7 @@ JOIN picked p USING (month, day_of_month, day_of_week, crs_dep_time, distance)
 LEFT JOIN picked q ON f.month = q.month AND f.day_of_month = q.day_of_month AND f.day_of_week = q.day_of_week
   AND f.distance = q.distance""", ("flights", "flight_scores"))
 def _(spark, sf):
-    preds = picked(spark, sf)
+    preds = cut_lineage(picked(spark, sf), "picked")
     found = dims.join_pred_to_fact(flights(spark, sf), preds.select(*PRED_KEYS), PRED_KEYS).select(
         "month", "day_of_month", "day_of_week", "distance", "origin", "dest", "arr_delay")
     return dims.join_attach_prob(found, preds, ["month", "day_of_month", "day_of_week", "distance"])

@@ -98,12 +98,12 @@ def _(spark, sf):
   FROM s)
 SELECT flight_id, max(altitude) AS max_alt, round(avg(altitude), 4) AS mean_alt, round(stddev_samp(altitude), 4) AS std_alt,
   round(max(rate) FILTER (rate > 0), 4) AS max_climb_per_min, round(min(rate) FILTER (rate < 0), 4) AS max_descent_per_min,
-  round(avg(abs(rate)), 4) AS mean_abs_rate_per_min, round(var_samp(altitude) FILTER (event_type = 'view'), 2) AS cruise_var
+  round(avg(abs(rate)), 4) AS mean_abs_rate_per_min, round(stddev_samp(altitude) FILTER (event_type = 'view'), 4) AS cruise_std
 FROM x GROUP BY 1""", V)
 def _(spark, sf):
     out = tr.altitude_profile(events(spark, sf), n(spark, sf))
     return out.select("flight_id", "max_alt", *[r(c) for c in (
-        "mean_alt", "std_alt", "max_climb_per_min", "max_descent_per_min", "mean_abs_rate_per_min")], r("cruise_var", 2))
+        "mean_alt", "std_alt", "max_climb_per_min", "max_descent_per_min", "mean_abs_rate_per_min")], r(F.sqrt("cruise_var"), 4, "cruise_std"))
 
 
 @query("p_fl_crossings", f"WITH {S} SELECT flight_id, " + ", ".join(
@@ -415,7 +415,7 @@ def _(spark, sf):
 def _period(e: DataFrame, first: bool, rows: int) -> DataFrame:
     cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
     part = e.where(F.col("ts") < cut) if first else e.where(F.col("ts") >= cut)
-    marked = an.rule_flags(an.flight_features(part, rows), 0.9, rows=rows)
+    marked = an.rule_flags(cut_lineage(an.flight_features(part, rows), "period"), 0.9, rows=rows)
     return marked.select("flight_id", F.col("long_duration").alias("flag"))
 
 
