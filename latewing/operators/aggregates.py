@@ -204,6 +204,23 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None) ->
         (F.first("_s.lo") + (F.col("bin") + 1) * F.first(width)).alias("hi"), _n().alias("count"))
 
 
+def histograms(df: DataFrame, cols: Sequence[str], bins: int = 30, by: str | None = None) -> DataFrame:
+    """Histograms of several columns, ``(column, [by,] bin, lo, hi, count)``: one pass for all ranges, one for all counts."""
+    span = df.agg(F.struct(*[
+        F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in cols]).alias("s"))
+    cells = df.withColumn("_s", span.scalar()).select(*([by] if by else []), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"), F.col(f"_s.{c}.lo").alias("l"),
+                 ((F.col(f"_s.{c}.hi") - F.col(f"_s.{c}.lo")) / float(bins)).alias("w")) for c in cols])))
+    raw = F.when(F.col("w") == 0, F.lit(0)).otherwise(F.floor((F.col("v") - F.col("l")) / F.nullif(F.col("w"), F.lit(0.0))))
+    keys = ["column", by, "bin"] if by else ["column", "bin"]
+    return (
+        cells.where(F.col("v").isNotNull()).withColumn("bin", F.least(raw, F.lit(bins - 1)).cast("int"))
+        .groupBy(*keys, "l", "w").agg(_n().alias("count"))
+        .select(*keys, (F.col("l") + F.col("bin") * F.col("w")).alias("lo"),
+                (F.col("l") + (F.col("bin") + 1) * F.col("w")).alias("hi"), "count")
+    )
+
+
 def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5, rows: int | None = None,
               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Quartiles, whisker ends and outlier count per group, from one pass over the data."""

@@ -296,7 +296,7 @@ def permutation_importance(
         hashed, [], ["_h", *key], lambda w: {f"_d_{c}": F.coalesce(F.lag(c).over(w), F.col(c)) for c in cols},
         back=1, rows=rows, chunk_rows=chunk_rows)
     shuffled = cut_lineage(donors, "shuffled")
-    base = auc_roc(predict(rows_df), rows).scalar()
+    base = F.lit(auc_roc(predict(rows_df), rows).first()[0]).cast("double")
     parts = []
     for c in cols:
         worse = predict(shuffled.withColumn(c, F.col(f"_d_{c}")).select(*rows_df.columns))

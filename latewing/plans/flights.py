@@ -482,6 +482,16 @@ def _(spark, sf):
         {"lo": F.round("lo", 4), "hi": F.round("hi", 4)})
 
 
+SHAPES = ("distance", "crs_dep_time", "crs_arr_time", "crs_elapsed_time", "month", "day_of_week")
+
+
+@query("agg_histogram_features", " UNION ALL ".join(
+    f"(SELECT '{c}' AS \"column\", * FROM ({_hist_sql('flights', c, 30, 'arr_del15')}))" for c in SHAPES), "flights")
+def _(spark, sf):
+    return agg.histograms(flights(spark, sf), SHAPES, 30, "arr_del15").withColumns(
+        {"lo": F.round("lo", 4), "hi": F.round("hi", 4)})
+
+
 @query("agg_box_stats", """WITH q AS (SELECT op_unique_carrier, quantile_disc(arr_delay_clipped, 0.25) AS q1,
   quantile_disc(arr_delay_clipped, 0.5) AS median, quantile_disc(arr_delay_clipped, 0.75) AS q3 FROM clean GROUP BY 1),
 x AS (SELECT c.op_unique_carrier, q1, median, q3, arr_delay_clipped AS v,

@@ -6,6 +6,7 @@ from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from latewing.functions.vectors import vec_get
 from latewing.operators import features, metrics, models
 from latewing.operators.sampling import split_random
 from latewing.plans.flights import SAMPLE_TEXT, _bucket_sql, flights
@@ -38,8 +39,14 @@ def fitted(spark: SparkSession, sf: str, kind: str) -> models.Trained:
     return _fitted(spark.sparkContext.applicationId, sf, kind)
 
 
+@lru_cache(maxsize=24)
+def _scores(app_id: str, sf: str, kind: str) -> DataFrame:
+    return cut_lineage(models.predict(_fitted(app_id, sf, kind).model, _parts(app_id, sf)[1]), "scores")
+
+
 def test_scores(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    return models.predict(fitted(spark, sf, kind).model, parts(spark, sf)[1])
+    """Scored test rows, written once: several metrics read them."""
+    return _scores(spark.sparkContext.applicationId, sf, kind)
 
 
 def _rank_sql(col: str) -> str:
@@ -72,6 +79,14 @@ def _(spark, sf):
         F.round(F.sum(F.get("features_array", F.lit(i))), 2).alias(n) for i, n in enumerate(SLOTS)])
 
 
+@query("vec_get", "SELECT l_orderkey, l_partkey, l_linenumber, distance, CAST(month AS DOUBLE) AS month, 0.0::DOUBLE AS absent FROM flights",
+       "flights")
+def _(spark, sf):
+    df = features.assembler(["month", "distance"], []).transform(flights(spark, sf))
+    return df.select("l_orderkey", "l_partkey", "l_linenumber", vec_get("features", 1).alias("distance"),
+                     vec_get("features", 0).alias("month"), vec_get("features", 9, 0.0).alias("absent"))
+
+
 @query("ml_decode_features", f"SELECT {', '.join(f'CAST(trunc({c}) AS INT) AS {c}' for c in NUMERIC_FEATURES)}, arr_del15 AS label "
        "FROM flights WHERE arr_del15 IS NOT NULL", "flights")
 def _(spark, sf):

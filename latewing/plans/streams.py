@@ -64,6 +64,25 @@ def _(spark, sf):
         *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
 
 
+@query("st_output_mode", f"SELECT {message_sql()} FROM flights", "flights")
+def _(spark, sf):
+    """Rows without aggregation pass in update mode as they do in append mode."""
+    out = run_folder(spark, "update")
+    finish(ev.start_upsert(parse_messages(message_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/table").drop("batch_id")
+
+
+@query("st_start_offsets", f"SELECT {KEY} FROM flights", "flights")
+def _(spark, sf):
+    """Two runs over a growing folder: the second one starts where the checkpoint of the first one ends."""
+    rows = flights(spark, sf).select(*FLIGHT_KEY)
+    source, out = run_folder(spark, "growing"), run_folder(spark, "resumed")
+    for part in (rows.where("cancelled = 1"), rows.where("cancelled = 0")):
+        part.write.mode("append").parquet(source)
+        finish(ev.start_append(scoring.replay(spark, source, rows.schema, FILES_PER_TRIGGER), f"{out}/table", f"{out}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{out}/table")
+
+
 @lru_cache(maxsize=8)
 def _scored_stream(app_id: str, sf: str) -> str:
     spark = SparkSession.getActiveSession()
