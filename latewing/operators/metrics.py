@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.operators.ordered import CHUNK_ROWS, running
+from latewing.operators.ordered import CHUNK_ROWS, known_size, running
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -43,14 +43,15 @@ def _by_score(scored: DataFrame) -> DataFrame:
 
 def auc_roc(scored: DataFrame, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs in right order, ties half."""
-    ranked = running(_by_score(scored), [], ["p"], {"below": "neg"}, rows=rows, chunk_rows=chunk_rows)
+    scores, rows = known_size(_by_score(scored), rows, chunk_rows)
+    ranked = running(scores, [], ["p"], {"below": "neg"}, rows=rows, chunk_rows=chunk_rows)
     wins = F.sum(F.col("pos").cast("double") * (F.col("below") - F.col("neg") + F.col("neg") / 2.0))
     return ranked.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc_roc"))
 
 
 def roc_pr_curve(scored: DataFrame, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One point per distinct score, the score being the threshold (p or higher counts as positive)."""
-    by_score = _by_score(scored).withColumn("_down", -F.col("p"))
+    by_score, rows = known_size(_by_score(scored).withColumn("_down", -F.col("p")), rows, chunk_rows)
     cum = running(by_score, [], ["_down"], {"tp": "pos", "fp": "neg"}, {"_p": "pos", "_q": "neg"}, rows, chunk_rows)
     return cum.select(
         F.col("p").alias("threshold"), "tp", "fp", F.try_divide("fp", "_q").alias("fpr"),

@@ -3,8 +3,8 @@
 A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the ordered space (key, order) is cut into
 ranges of bounded size, the window runs per (key, range), and only what crosses a range border is settled in a second,
 small step. Range borders come from a bounded sample, like the ones of Spark's own range partitioner, but as a value in
-the plan, so every branch of a query sees the same borders. Below ``CHUNK_ROWS`` rows in total no key can be too large
-and the plain window is used. All results are exact on both ways.
+the plan, so every branch of a query sees the same borders. Where no key has more than ``CHUNK_ROWS`` rows the plain window
+is used. All results are exact on both ways.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
+from latewing.session import cut_lineage
+
 CHUNK_ROWS = 1_000_000   # rows one window task may hold
 MAX_PIECES = 16_384      # border values kept in the plan
 PER_PIECE = 16           # sampled rows per border
@@ -54,6 +56,24 @@ def with_chunk(df: DataFrame, cols: Sequence[str], rows: int, chunk_rows: int =
     return df
 
 
+def _fits(df: DataFrame, key: Sequence[str], rows: int, chunk_rows: int) -> bool:
+    """Whether a plain window is safe: few rows in all, or, as measured by a two-step count, in every key."""
+    if rows <= chunk_rows:
+        return True
+    if not key:
+        return False
+    largest = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= chunk_rows
+
+
+def known_size(df: DataFrame, rows: int | None, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
+    """An aggregate whose bound is small stays as it is; else it is written out, which settles its true size."""
+    if rows is not None and rows <= chunk_rows:
+        return df, rows
+    df = cut_lineage(df, "ordered")
+    return df, df.count()
+
+
 def windowed(
     df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Callable[[WindowSpec], dict[str, Column]],
     back: int = 0, ahead: int = 0, rows: int | None = None, chunk_rows: int = CHUNK_ROWS,
@@ -63,7 +83,7 @@ def windowed(
     ``order`` must be a total order inside a key. ``rows`` is the table size or an upper bound of it.
     """
     rows = df.count() if rows is None else rows
-    if rows <= chunk_rows:
+    if _fits(df, key, rows, chunk_rows):
         return df.withColumns(columns(Window.partitionBy(*key).orderBy(*order)))
     local = with_chunk(df, [*key, *order], rows, chunk_rows)
     part = Window.partitionBy(*key, _CHUNK)
@@ -93,7 +113,7 @@ def running(
     rows = df.count() if rows is None else rows
     totals = totals or {}
     frame = (Window.unboundedPreceding, Window.currentRow)
-    if rows <= chunk_rows:
+    if _fits(df, key, rows, chunk_rows):
         part = Window.partitionBy(*key)
         w = part.orderBy(*order).rowsBetween(*frame)
         return df.withColumns(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from latewing.operators.ordered import CHUNK_ROWS, running
+from latewing.operators.ordered import CHUNK_ROWS, known_size, running
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -34,6 +34,7 @@ def quantiles_of_counts(
     Equal values are merged before any ordering, so a frequent value costs one row.
     """
     key = [*by, "column"]
+    counts, rows = known_size(counts, rows, chunk_rows)
     ranked = running(counts, key, ["value"], {"_cum": "n"}, {"_total": "n"}, rows, chunk_rows)
     hits = [
         F.min(F.when(F.col("_cum") >= _rank(F.col("_total"), p), F.col("value"))).alias(name)

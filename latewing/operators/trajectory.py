@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from latewing.functions.geo import bearing_deg, haversine_km, turn_deg
 from latewing.operators.joins import left_lookup
-from latewing.operators.ordered import CHUNK_ROWS, running, windowed
+from latewing.operators.ordered import CHUNK_ROWS, known_size, running, windowed
 from latewing.operators.quantiles import value_counts
 from latewing.schema import EXPECTED_EVENTS, LANDING, LEVEL, PARKING, TAKE_OFF, TAXI
 from latewing.session import cut_lineage
@@ -197,7 +197,8 @@ def level_segments(events: DataFrame, kind: str = LEVEL, rows: int | None = None
     """Runs of consecutive events of one kind: ``(flight_id, segment, start_us, end_us, events)``."""
     df = steps(events, ["event_type"], rows, chunk_rows=chunk_rows)
     fresh = (F.col("event_type") == kind) & ~F.col("prev_event_type").eqNullSafe(F.lit(kind))
-    flagged = df.withColumn("_fresh", fresh.cast("bigint"))
+    flagged, rows = known_size(df.withColumn("_fresh", fresh.cast("bigint")).select(
+        "flight_id", "us", "event_id", "event_type", "_fresh"), rows, chunk_rows)
     numbered = running(flagged, ["flight_id"], ORDER, {"segment": "_fresh"}, rows=rows, chunk_rows=chunk_rows)
     return numbered.where(F.col("event_type") == kind).groupBy("flight_id", "segment").agg(
         F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("events"))
@@ -342,7 +343,8 @@ def length_vs_peers(flights: DataFrame, peer: Sequence[str], length: str = "even
 def percent_rank(flights: DataFrame, value: str, out: str = "pct_rank", rows: int | None = None,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact percentile rank over all flights; equal values are ranked once and looked up."""
-    ranked = running(value_counts(flights, [value]), [], ["value"], {"_cum": "n"}, {"_all": "n"}, rows, chunk_rows)
+    counts, rows = known_size(value_counts(flights, [value]), rows, chunk_rows)
+    ranked = running(counts, [], ["value"], {"_cum": "n"}, {"_all": "n"}, rows, chunk_rows)
     share = F.coalesce(F.try_divide(F.col("_cum") - F.col("n"), F.col("_all") - 1), F.lit(0.0))
     table = ranked.select(F.col("value").alias(value), share.alias(out))
     return left_lookup(flights, cut_lineage(table, "ranks"), [value], salt_on=["flight_id"])

@@ -100,3 +100,11 @@ def test_trajectory_split(spark, sf):
          ["flight_id", "events", "mean_gap_s", "distance_km", "std_alt", "mean_alt"]),
     ]:
         assert as_set(fn(60), cols) == as_set(fn(10 ** 9), cols)
+
+
+def test_plain_window_when_no_key_is_large(spark):
+    """Many rows but small keys: measured, and left to one exchange."""
+    df = spark.range(2000).select((F.col("id") % 100).alias("k"), "id")
+    out = windowed(df, ["k"], ["id"], lambda w: {"p": F.lag("id").over(w)}, back=1, rows=2000, chunk_rows=50)
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("p IS NULL").count() == 100
