@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, simhash, token_counts
+from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, simhash, substring_dedup, token_counts
 from latewing.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,22 @@ def op8(spark, sf):
         .select("conv_id", F.size("read").cast("bigint").alias("n_turns"), sha(F.array_join(told, "")).alias("turns_sha256"),
                 F.length("trained").cast("bigint").alias("loss_chars"), sha(F.col("trained")).alias("loss_sha256"),
                 F.length("formatted").cast("bigint").alias("formatted_chars")))
+
+
+SPACED_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op9_substring_dedup", rf"""
+WITH d AS (SELECT doc_id, {SPACED_SQL} AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM win) WHERE doc_id > low),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM again),
+kept AS (SELECT doc_id, len(w) AS n, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+  ANTI JOIN gone USING (doc_id, p)),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""")
+def op9(spark, sf):
+    return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
