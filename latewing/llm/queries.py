@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, simhash, substring_dedup, token_counts
+from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, simhash, substring_dedup, suffix_dedup, token_counts
 from latewing.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,8 @@ FROM d LEFT JOIN k USING (doc_id)
 """)
 def op9(spark, sf):
     return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
