@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import by_bytes, gather
+from latewing.llm.flat import by_bytes, gather, with_key
 
 BATCH_BYTES = 8 << 20
 #: The characters of Unicode's White_Space property, and the separators that count as such in some libraries.
@@ -218,9 +218,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ke
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.astype(np.int32))))
             yield pa.record_batch(columns, names)
 
-    kind = rows.schema["k"].dataType.simpleString()
-    out = rows.mapInArrow(
-        work, f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    out = rows.mapInArrow(work, with_key(
+        rows, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids))
     return out.select(F.col("k").alias(key), *names[1:])
 
 
@@ -244,5 +243,5 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", k
             texts = [v.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["k", "t"])
 
-    return rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, t string").select(
+    return rows.mapInArrow(work, with_key(rows, "t string")).select(
         F.col("k").alias(key), F.col("t").alias("text"))

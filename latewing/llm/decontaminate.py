@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import by_bytes, covered, flat, ranges, runs, span_hashes
+from latewing.llm.flat import by_bytes, covered, flat, ranges, runs, span_hashes, with_key
 
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20      # of benchmark text searched at a time
@@ -180,7 +180,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
     yield block
 
 
-def _hits(docs: DataFrame, phrases: Phrases, shard_bytes: int, kind: str) -> DataFrame:
+def _hits(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
     """k, n_words, merged spans of hit words, and the ids of the items found, for each row of (k, t)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "t", shard_bytes):
@@ -201,7 +201,7 @@ def _hits(docs: DataFrame, phrases: Phrases, shard_bytes: int, kind: str) -> Dat
                 [sorted(x) for x in items], pa.list_(pa.string()))], ["k", "n_words", "spans", "items"])
 
     return docs.mapInArrow(
-        work, f"k {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+        work, with_key(docs, "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"))
 
 
 def contamination(
@@ -216,23 +216,21 @@ def contamination(
     searched in blocks.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
     blocks = _blocks(benchmark, item, item_text, block_bytes)
-    out, more = _hits(rows, Phrases(next(blocks), window), shard_bytes, kind), next(blocks, None)
+    out, more = _hits(rows, Phrases(next(blocks), window), shard_bytes), next(blocks, None)
     if more is not None:
         # Rows are told apart by key and text; equal rows have equal hits.
         rows = rows.withColumn("h", F.xxhash64("t"))
         inner = rows.select(F.struct("k", "h").alias("k"), "t")
-        inner_kind = inner.schema["k"].dataType.simpleString()
-        parts = [_hits(inner, Phrases(more, window), shard_bytes, inner_kind)]
-        parts += [_hits(inner, Phrases(x, window), shard_bytes, inner_kind) for x in blocks]
+        parts = [_hits(inner, Phrases(more, window), shard_bytes)]
+        parts += [_hits(inner, Phrases(x, window), shard_bytes) for x in blocks]
         found = parts[0]
         for x in parts[1:]:
             found = found.unionByName(x)
         # Only rows with hits are exchanged.
         found = found.where(F.size("spans") > 0).groupBy("k").agg(
             F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"))
-        first = _hits(inner, Phrases(next(_blocks(benchmark, item, item_text, block_bytes)), window), shard_bytes, inner_kind)
+        first = _hits(inner, Phrases(next(_blocks(benchmark, item, item_text, block_bytes)), window), shard_bytes)
         joined = first.alias("a").join(found.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")), "left")
         every = F.array_sort(F.concat("spans", F.coalesce("s2", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
         zero = F.array().cast("array<struct<start:bigint,end:bigint>>")

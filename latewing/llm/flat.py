@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, types as T
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -131,3 +132,8 @@ def covered(length: int, starts: np.ndarray, width) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+
+
+def with_key(rows: DataFrame, fields: str) -> T.StructType:
+    """The type of ``rows``'s column k, whatever it is, and further fields."""
+    return T.StructType([T.StructField("k", rows.schema["k"].dataType), *T.StructType.fromDDL(fields).fields])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from latewing.llm.flat import by_bytes, flat
+from latewing.llm.flat import by_bytes, flat, with_key
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)
@@ -151,14 +151,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             yield pa.record_batch([b.column("k"), b.column("l"), pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array(
                 [x[1].tobytes() for x in found], pa.binary())], ["k", "l", "b", "s"])
 
-    kind = rows.schema["k"].dataType.simpleString()
-    got = sample.mapInArrow(features, f"k {kind}, l string, b binary, s binary").orderBy(
+    got = sample.mapInArrow(features, with_key(rows, "l string, b binary, s binary")).orderBy(
         F.xxhash64("k"), "k", "l", "b").limit(2 * most_rows).collect()
     return fit([(r.l, np.frombuffer(r.b, np.int32), np.frombuffer(r.s, np.float32)) for r in got if len(r.b)])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: key, held_out, lang_pred, score, rejected.
+    """One row per row of ``docs``: key, lang_pred, score, rejected.
 
     ``lang_pred`` is ``und`` with score 0 for a null text, one without letters, or a model without languages; those are
     rejected, and so are texts whose score lies below the calibrated threshold. Other columns are left out.
@@ -180,6 +179,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
             yield pa.record_batch([b.column("k"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(
                 ~letters | (score < model.reject_below))], ["k", "lang_pred", "score", "rejected"])
 
-    kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(work, f"k {kind}, lang_pred string, score double, rejected boolean").select(
-        F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "lang_pred", "score", "rejected")
+    return rows.mapInArrow(work, with_key(rows, "lang_pred string, score double, rejected boolean")).withColumnRenamed("k", key)

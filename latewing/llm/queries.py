@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, simhash, substring_dedup, suffix_dedup, token_counts
+from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts
 from latewing.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -64,7 +64,7 @@ def op4(spark, sf):
 @query("op5_language_id")
 def op5(spark, sf):
     docs = table(spark, sf, "documents")
-    return language_id.identify(docs, language_id.train(docs))
+    return language_id.identify(docs, language_id.train(docs)).withColumn("held_out", language_id.held_out(F.col("doc_id")))
 
 
 @query("op7_simhash")
@@ -125,3 +125,17 @@ def op9(spark, sf):
 @query("op10_suffix_dedup")
 def op10(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+@query("op6_piecewise_hash")
+def op6(spark, sf):
+    return piecewise_hash.compare_edits(table(spark, sf, "documents"))
+
+
+@query("op2_private_data")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = private_data.find_private(docs, private_data.train(docs))
+    counts = [F.size(F.filter(F.col("base.kind"), private_data.equals(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(private_data.KINDS)]
+    return out.select("doc_id", *counts, sha(private_data.joined(F.col("base"))).alias("base_sha256"),
+                      private_data.joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"))

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import by_bytes, flat, ranges
+from latewing.llm.flat import by_bytes, flat, ranges, with_key
 from latewing.llm.graph import components
+from latewing.llm.meeting import partitions
 from latewing.session import cut_lineage
 
 BITS, BUDGET, SEGMENTS = 64, 4, 5
@@ -38,7 +39,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str =
             fps = [fingerprint(raw[i:j], shingle, seed) for i, j in zip(offsets[:-1], offsets[1:])]
             yield pa.record_batch([b.column("k"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["k", "fp"])
 
-    return rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, fp bigint").select(F.col("k").alias(key), "fp")
+    return rows.mapInArrow(work, with_key(rows, "fp bigint")).withColumnRenamed("k", key)
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
@@ -200,6 +201,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
             key, _, turned = probes(fp)
             yield pa.record_batch([pa.array(key[~turned].view(np.int64))], ["key"])
 
+    # Each fingerprint makes many rows: as many tasks as the shuffle has partitions, however few bytes go in.
+    distinct = distinct.repartition(partitions(distinct), "fp")
     rows = distinct.mapInArrow(spread, "key bigint, fp bigint, turned boolean")
     hot = cut_lineage(distinct.mapInArrow(file_only, "key bigint").groupBy("key").count().where(F.col("count") > block).select(
         "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
@@ -215,7 +218,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: key, fp, component_id (the smallest key that links lead to, its own included).
+    """One row per row of ``docs``: key, fp, root (the same for all rows of a group) and component_id, the group's smallest key.
 
     Equal fingerprints link, so texts without words form one group. Null texts count as empty. A null key is kept and never
     is a group's smallest unless all are null. Repeated rows stay; other columns are left out.
@@ -224,6 +227,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     first = own.groupBy("fp").agg(F.min("k").alias("k"))
     roots = cut_lineage(components(links(first.select("fp"))).select(F.col("node").alias("fp"), "root"), "roots")
     lowest = first.join(roots, "fp").groupBy("root").agg(F.min("k").alias("component_id"))
-    moved = roots.join(lowest, "root").select("fp", "component_id")
-    groups = first.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "k").alias("component_id"))
-    return own.join(groups, "fp").select(F.col("k").alias(key), "fp", "component_id")
+    moved = roots.join(lowest, "root").select("fp", "root", "component_id")
+    groups = first.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "k").alias("component_id"))
+    return own.join(groups, "fp").select(F.col("k").alias(key), "fp", "root", "component_id")

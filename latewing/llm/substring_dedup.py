@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import SPACES, by_bytes, covered, flat, ranges, runs, span_hashes, window_hashes
+from latewing.llm.flat import SPACES, by_bytes, covered, flat, ranges, runs, span_hashes, window_hashes, with_key
 from latewing.llm.meeting import ASKED, KNOWN, SCHEMA, Sender, answer, distinct_pairs, groups, member, partitions
 
 BATCH_BYTES = 4 << 20
@@ -137,6 +137,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, text
             yield pa.record_batch([b.column("k"), pa.array(n, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(
                 [hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["k", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    kind = rows.schema["k"].dataType.simpleString()
-    return rows.select("k", "t", "hashes").mapInArrow(
-        cut, f"k {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string").withColumnRenamed("k", key)
+    return rows.select("k", "t", "hashes").mapInArrow(cut, with_key(
+        rows, "n_words bigint, n_removed bigint, kept string, kept_sha256 string")).withColumnRenamed("k", key)

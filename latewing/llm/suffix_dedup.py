@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import by_bytes, covered, flat, ranges, span_hashes, window_hashes
+from latewing.llm.flat import by_bytes, covered, flat, ranges, span_hashes, window_hashes, with_key
 
 BATCH_BYTES = 4 << 20
 SEGMENT_BYTES = 8 << 20     # of a long text looked at together; at most 2^24
@@ -251,6 +251,5 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = GRAM, text: s
                 out.append(pa.array(left, pa.binary()))
             yield pa.record_batch(out, ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept])
 
-    kind = rows.schema["k"].dataType.simpleString()
-    return joined.select("k", "t", "runs").mapInArrow(
-        cut, f"k {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept).withColumnRenamed("k", key)
+    return joined.select("k", "t", "runs").mapInArrow(cut, with_key(
+        rows, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept)).withColumnRenamed("k", key)

@@ -20,6 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.llm.byte_bpe import vocabulary
+from latewing.llm.flat import with_key
 
 BATCH_BYTES = 1 << 20
 PART_CHARS = 1 << 16
@@ -129,6 +130,5 @@ def token_counts(
                 b.column(0), pc.binary_length(b.column(1)).cast(pa.int64()),
                 pa.array(lengths(b.column(1).to_pylist(), path, batch_bytes, part_chars))], ["k", "n_bytes", "n_tokens"])
 
-    kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(count, f"k {kind}, n_bytes bigint, n_tokens bigint").select(
+    return rows.mapInArrow(count, with_key(rows, "n_bytes bigint, n_tokens bigint")).select(
         F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
