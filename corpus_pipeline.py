@@ -43,13 +43,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to the name of their kind; n_chars follows where a text changes."""
-    found = private_data.find_private(docs, private_data.train(docs), carry=tuple(docs.columns))
-    spans = F.array_sort(F.concat("base", "added"))
-    found = found.withColumn("_new", private_data.redact(F.col("text"), spans))
-    changed = {"text": F.when(F.size(spans) > 0, F.col("_new")).otherwise(F.col("text"))}
+    found = private_data.find_private(_whole_rows(docs), private_data.train(docs), key="doc")
+    text, spans = F.col("doc.text"), F.array_sort(F.concat("base", "added"))
+    found = found.withColumn("new", private_data.redact(text, spans)).withColumn("changed", F.size(spans) > 0)
+    own = {"text": F.when(F.col("changed"), F.col("new")).otherwise(text)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size(spans) > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+        n = F.col("doc.n_chars")
+        own["n_chars"] = F.when(F.col("changed"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(n)
+    return found.select(*[own.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

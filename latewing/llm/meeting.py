@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from latewing.llm.flat import mix
 
 ASKED, KNOWN = 0, 1
+NO_KEY = -(1 << 63)         # stands for a null key, which is smaller than all others
 SCHEMA = "part int, kind tinyint, body binary"
 HELD_BYTES = 32 << 20
 
@@ -24,6 +25,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The integer key as a long d without null, and the text t without null; nothing else, so that all uses share an exchange."""
+    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+
+def named(df: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The key as it was in ``docs`` instead of d."""
+    old = F.when(F.col("d") != NO_KEY, F.col("d")).cast(docs.schema[key].dataType).alias(key)
+    return df.select(old, *[c for c in df.columns if c != "d"])
+
+
 def distinct_pairs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((d, h))
     h, d = h[order], d[order]
@@ -33,7 +45,9 @@ def distinct_pairs(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def groups(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs sorted by (hash, document): first row of each hash, and each row's group's smallest and largest document."""
-    new = np.append(True, h[1:] != h[:-1])[:len(h)]
+    if not len(h):
+        return np.zeros(0, np.int64), d, d
+    new = np.append(True, h[1:] != h[:-1])
     begin = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     last = np.append(begin[1:], len(h)) - 1
