@@ -20,12 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import by_bytes, covered, flat, ranges, span_hashes, window_hashes, with_key
+from latewing.llm.flat import by_bytes, covered, flat, ranges, span_hashes, window_hashes
+from latewing.llm.meeting import named, numbered
 
 BATCH_BYTES = 4 << 20
 SEGMENT_BYTES = 8 << 20     # of a long text looked at together; at most 2^24
 SHARD_BYTES = 8 << 20       # of reads sorted together; a larger group of one minimizer is one shard
 GRAM = 32
+LARGE_GROUP = 1 << 20       # rows of one minimizer that are decided together
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -144,15 +146,66 @@ class Shard:
 
 def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) -> DataFrame:
     """(d, h, runs): for each text the runs [start, end) of window starts whose windows also start elsewhere."""
+    names = ["d", "h", "start", "size", "off", "a", "c", "n"]
+    kinds = "d bigint, h bigint, start bigint, size int, off int, a bigint, c bigint, n int"
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Reads that occur twice in a batch are known to repeat (n = 0); of each different read one asks for others.
         for b in by_bytes(batches, "t", batch_bytes):
             data, offsets = flat(b.column("t"))
             row, start, size, off, anchor, content = reads(data, offsets, window, gram)
-            if len(row):
-                at = pa.array(row)
-                yield pa.record_batch([b.column("d").take(at), b.column("h").take(at), pa.array(start), pa.array(size.astype(np.int32)), pa.array(
-                    off.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
-                    ["d", "h", "start", "size", "off", "a", "c"])
+            if not len(row):
+                continue
+            order = np.lexsort((content, anchor))
+            a, c = anchor[order], content[order]
+            begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+            number = np.diff(np.append(begin, len(a)))
+            known = order[np.repeat(number > 1, number)]
+            asked = order[begin]
+            at = np.concatenate([known, asked])
+            n = np.concatenate([np.zeros(len(known), np.int32), np.minimum(number, 2).astype(np.int32)])
+            yield pa.record_batch([
+                b.column("d").take(pa.array(row[at])), b.column("h").take(pa.array(row[at])), pa.array(start[at]), pa.array(size[at].astype(np.int32)),
+                pa.array(off[at].astype(np.int32)), pa.array(anchor[at].view(np.int64)), pa.array(content[at].view(np.int64)), pa.array(n)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n becomes 0 for reads that repeat as a whole and 1 for one each of a minimizer's different reads, if any occurs once."""
+        def decide(t: pa.Table, mixed: bool = False) -> pa.Table:
+            a, c, n = (t.column(x).to_numpy() for x in ("a", "c", "n"))
+            begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+            size = np.diff(np.append(begin, len(a)))
+            total = np.add.reduceat(n, begin)
+            owner = np.flatnonzero(np.append(True, a[begin][1:] != a[begin][:-1]))
+            several = np.diff(np.append(owner, len(begin))) > 1
+            several = np.repeat((several & (np.minimum.reduceat(total, owner) == 1)) | mixed, np.diff(np.append(owner, len(begin))))
+            whole, open_ones = np.flatnonzero(np.repeat(total > 1, size)), begin[several]
+            out = t.take(pa.array(np.concatenate([whole, open_ones])))
+            return out.set_column(7, "n", pa.array(np.repeat(np.array([0, 1], np.int32), [len(whole), len(open_ones)])))
+
+        rest, large = None, False
+        for b in batches:
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            if (n == 0).any():
+                yield b.filter(pa.array(n == 0))
+            t = pa.Table.from_batches([b.filter(pa.array(n > 0))])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not len(t):
+                continue
+            a, c = t.column("a").to_numpy(), t.column("c").to_numpy()
+            cut = int(np.argmax(a == a[-1]))
+            if len(a) - cut > LARGE_GROUP:                  # all but the last different read of it are decided at once
+                cut, large_next = int(np.argmax((a == a[-1]) & (c == c[-1]))), True
+            else:
+                large_next = False
+            if cut:
+                first = int(np.searchsorted((a != a[0]).astype(np.int8), 1)) if large else 0
+                for part, mixed in ((t.slice(0, min(first, cut)), True), (t.slice(first, max(0, cut - first)), False)):
+                    if len(part):
+                        yield from decide(part, mixed or large_next).combine_chunks().to_batches()
+            large = large_next if cut else large
+            rest = t.slice(cut).combine_chunks()
+        if rest is not None and len(rest):
+            yield from decide(rest, large).combine_chunks().to_batches()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, number, before = None, [], 0, None
@@ -198,17 +251,16 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) ->
         if shard is not None:
             yield finish()
 
-    found = docs.select("d", "h", "t").mapInArrow(
-        find, "d bigint, h bigint, start bigint, size int, off int, a bigint, c bigint")
-    kinds = found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "h", "start", "size", "off")).alias("one"))
-    # A minimizer whose reads are all alike, or all repeat as a whole, needs no sorting.
-    open_ones = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("reads"), F.min("n").alias("fewest")).where("reads > 1 and fewest = 1")
-    whole = found.join(kinds.where("n > 1").select("a", "c"), ["a", "c"]).select(
+    found = docs.select("d", "h", "t").mapInArrow(find, kinds)
+    # Known reads only pass through; they are spread evenly.
+    met = found.withColumn("p", F.when(F.col("n") > 0, F.col("a")).otherwise(F.xxhash64("d", "h", "start"))).repartition(
+        "p").sortWithinPartitions("a", "c").select(*names).mapInArrow(meet, kinds)
+    whole = met.where("n = 0").select(
         "d", "h", F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("size") - window + 1).alias("to"))).alias("runs"))
-    wanted = kinds.join(open_ones.select("a"), "a").select("a", "one.*")
-    lists = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("a", "start", "size", "off")).alias("reads"))
-    texts = docs.join(lists, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), F.explode("reads").alias("r"))
-    fetched = texts.select("d", "h", "r.start", "r.a", "r.off", F.substring(F.col("t"), F.col("r.start").cast("int") + 1, F.col("r.size")).alias("read"))
+    lists = met.where("n = 1").groupBy("d", "h").agg(F.collect_list(F.struct("a", "start", "size", "off")).alias("reads"))
+    texts = docs.join(lists, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), F.explode("reads").alias("r"))
+    fetched = texts.select("d", "h", "r.start", "r.a", "r.off", F.substring(
+        F.col("t"), F.col("r.start").cast("int") + 1, F.col("r.size")).alias("read")).dropDuplicates(["d", "h", "start"])
     sorted_ones = fetched.repartition("a").sortWithinPartitions("a").mapInArrow(
         sort, "d bigint, h bigint, runs array<struct<`from`:bigint,`to`:bigint>>")
     return whole.unionByName(sorted_ones).groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
@@ -216,16 +268,14 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) ->
 
 def remove_repeats(docs: DataFrame, window: int = 400, gram: int = GRAM, text: str = "text", key: str = "doc_id",
                    batch_bytes: int = BATCH_BYTES, kept: bool = False) -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and if asked for, kept.
+    """One row per row of ``docs``: key (an integer), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and if asked for, kept.
 
     A byte goes if a string of ``window`` bytes covers it that also starts anywhere else, in the same text or another. Null texts are
     empty; texts shorter than a window stay. Repeated rows are texts of their own, so they remove each other; a null key is
     kept. ``kept`` is binary, since a cut may fall inside a character. Other columns are left out.
     """
     gram = min(gram, window)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("d"),
-                       F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    placed = rows.repartition("d", "h")  # read twice, exchanged once
+    placed = numbered(docs, text, key).withColumn("h", F.xxhash64("t")).repartition("d", "h")  # read twice, exchanged once
     placed_runs = repeated_runs(placed, window, gram, batch_bytes)
     joined = placed.join(placed_runs, ["d", "h"], "left")
 
@@ -245,11 +295,12 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = GRAM, text: s
             count = np.append(0, np.cumsum(gone))
             spans = np.append(0, np.cumsum(begins))
             left = [data[i:j][~gone[i:j]].tobytes() if n else data[i:j].tobytes() for i, j, n in zip(offsets[:-1], offsets[1:], number)]
-            out = [b.column("k"), pa.array(np.diff(offsets)), pa.array(np.diff(count[offsets])), pa.array(np.diff(spans[offsets])), pa.array(
+            out = [b.column("d"), pa.array(np.diff(offsets)), pa.array(np.diff(count[offsets])), pa.array(np.diff(spans[offsets])), pa.array(
                 [hashlib.sha256(x).hexdigest() for x in left], pa.string())]
             if kept:
                 out.append(pa.array(left, pa.binary()))
-            yield pa.record_batch(out, ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept])
+            yield pa.record_batch(out, ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept])
 
-    return joined.select("k", "t", "runs").mapInArrow(cut, with_key(
-        rows, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept)).withColumnRenamed("k", key)
+    out = joined.select("d", "t", "runs").mapInArrow(
+        cut, "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept)
+    return named(out, docs, key)
