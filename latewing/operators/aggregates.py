@@ -123,8 +123,8 @@ def volume_delay_by_carrier(df: DataFrame) -> DataFrame:
 
 
 def share_of_total(agg: DataFrame, count_col: str = "count", dp: int = 1) -> DataFrame:
-    """Percent of all rows; the window runs over the few rows of an aggregate."""
-    total = F.sum(count_col).over(Window.partitionBy())
+    """Percent of all rows; the total is a scalar, so the aggregate's rows stay where they are."""
+    total = agg.agg(F.sum(count_col)).scalar()
     return agg.withColumn("pct", F.round(F.col(count_col) * F.lit(100.0) / total, dp))
 
 
@@ -154,9 +154,17 @@ def pivot_month_dow(df: DataFrame) -> DataFrame:
     return cube.withColumnsRenamed({str(m): f"m{m}" for m in range(1, 13)})
 
 
-def pivot_od(od: DataFrame, dests: Sequence[str], value: str = "avg_delay") -> DataFrame:
-    """Origin by destination matrix of an already ranked pair table."""
-    return od.groupBy("origin").pivot("dest", list(dests)).agg(F.first(value))
+def pivot_od(od: DataFrame, value: str = "avg_delay") -> DataFrame:
+    """Origin by destination matrix of an already ranked, short pair table; its columns are the destinations that occur."""
+    od = cut_lineage(od, "pairs")
+    dests = [r.dest for r in od.select("dest").distinct().orderBy("dest").collect()]  # no more than there are ranked pairs
+    return od.groupBy("origin").pivot("dest", dests).agg(F.first(value))
+
+
+def matrix_cells(matrix: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """All cells of a matrix as rows, empty ones included."""
+    names = [c for c in matrix.columns if c != row]
+    return matrix.select(row, F.inline(F.array(*[F.struct(F.lit(c).alias(column), F.col(f"`{c}`").alias(value)) for c in names])))
 
 
 def _pearson(a: str, b: str) -> Column:
@@ -228,7 +236,8 @@ def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5, rows: int | None
     q = quantiles_of_counts(counts, QUARTILES, [by], rows, chunk_rows).drop("column", "total")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - k * iqr, F.col("q3") + k * iqr)
-    return counts.join(q, by).groupBy(by, *QUARTILES).agg(
+    own = q.withColumnRenamed(by, "_by")
+    return counts.join(own, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, *QUARTILES).agg(
         F.min(F.when(inside, F.col("value"))).alias("lo"), F.max(F.when(inside, F.col("value"))).alias("hi"),
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
 

@@ -112,7 +112,7 @@ def inject_anomalies(events: DataFrame, percent: int = 5, drop_kind: str = LANDI
     df = timed(events)
     bucket = md5_bucket(key_text("flight_id"), seed)
     chosen = df.where(bucket < percent).groupBy("flight_id").agg(F.min("us").alias("_first"))
-    stretched = left_lookup(df, cut_lineage(chosen, "chosen"), ["flight_id"], salt_on=["event_id"]).withColumns({
+    stretched = left_lookup(df, cut_lineage(chosen, "chosen"), ["flight_id"]).withColumns({
         "injected": F.when(F.col("_first").isNotNull(), "stretched").when(bucket < 2 * percent, "dropped"),
         "us": F.coalesce(2 * F.col("us") - F.col("_first"), F.col("us")),
     }).drop("_first")
@@ -121,6 +121,12 @@ def inject_anomalies(events: DataFrame, percent: int = 5, drop_kind: str = LANDI
 
 # --- learned scores -------------------------------------------------------------------------------------------------
 
+def with_incomplete(scored: DataFrame, flights: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add the flights that lack a feature, with null scores and flags: every flight has a row."""
+    hole = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in cols])
+    return scored.unionByName(flights.where(hole).select("flight_id"), allowMissingColumns=True)
+
+
 def _scaler(cols: Sequence[str]):
     return [VectorAssembler(inputCols=list(cols), outputCol="raw", handleInvalid="skip"),
             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]
@@ -141,7 +147,8 @@ def kmeans_outliers(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int =
     # One row per cluster, at most k rows.
     joined = placed.join(F.broadcast(sizes), "cluster").withColumn("_f", fleet)
     far = F.col("distance") > F.col("_f.m") + spread * F.col("_f.s")
-    return joined.withColumn("outlier", far | (F.col("cluster_size") < min_share * F.col("_f.n"))).drop("_f")
+    return with_incomplete(
+        joined.withColumn("outlier", far | (F.col("cluster_size") < min_share * F.col("_f.n"))).drop("_f"), flights, cols)
 
 
 def _placed(model, scaled: DataFrame) -> DataFrame:
@@ -161,8 +168,8 @@ def pca_reconstruction(flights: DataFrame, cols: Sequence[str] = FEATURES, k: in
     def norm(c: str) -> Column:
         return F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
 
-    return model.transform(flights).select(
-        "flight_id", F.greatest(norm("scaled") - norm("main"), F.lit(0.0)).alias("error"))
+    return with_incomplete(model.transform(flights).select(
+        "flight_id", F.greatest(norm("scaled") - norm("main"), F.lit(0.0)).alias("error")), flights, cols)
 
 
 def grid_density(flights: DataFrame, cols: Sequence[str], width: float = 0.5) -> DataFrame:
@@ -177,7 +184,7 @@ def grid_density(flights: DataFrame, cols: Sequence[str], width: float = 0.5) ->
     for n in names:
         near = near.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
     density = near.groupBy(*names).agg(F.sum("_n").alias("density"))
-    return left_lookup(cells, cut_lineage(density, "density"), names, salt_on=["flight_id"]).select("flight_id", "density")
+    return with_incomplete(left_lookup(cells, cut_lineage(density, "density"), names).select("flight_id", "density"), flights, cols)
 
 
 # Isolation forest (Liu, Ting, Zhou 2008): random splits isolate outliers in few steps.
@@ -217,19 +224,17 @@ def isolation_forest(flights: DataFrame, cols: Sequence[str] = FEATURES, trees:
                      contamination: float = 0.02, seed: int = 42) -> DataFrame:
     """Anomaly score in (0, 1) per flight; the top share by score is flagged.
 
-    Each tree sees about ``sample`` rows chosen by hash. The forest has at most ``trees * 2 * sample`` nodes and travels
+    Each tree sees about ``sample`` of all rows, chosen by a hash of its own. The forest has at most ``trees * 2 * sample`` nodes and travels
     as a broadcast; scoring runs on Arrow batches wherever the flights are.
     """
     cols = list(cols)
     data = flights.select("flight_id", *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     n = data.count()
     grain = 1 << 30
-    pool_rows = min(n, 4 * trees * sample)
-    pool_cut, tree_cut = int(grain * pool_rows / max(n, 1)), int(grain * min(1.0, sample / max(pool_rows, 1)))
-    pool = data.where(F.pmod(F.xxhash64("flight_id", F.lit(seed)), F.lit(grain)) < pool_cut)
+    tree_cut = int(grain * min(1.0, sample / max(n, 1)))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
                       lambda t: F.pmod(F.xxhash64("flight_id", t, F.lit(seed)), F.lit(grain)) < tree_cut)
-    drawn = pool.withColumn("tree", F.explode(chosen))
+    drawn = data.withColumn("tree", F.explode(chosen))
     forest = drawn.groupBy("tree").applyInPandas(
         lambda pdf: _grow(int(pdf["tree"].iloc[0]), pdf.sort_values("flight_id")[cols].to_numpy(float), seed), NODE_SCHEMA
     ).toPandas()  # bounded: trees * 2 * sample nodes
@@ -244,7 +249,7 @@ def isolation_forest(flights: DataFrame, cols: Sequence[str] = FEATURES, trees:
     packed = flights.sparkSession.sparkContext.broadcast(
         [(dense("feature", -1)[t], dense("cut", 0.0)[t], dense("left", 0)[t], dense("right", 0)[t], dense("depth", 0.0)[t])
          for t in grown])
-    levels, norm = int(np.ceil(np.log2(max(sample, 2)))) + 2, float(_average_path(min(sample, max(pool_rows, 2))))
+    levels, norm = int(np.ceil(np.log2(max(sample, 2)))) + 2, float(_average_path(min(sample, max(n, 2))))
 
     def score(batches):
         for pdf in batches:
@@ -261,7 +266,8 @@ def isolation_forest(flights: DataFrame, cols: Sequence[str] = FEATURES, trees:
     kind = dict(flights.dtypes)["flight_id"]
     scored = cut_lineage(data.mapInPandas(score, f"flight_id {kind}, score double"), "isolation")
     limit = exact_quantiles(scored, ["score"], {"q": 1 - contamination}, rows=n).select("q").scalar()
-    return scored.withColumn("_q", limit).withColumn("outlier", F.col("score") > F.col("_q")).drop("_q")
+    flagged = scored.withColumn("_q", limit).withColumn("outlier", F.col("score") > F.col("_q")).drop("_q")
+    return with_incomplete(flagged, flights, cols)
 
 
 # --- combining and judging ------------------------------------------------------------------------------------------

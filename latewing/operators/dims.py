@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.functions.text import has_suffix, normalise_code
-from latewing.operators.joins import left_lookup
+from latewing.operators.joins import fits_broadcast, left_lookup
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -39,14 +39,9 @@ def dq_unmatched_carrier(flights: DataFrame, dim: DataFrame) -> DataFrame:
     return codes.join(dim, "op_unique_carrier", "left_anti")
 
 
-def join_pred_to_fact(flights: DataFrame, preds: DataFrame, keys: Sequence[str], max_preds: int = 10_000) -> DataFrame:
-    """Inner equi-join of a short report list to the fact table.
-
-    The keys are not unique, so a long list would multiply rows: the list's length is checked first.
-    """
-    if preds.limit(max_preds + 1).count() > max_preds:
-        raise ValueError("join by a row id instead: the list is too long for a non-unique key")
-    return flights.join(F.broadcast(preds), list(keys), "inner")
+def join_pred_to_fact(flights: DataFrame, preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join of a list of predictions to the fact table: broadcast if measured small, else split at hot keys by AQE."""
+    return flights.join(F.broadcast(preds) if fits_broadcast(preds) else preds, list(keys), "inner")
 
 
 def join_attach_prob(left: DataFrame, preds: DataFrame, keys: Sequence[str], prob: str = "p") -> DataFrame:

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.functions.casts import hash_bucket
 from latewing.functions.text import period_plain
 from latewing.operators import clean
+from latewing.operators.ordered import known_size, running
 from latewing.operators.sampling import sample_stratified
 from latewing.schema import (CATEGORICAL_FEATURES, DOUBLE_FEATURES, INT_FEATURES, NUMERIC_FEATURES, TARGET)
-
-MAX_INDEXED = 10_000  # more categories than this are hashed: an index keeps its labels on the driver
-
+from latewing.session import cut_lineage
 
 def training_rows(flights: DataFrame, key: Sequence[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Stratified by month, operated flights with a valid label, complete rows; ``label`` is a double."""
@@ -40,16 +39,50 @@ def complete_features(raw: DataFrame) -> DataFrame:
     return typed_features(raw).na.drop("any", subset=[*NUMERIC_FEATURES, *CATEGORICAL_FEATURES])
 
 
-def string_indexer(cols: Sequence[str]) -> StringIndexer:
-    """Most frequent category first, ties alphabetical, unseen values one extra index; all columns in one pass."""
-    return StringIndexer(inputCols=list(cols), outputCols=[f"{c}_indexed" for c in cols], handleInvalid="keep",
-                         stringOrderType="frequencyDesc")
-
-
-def hash_stage(col: str, buckets: int = 10_000) -> SQLTransformer:
-    """Stateless code as a pipeline stage, so that training and scoring cannot differ."""
-    return SQLTransformer(
-        statement=f"SELECT *, CAST(pmod(hash({col}), {buckets}) AS DOUBLE) AS {col}_indexed FROM __THIS__")
+def category_codes(df: DataFrame, cols: Sequence[str], label: str | None = None, smoothing: float = 20.0) -> DataFrame:
+    """``(column, value, count, code, rate)``: the codes of every category, as a table of any length.
+
+    ``code`` is the frequency rank, ties by value; ``rate`` the mean label, drawn towards the overall one by ``smoothing`` rows. A row
+    with a null value holds what an unseen category gets: the last code and the overall rate. One pass over ``df``.
+    """
+    y = F.lit(0.0) if label is None else F.col(label).cast("double")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), y.alias("y")) for c in cols])))
+    counts = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("y").alias("_y"), F.lit(1).alias("_one"), (-F.count(F.lit(1))).alias("_order"))
+    counts, rows = known_size(counts, None)
+    ranked = running(counts, ["column"], ["_order", "value"], {"_rank": "_one"}, {"_n": "count", "_sum": "_y"}, rows)
+    overall = F.try_divide("_sum", "_n")
+    seen = ranked.select("column", "value", "count", (F.col("_rank") - 1).cast("double").alias("code"),
+                         ((F.col("_y") + smoothing * overall) / (F.col("count") + smoothing)).alias("rate"))
+    unseen = counts.groupBy("column").agg(
+        F.lit(None).cast("string").alias("value"), F.lit(0).cast("bigint").alias("count"), F.count(F.lit(1)).cast("double").alias("code"),
+        F.try_divide(F.sum("_y"), F.sum("count")).alias("rate"))
+    return seen.unionByName(unseen)
+
+
+@dataclass
+class Encoder:
+    """Numbers for categories from a code table, by join, and the feature vector.
+
+    ``by`` is the caller's choice, whatever the data's size: "code" (frequency rank) or "rate" (for trees: categories keep few bins).
+    """
+
+    codes: DataFrame
+    by: str = "code"
+    numeric: tuple[str, ...] = NUMERIC_FEATURES
+    categorical: tuple[str, ...] = CATEGORICAL_FEATURES
+
+    def names(self) -> list[str]:
+        return [*self.numeric, *[f"{c}_indexed" for c in self.categorical]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        unseen = {r.column: r[self.by] for r in self.codes.where("value IS NULL").collect()}  # one row per column
+        for c in self.categorical:
+            own = self.codes.where((F.col("column") == c) & F.col("value").isNotNull()).select(
+                F.col("value").alias(f"_value_{c}"), F.col(self.by).alias(f"{c}_indexed"))
+            df = df.join(own, F.col(c) == F.col(f"_value_{c}"), "left").drop(f"_value_{c}").withColumn(
+                f"{c}_indexed", F.coalesce(f"{c}_indexed", F.lit(unseen.get(c, 0.0))))
+        return assembler(self.numeric, self.categorical).transform(df)
 
 
 def hash_index(df: DataFrame, cols: Sequence[str], n: int = 10_000) -> DataFrame:
@@ -62,21 +95,8 @@ def assembler(numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[s
 
 
 def fit_encoder(
-    df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES,
-    max_indexed: int = MAX_INDEXED,
-) -> PipelineModel:
-    """Indexers and assembler. A column with too many categories for an index is hashed instead."""
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in categorical]).first()
-    small = [c for c in categorical if sizes[c] <= max_indexed]
-    stages = [string_indexer(small)] if small else []
-    stages += [hash_stage(c) for c in categorical if c not in small]
-    return Pipeline(stages=[*stages, assembler(numeric, categorical)]).fit(df)
-
-
-def feature_names(model: PipelineModel) -> list[str]:
-    return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
-
-
-def index_sizes(model: PipelineModel) -> list[int]:
-    """Categories per indexer, counting the extra one for unseen values."""
-    return [len(labels) + 1 for s in model.stages if hasattr(s, "labelsArray") for labels in s.labelsArray]
+    df: DataFrame, by: str = "code", label: str | None = None, numeric: Sequence[str] = NUMERIC_FEATURES,
+    categorical: Sequence[str] = CATEGORICAL_FEATURES,
+) -> Encoder:
+    """Count the categories of ``df`` and keep their codes as a written table."""
+    return Encoder(cut_lineage(category_codes(df, categorical, label), "codes"), by, tuple(numeric), tuple(categorical))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -22,16 +21,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 
 def left_lookup(
-    fact: DataFrame, dim: DataFrame, keys: Sequence[str], salts: int = SALTS, max_rows: int = BROADCAST_ROWS,
-    salt_on: Sequence[str] | None = None,
+    fact: DataFrame, dim: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS, null_safe: bool = False,
 ) -> DataFrame:
-    """Left equi-join to a table with one row per key: broadcast if measured small, else salted.
+    """Left equi-join to a table with one row per key: broadcast if measured small, else a sort-merge join.
 
-    The salted way copies the dimension ``salts`` times and spreads each fact key over as many tasks, by a hash of the
-    ``salt_on`` columns (all columns if not given), which is the same when a task is run again.
+    The session lets AQE split the fact side's hot keys; the dimension has one row for each. ``null_safe`` lets null keys meet.
     """
-    if fits_broadcast(dim, max_rows):
-        return fact.join(F.broadcast(dim), list(keys), "left")
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*(salt_on or fact.columns)), F.lit(salts)).cast("int"))
-    return salted.join(salted_dim, [*keys, "_salt"], "left").drop("_salt")
+    own = dim.select(*[F.col(k).alias(f"_dim_{k}") for k in keys], *[c for c in dim.columns if c not in keys])
+    same = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_dim_{k}")) if null_safe else F.col(k) == F.col(f"_dim_{k}")
+        same = c if same is None else same & c
+    own = F.broadcast(own) if fits_broadcast(dim, max_rows) else own
+    return fact.join(own, same, "left").drop(*[f"_dim_{k}" for k in keys])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -14,61 +14,81 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.functions.labels import at_threshold, mapped
 from latewing.functions.vectors import delay_probability, vec_get
-from latewing.operators.features import complete_features, feature_names, fit_encoder, index_sizes
+from latewing.operators.features import Encoder, complete_features, fit_encoder
 from latewing.schema import FRIENDLY_NAMES
 
-# Training parameters and the smallest bin count for tree models.
+# Training parameters and the bin count of tree models.
 LR_PARAMS = dict(maxIter=100, regParam=0.001, elasticNetParam=0.1)
 DT_PARAMS = dict(maxDepth=15, minInstancesPerNode=5, minInfoGain=0.0, seed=42)
 RF_PARAMS = dict(numTrees=50, maxDepth=15, minInstancesPerNode=5, subsamplingRate=0.8,
                  featureSubsetStrategy="sqrt", seed=42)
-MIN_BINS = 400
+MAX_BINS = 400
 # Memory for the statistics of one pass: with many bins the default forces a pass over the data per few nodes.
 TREE_MEMORY_MB = 512
 ROWS_PER_PART = 1_000_000
 
 
+@dataclass
+class Scorer:
+    """From raw columns to probability: category codes, feature vector, classifier."""
+
+    encoder: Encoder
+    classifier: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.classifier.transform(self.encoder.transform(df))
+
+
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: Scorer
     seconds: float
 
 
-def _classifier(kind: str, bins: int, params: dict):
+def _classifier(kind: str, params: dict):
     if kind == "lr":
         return LogisticRegression(**{**LR_PARAMS, **params})
     tree = {"dt": (DecisionTreeClassifier, DT_PARAMS), "rf": (RandomForestClassifier, RF_PARAMS)}[kind]
-    return tree[0](**{"maxBins": bins, "maxMemoryInMB": TREE_MEMORY_MB, **tree[1], **params})
+    return tree[0](**{"maxBins": MAX_BINS, "maxMemoryInMB": TREE_MEMORY_MB, **tree[1], **params})
+
+
+#: What stands for a category: its frequency rank in the linear model, its smoothed delay rate in trees.
+ENCODING = {"lr": "code", "dt": "rate", "rf": "rate"}
 
 
 def train_models(train: DataFrame, kinds=("lr", "dt", "rf"), **params: dict) -> dict[str, Trained]:
-    """Fit the encoder once, then each classifier on the encoded rows; ``params`` maps a kind to overrides."""
-    encoder = fit_encoder(train)
-    bins = max([MIN_BINS, *index_sizes(encoder)])
+    """Count categories once, then fit each classifier on the encoded rows; ``params`` maps a kind to overrides."""
+    base = fit_encoder(train, label="label")
     # Training passes over the rows many times, so they are spread over all cores and kept; lost parts are recomputed.
     cores = train.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, math.ceil(train.count() / ROWS_PER_PART))
-    encoded = encoder.transform(train).select("features", "label").repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        out = {}
-        for kind in kinds:
-            begin = time.monotonic()
-            fitted = _classifier(kind, bins, params.get(kind, {})).fit(encoded)
-            out[kind] = Trained(PipelineModel([*encoder.stages, fitted]), time.monotonic() - begin)
-        return out
-    finally:
-        encoded.unpersist()
+    out = {}
+    for by in dict.fromkeys(ENCODING[k] for k in kinds):
+        encoder = replace(base, by=by)
+        encoded = encoder.transform(train).select("features", "label").repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for kind in (k for k in kinds if ENCODING[k] == by):
+                begin = time.monotonic()
+                fitted = _classifier(kind, params.get(kind, {})).fit(encoded)
+                out[kind] = Trained(Scorer(encoder, PipelineModel([fitted])), time.monotonic() - begin)
+        finally:
+            encoded.unpersist()
+    return {k: out[k] for k in kinds}
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Scorer, path: str) -> None:
+    """The classifier, and beside it the code table with the kind of encoding."""
+    model.classifier.write().overwrite().save(f"{path}/classifier")
+    e = model.encoder
+    e.codes.withColumn("by", F.lit(e.by)).write.mode("overwrite").parquet(f"{path}/codes")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Scorer:
+    codes = SparkSession.getActiveSession().read.parquet(f"{path}/codes")
+    return Scorer(Encoder(codes.drop("by"), codes.select("by").first()[0]), PipelineModel.load(f"{path}/classifier"))
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: Scorer, df: DataFrame) -> DataFrame:
     """Input columns plus ``prediction`` (int) and ``p``; the vectors are dropped."""
     out = model.transform(df)
     keep = [c for c in df.columns if c != "prediction"]
@@ -83,10 +103,10 @@ def decode_features(encoded: DataFrame, names: list[str], ints: list[str]) -> Da
     return out.withColumns({n: F.col(n).cast("int") for n in ints})
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
+def feature_importance(spark: SparkSession, model: Scorer) -> DataFrame:
     """``(feature, name, importance, pct, rank)``; a handful of rows, one per vector slot."""
-    names = feature_names(model)
-    values = model.stages[-1].featureImportances.toArray().tolist()
+    names = model.encoder.names()
+    values = model.classifier.stages[-1].featureImportances.toArray().tolist()
     order = sorted(range(len(names)), key=lambda i: (-values[i], names[i]))
     rows = [(names[i], float(values[i]), r) for r, i in enumerate(order, 1)]
     df = spark.createDataFrame(rows, "feature string, importance double, rank int")
@@ -105,10 +125,10 @@ def top_importance(importance: DataFrame, k: int = 10) -> DataFrame:
     return head.unionByName(other)
 
 
-def score_batch(model: PipelineModel, raw: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score_batch(model: Scorer, raw: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A new month of raw rows: cast, drop incomplete rows, predict with the saved encoder."""
     return predict(model, complete_features(raw)).withColumn("flagged", at_threshold("p", threshold))
 
 
-def encoded_array(encoder: PipelineModel, df: DataFrame) -> DataFrame:
+def encoded_array(encoder: Encoder, df: DataFrame) -> DataFrame:
     return encoder.transform(df).withColumn("features_array", vector_to_array("features"))

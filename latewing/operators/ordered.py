@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 from latewing.session import cut_lineage
 
 CHUNK_ROWS = 1_000_000   # rows one window task may hold
-MAX_PIECES = 16_384      # border values kept in the plan
 PER_PIECE = 16           # sampled rows per border
 LEVELS = 3               # steps of the border search
 
@@ -29,7 +28,7 @@ def with_chunk(df: DataFrame, cols: Sequence[str], rows: int, chunk_rows: int =
 
     ``rows`` may be an upper bound. Columns must be comparable; tuples that are equal share a range.
     """
-    pieces = min(MAX_PIECES, ceil(rows / chunk_rows) + 1)
+    pieces = ceil(rows / chunk_rows) + 1
     width = max(2, ceil(pieces ** (1 / LEVELS)))
     # Hash sample of about PER_PIECE rows per piece: the same rows whatever the partitioning.
     grain = 1 << 30

@@ -119,7 +119,7 @@ def markov_likelihood(events: DataFrame, rows: int | None = None) -> DataFrame:
         steps(events, ["event_type"], rows).where(F.col("prev_event_type").isNotNull())
         .groupBy("flight_id", "prev_event_type", "event_type").agg(F.count(F.lit(1)).alias("c"))
     )
-    joined = left_lookup(own, probs, ["prev_event_type", "event_type"], salt_on=["flight_id"])
+    joined = left_lookup(own, probs, ["prev_event_type", "event_type"])
     total = F.sum(F.col("c") * F.ln("prob"))
     return joined.groupBy("flight_id").agg(
         F.sum("c").alias("steps"), total.alias("log_likelihood"), (total / F.sum("c")).alias("mean_log_prob"))
@@ -279,7 +279,10 @@ def unusual_altitude(events: DataFrame, level: float = 1000.0, tolerance: float
 # --- counts and flags -----------------------------------------------------------------------------------------------
 
 def event_counts(events: DataFrame, kinds: Sequence[str] = EXPECTED_EVENTS) -> DataFrame:
-    return events.groupBy("flight_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds])
+    """Events of each listed kind, and of all others together."""
+    other = ~F.coalesce(F.col("event_type").isin(*kinds), F.lit(False))
+    return events.groupBy("flight_id").agg(
+        *[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds], F.count_if(other).alias("n_other"))
 
 
 def go_arounds(events: DataFrame) -> DataFrame:
@@ -320,13 +323,13 @@ def dedup_events(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 def peer_stats(flights: DataFrame, value: str, peer: Sequence[str]) -> DataFrame:
     """Add mean and deviation of a value over all flights of the same peer group (all flights for no key).
 
-    The group table has one row per group; it is written out, measured, and broadcast or joined with salt.
+    The group table has one row per group; it is written out, measured, and broadcast if small. The group without a key counts too.
     """
     cols = [F.avg(value).alias("peer_mean"), F.stddev(value).alias("peer_std"), F.count(value).alias("peers")]
     if not peer:
         fleet = flights.agg(F.struct(*cols).alias("s")).scalar()
         return flights.withColumn("_s", fleet).select(*flights.columns, "_s.*")
-    return left_lookup(flights, cut_lineage(flights.groupBy(*peer).agg(*cols), "peers"), peer, salt_on=["flight_id"])
+    return left_lookup(flights, cut_lineage(flights.groupBy(*peer).agg(*cols), "peers"), peer, null_safe=True)
 
 
 def peer_zscore(flights: DataFrame, value: str, peer: Sequence[str] = (), out: str = "z") -> DataFrame:
@@ -347,7 +350,7 @@ def percent_rank(flights: DataFrame, value: str, out: str = "pct_rank", rows: in
     ranked = running(counts, [], ["value"], {"_cum": "n"}, {"_all": "n"}, rows, chunk_rows)
     share = F.coalesce(F.try_divide(F.col("_cum") - F.col("n"), F.col("_all") - 1), F.lit(0.0))
     table = ranked.select(F.col("value").alias(value), share.alias(out))
-    return left_lookup(flights, cut_lineage(table, "ranks"), [value], salt_on=["flight_id"])
+    return left_lookup(flights, cut_lineage(table, "ranks"), [value], null_safe=True)
 
 
 def starts(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.functions import labels
@@ -24,10 +26,21 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("bigint") for c in LONGS})
 
 
-@query("src_list")
+LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("src_list", " UNION ALL ".join(f"SELECT '{t}' AS name, true AS listed, count(*) AS rows FROM {t}" for t in LISTED))
 def _(spark, sf):
-    found = files.list_files(spark, f"{sf}/*.parquet")
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    """Rows of each file as read, by table, and whether the listing shows the same files with the same lengths."""
+    found = files.list_files(spark, f"{sf}/*.parquet").select(
+        F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("name"), "length")
+    listed = found.groupBy("name").agg(F.sum("length").alias("listed_length"))
+    read = reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{sf}/{t}.parquet").groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("name", F.lit(t)) for t in LISTED])
+    by_table = read.groupBy("name").agg(F.sum("file_size").alias("size"), F.sum("rows").alias("rows"))
+    return by_table.join(listed, "name", "left").select("name", F.coalesce(
+        F.col("listed_length") == F.col("size"), F.lit(False)).alias("listed"), "rows")
 
 
 @query("src_parquet", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")

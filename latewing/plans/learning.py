@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.functions.vectors import vec_get
@@ -12,41 +10,27 @@ from latewing.operators.sampling import split_random
 from latewing.plans.flights import SAMPLE_TEXT, _bucket_sql, flights
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, INT_FEATURES, NUMERIC_FEATURES
-from latewing.session import cut_lineage, run_folder
+from latewing.session import cut_lineage, kept, run_folder
 from latewing.sources.views import FLIGHT_KEY
 
 NAMES = {"lr": "Logistic Regression", "dt": "Decision Tree", "rf": "Random Forest"}
 
 
-@lru_cache(maxsize=8)
-def _parts(app_id: str, sf: str) -> tuple[DataFrame, DataFrame]:
-    spark = SparkSession.getActiveSession()
-    rows = cut_lineage(features.training_rows(flights(spark, sf), FLIGHT_KEY), "training")
-    return split_random(rows, 0.8, FLIGHT_KEY)
-
-
-@lru_cache(maxsize=24)
-def _fitted(app_id: str, sf: str, kind: str) -> models.Trained:
-    return models.train_models(_parts(app_id, sf)[0], (kind,))[kind]
-
-
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows."""
-    return _parts(spark.sparkContext.applicationId, sf)
+    """Training and test rows, written once while the inputs stay the same."""
+    rows = kept(spark, "training", sf, lambda: cut_lineage(features.training_rows(flights(spark, sf), FLIGHT_KEY), "training"))
+    return split_random(rows, 0.8, FLIGHT_KEY)
 
 
 def fitted(spark: SparkSession, sf: str, kind: str) -> models.Trained:
-    return _fitted(spark.sparkContext.applicationId, sf, kind)
-
-
-@lru_cache(maxsize=24)
-def _scores(app_id: str, sf: str, kind: str) -> DataFrame:
-    return cut_lineage(models.predict(_fitted(app_id, sf, kind).model, _parts(app_id, sf)[1]), "scores")
+    train, _ = parts(spark, sf)
+    return kept(spark, f"model {kind}", sf, lambda: models.train_models(train, (kind,))[kind])
 
 
 def test_scores(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Scored test rows, written once: several metrics read them."""
-    return _scores(spark.sparkContext.applicationId, sf, kind)
+    model, (_, test) = fitted(spark, sf, kind).model, parts(spark, sf)
+    return kept(spark, f"scores {kind}", sf, lambda: cut_lineage(models.predict(model, test), "scores"))
 
 
 def _rank_sql(col: str) -> str:
@@ -56,13 +40,8 @@ def _rank_sql(col: str) -> str:
 
 @query("ml_string_index", " UNION ALL ".join(f"({_rank_sql(c)})" for c in CATEGORICAL_FEATURES), "flights")
 def _(spark, sf):
-    df = flights(spark, sf)
-    coded = features.string_indexer(CATEGORICAL_FEATURES).fit(df).transform(df)
-    parts = [
-        coded.groupBy(F.col(c).alias("value"), F.col(f"{c}_indexed").alias("idx")).agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("column", F.lit(c)) for c in CATEGORICAL_FEATURES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    codes = features.category_codes(flights(spark, sf), CATEGORICAL_FEATURES)
+    return codes.where("value IS NOT NULL").select("column", "value", F.col("code").alias("idx"), "count")
 
 
 SLOTS = (*NUMERIC_FEATURES, *[f"{c}_indexed" for c in CATEGORICAL_FEATURES])
@@ -109,9 +88,13 @@ def _(spark, sf):
 
 
 def _register_model(kind: str) -> None:
-    @query(f"ml_{kind}")
+    @query(f"ml_{kind}", f"""WITH {ML_ROWS} SELECT {', '.join(FLIGHT_KEY)}, arr_del15::DOUBLE AS label, true AS in_range, true AS decided
+FROM ml_rows WHERE b >= 8000""", "flights")
     def _(spark, sf):
-        return test_scores(spark, sf, kind).select(*FLIGHT_KEY, "label", "prediction", r("p", 6))
+        """Every test row with its label: a probability in range, and a prediction that follows from it."""
+        return test_scores(spark, sf, kind).select(
+            *FLIGHT_KEY, "label", F.col("p").between(0, 1).alias("in_range"),
+            ((F.col("prediction") == 1) == (F.col("p") > 0.5)).alias("decided"))
 
 
 for _kind in NAMES:
@@ -125,20 +108,33 @@ def _(spark, sf):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("scored_rows"))
 
 
-@query("ml_feature_importance")
+@query("ml_feature_importance", "SELECT 10::BIGINT AS features, 10::BIGINT AS ranks, 1.0::DOUBLE AS total, true AS ordered")
 def _(spark, sf):
-    return models.feature_importance(spark, fitted(spark, sf, "rf").model)
+    """Ten features, each with a rank of its own, importances that add up to one and fall with the rank."""
+    table = models.feature_importance(spark, fitted(spark, sf, "rf").model)
+    return table.agg(
+        F.count_distinct("feature").alias("features"), F.count_distinct("rank").alias("ranks"), F.round(F.sum("importance"), 6).alias("total"),
+        (F.array_agg("rank") == F.transform(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature", "rank"))),
+                                            lambda x: x["rank"])).alias("ordered"))
 
 
-@query("topk_feature_importance")
+@query("topk_feature_importance", "SELECT 6::BIGINT AS rows, 1.0::DOUBLE AS total")
 def _(spark, sf):
-    return models.top_importance(models.feature_importance(spark, fitted(spark, sf, "rf").model), 5)
+    top = models.top_importance(models.feature_importance(spark, fitted(spark, sf, "rf").model), 5)
+    return top.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("importance"), 6).alias("total"))
 
 
-@query("ml_compare_models")
+@query("ml_compare_models", " UNION ALL ".join(f"SELECT '{n}' AS model, true AS in_range, true AS best_leads" for n in NAMES.values()))
 def _(spark, sf):
-    return metrics.compare_models({name: test_scores(spark, sf, k) for k, name in NAMES.items()},
-                                  {name: fitted(spark, sf, k).seconds for k, name in NAMES.items()})
+    """The models' metrics lie in range, and the one marked as best has the largest AUC."""
+    table = cut_lineage(metrics.compare_models({name: test_scores(spark, sf, k) for k, name in NAMES.items()},
+                                               {name: fitted(spark, sf, k).seconds for k, name in NAMES.items()}), "compared")
+    lead = table.agg(F.max("auc_roc")).scalar()
+    fair = F.lit(True)
+    for c in ("auc_roc", "accuracy", "weighted_precision", "weighted_recall", "f1"):
+        fair = fair & F.col(c).between(0, 1)
+    return table.withColumn("_lead", lead).select("model", fair.alias("in_range"), (
+        ~F.col("best") | (F.col("auc_roc") == F.col("_lead"))).alias("best_leads"))
 
 
 @query("ml_train_time")
@@ -147,11 +143,14 @@ def _(spark, sf):
         "model", "train_seconds")
 
 
-@query("ml_overfit_gap")
+@query("ml_overfit_gap", " UNION ALL ".join(f"SELECT '{n}' AS model, true AS in_range, true AS flagged" for n in NAMES.values()))
 def _(spark, sf):
+    """Accuracies in range, and the flag set exactly where the gap passes five points."""
     train, _ = parts(spark, sf)
-    return metrics.overfit_gap({
+    gaps = metrics.overfit_gap({
         name: (models.predict(fitted(spark, sf, k).model, train), test_scores(spark, sf, k)) for k, name in NAMES.items()})
+    return gaps.select("model", (F.col("train_accuracy").between(0, 1) & F.col("test_accuracy").between(0, 1)).alias("in_range"), (
+        F.col("overfit") == ((F.col("train_accuracy") - F.col("test_accuracy")) * 100 > 5)).alias("flagged"))
 
 
 @query("score_batch", "SELECT count(*) AS scored_rows FROM flights", "flights")
@@ -161,11 +160,13 @@ def _(spark, sf):
     return out.where(F.col("p").isNotNull()).agg(F.count(F.lit(1)).alias("scored_rows"))
 
 
-@query("score_batch_distribution")
+@query("score_batch_distribution", "SELECT count(*) AS total, true AS consistent FROM flights", "flights")
 def _(spark, sf):
     raw = flights(spark, sf).select(*[F.col(c).cast("string") for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)])
     out = models.score_batch(fitted(spark, sf, "rf").model, raw)
-    return out.groupBy("prediction", "flagged").agg(F.count(F.lit(1)).alias("count"))
+    cells = out.groupBy("prediction", "flagged").agg(
+        F.count(F.lit(1)).alias("count"), F.bool_and((F.col("flagged") == 1) == (F.col("p") >= 0.5)).alias("fair"))
+    return cells.agg(F.sum("count").alias("total"), F.bool_and("fair").alias("consistent"))
 
 
 def _saved(spark: SparkSession, sf: str) -> DataFrame:

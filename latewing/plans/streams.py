@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import ranking
@@ -13,7 +11,7 @@ from latewing.plans.flights import KEY, flights
 from latewing.plans.learning import fitted
 from latewing.plans.registry import query
 from latewing.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from latewing.session import run_folder
+from latewing.session import kept, run_folder
 from latewing.sources import views
 from latewing.sources.messages import parse_messages
 from latewing.sources.views import FLIGHT_KEY, table_rows
@@ -83,9 +81,7 @@ def _(spark, sf):
     return spark.read.schema(rows.schema).parquet(f"{out}/table")
 
 
-@lru_cache(maxsize=8)
-def _scored_stream(app_id: str, sf: str) -> str:
-    spark = SparkSession.getActiveSession()
+def _scored_stream(spark: SparkSession, sf: str) -> str:
     out = run_folder(spark, "scoring")
     model = fitted(spark, sf, "rf").model
     finish(scoring.start_scoring(message_stream(spark, sf), model, out, f"{out}/checkpoint", available_now=True))
@@ -93,8 +89,10 @@ def _scored_stream(app_id: str, sf: str) -> str:
 
 
 def scored_tables(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A result table of one scoring run over all messages; the run is shared by the queries of a session."""
-    return scoring.read_table(spark, _scored_stream(spark.sparkContext.applicationId, sf), name)
+    """A result table of one scoring run over all messages; queries share the run while the inputs stay the same."""
+    fitted(spark, sf, "rf")  # kept by itself
+    out = kept(spark, "scoring", sf, lambda: _scored_stream(spark, sf))
+    return scoring.read_table(spark, out, name)
 
 
 @query("st_score_foreach_batch", "SELECT count(*) AS scored_rows FROM flights", "flights")
@@ -102,10 +100,14 @@ def _(spark, sf):
     return scored_tables(spark, sf, "scored").where(F.col("p").between(0, 1)).agg(F.count(F.lit(1)).alias("scored_rows"))
 
 
-@query("st_batch_metrics")
+@query("st_batch_metrics", "SELECT count(*) AS records, true AS in_order, true AS once FROM flights", "flights")
 def _(spark, sf):
-    return scored_tables(spark, sf, "metrics").select(
-        "batch_id", "records_processed", "min_prob", "max_prob", "avg_prob")
+    """The batches' sizes add up to all flights, each batch has one row, and its minimum, mean and maximum are in order."""
+    m = scored_tables(spark, sf, "metrics")
+    return m.agg(
+        F.sum("records_processed").cast("bigint").alias("records"),
+        F.bool_and((F.col("min_prob") <= F.col("avg_prob") + 1e-12) & (F.col("avg_prob") <= F.col("max_prob") + 1e-12)).alias("in_order"),
+        (F.count_distinct("batch_id") == F.count(F.lit(1))).alias("once"))
 
 
 @query("st_scoring_totals", "SELECT count(*) AS total_records, true AS mean_agrees FROM flights", "flights")
@@ -116,10 +118,14 @@ def _(spark, sf):
     return totals.select("total_records", (F.abs(F.col("avg_prob") - direct) < 1e-9).alias("mean_agrees"))
 
 
-@query("st_alerts")
+@query("st_alerts", "SELECT true AS any_alert, true AS is_maximum")
 def _(spark, sf):
-    return scoring.recent_alerts(scored_tables(spark, sf, "alerts")).select(
-        "batch_id", *[f.name for f in scoring.ALERT_SCHEMA])
+    """Each alert's probability is the largest of its batch."""
+    alerts = scoring.recent_alerts(scored_tables(spark, sf, "alerts"))
+    top = scored_tables(spark, sf, "metrics").select("batch_id", "max_prob")
+    joined = alerts.join(top, "batch_id", "left")
+    return joined.agg((F.count(F.lit(1)) > 0).alias("any_alert"), F.bool_and(
+        F.coalesce(F.abs(F.col("delay_probability") - F.col("max_prob")) < 1e-9, F.lit(False))).alias("is_maximum"))
 
 
 def daily_metrics(spark, sf):

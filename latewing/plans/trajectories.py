@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import anomaly as an, models, trajectory as tr
@@ -11,7 +9,7 @@ from latewing.operators.aggregates import corr_matrix
 from latewing.plans.learning import fitted, parts
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, EXPECTED_EVENTS, NUMERIC_FEATURES
-from latewing.session import cut_lineage
+from latewing.session import cut_lineage, kept
 from latewing.sources import views
 from latewing.sources.views import FLIGHT_KEY, table_rows
 
@@ -139,7 +137,8 @@ def _(spark, sf):
 
 
 @query("p_event_counts", "SELECT flight_id, " + ", ".join(
-    f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in EXPECTED_EVENTS) + " FROM trajectory GROUP BY 1", V)
+    f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in EXPECTED_EVENTS) + ", count(*) FILTER (event_type IS NULL OR event_type NOT IN ("
+    + ", ".join(f"'{k}'" for k in EXPECTED_EVENTS) + ")) AS n_other FROM trajectory GROUP BY 1", V)
 def _(spark, sf):
     return tr.event_counts(events(spark, sf))
 
@@ -300,15 +299,9 @@ FEATS = f"""{S}, feats AS (SELECT flight_id, count(*) AS events, (max(us) - min(
   count(*) FILTER (event_type = 'purchase') AS landings, count(DISTINCT event_type) AS kinds FROM s GROUP BY 1)"""
 
 
-@lru_cache(maxsize=8)
-def _feats(app_id: str, sf: str) -> DataFrame:
-    spark = SparkSession.getActiveSession()
-    return cut_lineage(an.flight_features(events(spark, sf), n(spark, sf)), "feats")
-
-
 def feats(spark, sf) -> DataFrame:
-    """The flight feature table, written once per session: every detector reads it several times."""
-    return _feats(spark.sparkContext.applicationId, sf)
+    """The flight feature table, written once while the inputs stay the same: every detector reads it several times."""
+    return kept(spark, "feats", sf, lambda: cut_lineage(an.flight_features(events(spark, sf), n(spark, sf)), "feats"))
 
 
 @query("p_flight_features", f"""WITH {FEATS} SELECT flight_id, events, duration_s, mean_gap_s, max_gap_s, round(distance_km, 3) AS distance_km,
@@ -337,11 +330,13 @@ def _(spark, sf):
     return corr_matrix(feats(spark, sf), an.FEATURES).withColumn("corr", F.round("corr", 6))
 
 
-@query("p_corr_prune")
+@query("p_corr_prune", "SELECT flight_id, true AS loose FROM trajectory GROUP BY 1", V)
 def _(spark, sf):
+    """The flights with their kept columns; no two of those correlate above the limit."""
     rows = feats(spark, sf)
-    kept = an.corr_prune(rows, an.FEATURES, 0.8)
-    return rows.select("flight_id", *kept)
+    names = an.corr_prune(rows, an.FEATURES, 0.8)
+    tight = corr_matrix(rows, names).where("a != b").agg(F.coalesce(F.max(F.abs("corr")), F.lit(0.0))).scalar()
+    return rows.select("flight_id", *names).withColumn("tight", tight).select("flight_id", (F.col("tight") <= 0.8).alias("loose"))
 
 
 FLAGS = f"""{FEATS}, q AS (SELECT quantile_disc(duration_s, 0.95) AS qd, quantile_disc(max_alt, 0.95) AS qa FROM feats),
@@ -374,19 +369,33 @@ def _(spark, sf):
     return an.inject_anomalies(events(spark, sf)).select("flight_id", "event_id", "us", "injected")
 
 
-@query("p_kmeans_outliers")
+SCORED_ONCE = "SELECT flight_id, true AS scored, true AS fair FROM trajectory GROUP BY 1"
+
+
+@query("p_kmeans_outliers", SCORED_ONCE, V)
 def _(spark, sf):
-    return an.kmeans_outliers(feats(spark, sf))
+    """One row per flight, scored where its features are complete; small clusters and far flights are flagged, no others."""
+    out = cut_lineage(an.kmeans_outliers(feats(spark, sf)), "kmeans")
+    far = out.agg(F.struct(F.avg("distance").alias("m"), F.stddev("distance").alias("s"), F.count("distance").alias("n"))).scalar()
+    due = (F.col("distance") > F.col("f.m") + 3 * F.col("f.s")) | (F.col("cluster_size") < 0.01 * F.col("f.n"))
+    return out.withColumn("f", far).select("flight_id", (F.col("distance") >= 0).alias("scored"), (F.col("outlier") == due).alias("fair"))
 
 
-@query("p_isolation_forest")
+@query("p_isolation_forest", SCORED_ONCE, V)
 def _(spark, sf):
-    return an.isolation_forest(feats(spark, sf))
+    """One row per flight, its score in (0, 1); no unflagged flight scores above a flagged one."""
+    out = an.isolation_forest(feats(spark, sf))
+    low = out.agg(F.max(F.when(~F.col("outlier"), F.col("score")))).scalar()
+    return out.withColumn("low", low).select("flight_id", ((F.col("score") > 0) & (F.col("score") < 1)).alias("scored"), (
+        ~F.col("outlier") | (F.col("score") > F.col("low"))).alias("fair"))
 
 
-@query("p_pca_recon")
+@query("p_pca_recon", SCORED_ONCE, V)
 def _(spark, sf):
-    return an.pca_reconstruction(feats(spark, sf))
+    """One row per flight; more components never leave a larger error."""
+    less, more = (an.pca_reconstruction(feats(spark, sf), k=k) for k in (3, 5))
+    both = less.join(more.withColumnRenamed("error", "finer"), "flight_id")
+    return both.select("flight_id", (F.col("error") >= 0).alias("scored"), (F.col("finer") <= F.col("error") + 1e-9).alias("fair"))
 
 
 @query("p_knn_density", f"""WITH {FEATS}, z AS (SELECT flight_id, floor((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER () / 0.5) AS x,
@@ -404,12 +413,14 @@ def _(spark, sf):
     return an.ensemble_vote({k: f.select("flight_id", F.col(k).alias("flag")) for k in an.RULES})
 
 
-@query("p_permutation_importance")
+@query("p_permutation_importance", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, true AS in_range, true AS adds_up" for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)))
 def _(spark, sf):
     model, test = fitted(spark, sf, "rf").model, parts(spark, sf)[1]
     cols = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
-    return an.permutation_importance(lambda df: models.predict(model, df), test, cols, FLIGHT_KEY,
-                                     table_rows(spark, sf, "lineitem"))
+    out = an.permutation_importance(lambda df: models.predict(model, df), test, cols, FLIGHT_KEY, table_rows(spark, sf, "lineitem"))
+    return out.select("feature", (F.col("auc_roc").between(0, 1) & F.col("base_auc").between(0, 1)).alias("in_range"), (
+        F.abs(F.col("base_auc") - F.col("auc_roc") - F.col("importance")) < 1e-12).alias("adds_up"))
 
 
 def _period(e: DataFrame, first: bool, rows: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +57,59 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A fresh, not yet existing path for one run below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh, not yet existing path for one run below the shared folder; ``forget`` removes it."""
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _folders.append(path)
+    return path
+
+
+_folders: list[str] = []
+_kept: dict[tuple[str, str], tuple[str, object, list[str]]] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def input_state(spark: SparkSession, folder: str) -> str:
+    """Paths, sizes and times of the files of a folder's tables: changes whenever a table does."""
+    fs, root = _file_system(spark, folder)
+    seen = []
+    for entry in fs.listStatus(root):
+        for f in fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]:
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, label: str, folder: str, make: Callable[[], object]):
+    """The result of ``make`` for the tables of a folder, made once for their present state.
+
+    When a table changes, the old result's folders are removed and it is made anew.
+    """
+    key, state = (label, folder), f"{spark.sparkContext.applicationId} {input_state(spark, folder)}"
+    if key in _kept and _kept[key][0] == state:
+        return _kept[key][1]
+    if key in _kept:
+        _remove(spark, _kept.pop(key)[2])
+    before = len(_folders)
+    value = make()
+    _kept[key] = (state, value, _folders[before:])
+    return value
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
+        if path in _folders:
+            _folders.remove(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop all kept results and remove every folder that runs of this session wrote; DataFrames read from them end here."""
+    _kept.clear()
+    _remove(spark, list(_folders))
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:

@@ -5,20 +5,12 @@ Each view exists twice: as a DataFrame here and as SQL text in ``SQL`` for the c
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-
-
-@lru_cache(maxsize=256)
-def _schema(app_id: str, path: str) -> T.StructType:
-    return SparkSession.getActiveSession().read.parquet(path).schema
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; footers are read for the schema once per session, not once per query."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
+    """A base table as it is now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:

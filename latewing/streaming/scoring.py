@@ -7,12 +7,11 @@ overwrites it, so a batch that is run again leaves no duplicates. Errors are not
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from latewing.functions.labels import at_threshold
 from latewing.operators.aggregates import prob_stats
-from latewing.operators.models import score_batch
+from latewing.operators.models import Scorer, score_batch
 from latewing.operators.ordered import running
 from latewing.sources.messages import parse_messages
 
@@ -47,7 +46,7 @@ def check_mode(mode: str) -> str:
     return mode
 
 
-def write_batch(batch: DataFrame, batch_id: int, model: PipelineModel, threshold: float, out: str) -> None:
+def write_batch(batch: DataFrame, batch_id: int, model: Scorer, threshold: float, out: str) -> None:
     """One micro-batch: score, then derive metrics and alert from the written rows."""
     spark = batch.sparkSession
     target = f"{out}/scored/batch_id={batch_id}"
@@ -66,7 +65,7 @@ def batch_metrics(scored: DataFrame, batch_id: int) -> DataFrame:
 
 
 def start_scoring(
-    stream: DataFrame, model: PipelineModel, out: str, checkpoint: str, threshold: float = 0.5, mode: str = "append",
+    stream: DataFrame, model: Scorer, out: str, checkpoint: str, threshold: float = 0.5, mode: str = "append",
     available_now: bool = False,
 ):
     """Start scoring a stream of messages (any stream with a ``value`` column).

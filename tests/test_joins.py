@@ -4,12 +4,12 @@ from latewing.operators import dims
 from latewing.operators.joins import fits_broadcast, left_lookup
 
 
-def test_salted_equals_broadcast(spark):
+def test_far_way_equals_broadcast(spark):
     fact = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
     dim = spark.range(40).select(F.col("id").cast("string").alias("k"), (F.col("id") * 10).alias("x")).unionByName(
         spark.sql("SELECT 'hot' AS k, 7L AS x"))
     a = left_lookup(fact, dim, ["k"])
-    b = left_lookup(fact, dim, ["k"], salts=8, max_rows=5)
+    b = left_lookup(fact, dim, ["k"], max_rows=5)
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
     assert a.count() == 3000
 
@@ -36,8 +36,15 @@ def test_left_join_keeps_rows_and_falls_back(spark):
     assert {x.i: x.airline_name for x in dims.join_carrier_left(flights, None).collect()} == {1: "aa", 2: "zz", 3: None}
 
 
-def test_long_list_is_refused(spark):
-    import pytest
+def test_long_lists_join(spark):
+    fact = spark.range(30_000)
+    assert dims.join_pred_to_fact(fact, spark.range(12_000), ["id"]).count() == 12_000
+    assert dims.join_pred_to_fact(fact, spark.range(300_000), ["id"]).count() == 30_000
 
-    with pytest.raises(ValueError):
-        dims.join_pred_to_fact(spark.range(5), spark.range(5), ["id"], max_preds=4)
+
+def test_null_keys_meet_where_asked(spark):
+    fact = spark.createDataFrame([(1, None), (2, "a")], "id int, k string")
+    dim = spark.createDataFrame([(None, 7), ("a", 8)], "k string, x int")
+    for most in (10, 1):
+        assert {r.id: r.x for r in left_lookup(fact, dim, ["k"], max_rows=most, null_safe=True).collect()} == {1: 7, 2: 8}
+        assert {r.id: r.x for r in left_lookup(fact, dim, ["k"], max_rows=most).collect()} == {1: None, 2: 8}

@@ -61,14 +61,23 @@ def test_save_load_and_unseen_category(spark, data):
     assert models.predict(again, test).agg(F.sum("p")).first()[0] == pytest.approx(a)
 
 
-def test_many_categories_are_hashed_and_stay_consistent(spark, data):
+def test_codes_are_the_same_rule_at_every_size(spark):
+    df = spark.range(60_000).selectExpr("concat('c', id % 20000 % (1 + id % 19999)) AS origin", "cast(id % 3 = 0 AS double) AS label")
+    codes = features.category_codes(df, ["origin"], "label").where("value IS NOT NULL").cache()
+    df.createOrReplaceTempView("many")
+    want = spark.sql("SELECT origin AS value, row_number() OVER (ORDER BY count(*) DESC, origin) - 1D AS code FROM many GROUP BY 1")
+    assert codes.count() > 10_000 and codes.select("value", "code").exceptAll(want).count() == 0 and want.count() == codes.count()
+    overall = df.agg(F.avg("label")).first()[0]
+    hand = df.groupBy("origin").agg(((F.sum("label") + 20 * overall) / (F.count("*") + 20)).alias("r"))
+    assert codes.join(hand, codes.value == hand.origin).where("abs(rate - r) > 1e-9").count() == 0
+
+
+def test_unseen_categories_get_the_last_code(spark, data):
     train, test, _ = data
-    enc = features.fit_encoder(train, max_indexed=5)
-    out = enc.transform(test)
-    assert out.where(~F.col("origin_indexed").between(0, 9999)).count() == 0
-    path = run_folder(spark, "enc")
-    enc.write().overwrite().save(path)
-    assert models.load_model(path).transform(test).select("features").exceptAll(out.select("features")).count() == 0
+    enc = features.fit_encoder(train, label="label")
+    n = train.select("origin").distinct().count()
+    strange = enc.transform(test.limit(3).withColumn("origin", F.lit("NOWHERE")))
+    assert {r.origin_indexed for r in strange.collect()} == {float(n)}
 
 
 def test_score_batch_drops_incomplete(spark, data):
