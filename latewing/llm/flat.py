@@ -119,9 +119,16 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
-def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The concatenated slices data[start : start + length]."""
-    return data[ranges(starts, lengths)]
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """The concatenated slices data[start : start + length]; indexes are made for a block of the result at a time."""
+    ends = np.cumsum(lengths)
+    out, i = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype), 0
+    while i < len(lengths):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + block, "right")))
+        out[before:int(ends[j - 1])] = data[ranges(starts[i:j], lengths[i:j])]
+        i = j
+    return out
 
 
 def covered(length: int, starts: np.ndarray, width) -> np.ndarray:
