@@ -192,6 +192,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return cells.withColumn("strength", labels.correlation_strength("corr"))
 
 
+def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, dp: int = 6) -> DataFrame:
+    """``(a, corr, rank)``: a row per column, by the size of its correlation with the target; ranks are those of a short array."""
+    cells = corr_matrix(df, [*cols, target]).where((F.col("b") == target) & (F.col("a") != target))
+    rounded = F.round("corr", dp)
+    order = F.struct(rounded.isNull().alias("none"), (-F.abs(rounded)).alias("size"), F.col("a").alias("a"), rounded.alias("corr"))
+    listed = cells.agg(F.array_sort(F.collect_list(order)).alias("l"))
+    return listed.select(F.posexplode("l").alias("at", "x")).select("x.a", "x.corr", (F.col("at") + 1).cast("bigint").alias("rank"))
+
+
 def cardinality(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approx else F.count_distinct
     row = df.agg(*[count(c).alias(c) for c in cols])

@@ -207,7 +207,6 @@ def level_segments(events: DataFrame, kind: str = LEVEL, rows: int | None = None
 # --- space ----------------------------------------------------------------------------------------------------------
 
 POSITION = ("lat", "lon")
-STEP_KM = haversine_km
 
 
 def _leg() -> Column:

@@ -11,6 +11,7 @@ from latewing.operators import clean
 from latewing.plans.flights import KEY, flights
 from latewing.plans.registry import query
 from latewing.plans.scores import KIND
+from latewing.schema import DOUBLE_COLUMNS, FILLED_DELAYS, INT_COLUMNS
 from latewing.session import run_folder
 from latewing.sources import files, messages, views
 from latewing.sources.views import FLIGHT_KEY, table
@@ -67,6 +68,32 @@ def _(spark, sf):
     return files.read_carrier_csv(spark, out)
 
 
+IDS = ("l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query("src_typed_ingest", f"""SELECT {', '.join(IDS)}, op_unique_carrier, crs_elapsed_time, year, month, CASE WHEN l_partkey % 10 <> 3 THEN crs_dep_time END AS crs_dep_time, cancelled, diverted,
+  coalesce(arr_delay_new, 0) AS arr_delay_new, CASE WHEN cancelled = 0 THEN dep_delay END AS dep_delay, distance, origin FROM flights""", "flights")
+def _(spark, sf):
+    """The whole way of monthly files: upper-case CSVs whose columns drift, numbers written as "1.00" or junk, the date
+    dropped, columns cast by the lists of the schema, delays filled, written partitioned as Parquet and read back."""
+    out = run_folder(spark, "ingest")
+    f = flights(spark, sf).withColumn("FL_DATE", F.concat_ws("/", "month", "day_of_month", "year"))
+    plain = ("op_unique_carrier", "origin", "distance", "crs_elapsed_time", "arr_delay_new", "dep_delay")
+    raw = f.select(*IDS, "FL_DATE", *[F.col(c).alias(c.upper()) for c in plain], *[
+        F.concat(F.col(c).cast("string"), F.lit(".00")).alias(c.upper()) for c in ("year", "month", "cancelled", "diverted")],
+        F.when(F.col("l_partkey") % 10 == 3, "n/a").otherwise(F.col("crs_dep_time").cast("string")).alias("CRS_DEP_TIME"))
+    files.write_csv(raw.where(F.col("CANCELLED") == "1.00").drop("DEP_DELAY"), f"{out}/a")
+    files.write_csv(raw.where(F.col("CANCELLED") == "0.00").select(*reversed(raw.columns)), f"{out}/b")
+    read = files.read_csv_drifting(spark, [f"{out}/a", f"{out}/b"], corrupt="_corrupt").where("_corrupt IS NULL").drop("_corrupt")
+    df = clean.cast_double_safe(clean.cast_int_via_double(read, INT_COLUMNS), DOUBLE_COLUMNS)
+    df = clean.fill_null_const(df, FILLED_DELAYS).withColumns({c: F.col(c).try_cast("bigint") for c in LONGS})
+    df = df.withColumn("l_linenumber", F.col("l_linenumber").try_cast("int"))
+    files.write_parquet(df.toDF(*[c.lower() for c in df.columns]), f"{out}/typed")
+    back = files.read_parquet(spark, f"{out}/typed")
+    return back.select(*IDS, "op_unique_carrier", "crs_elapsed_time", "year", "month", "crs_dep_time", "cancelled", "diverted",
+                       "arr_delay_new", "dep_delay", "distance", "origin")
+
+
 @query("src_csv_drift_union", f"""SELECT {KEY}, month, NULL::DOUBLE AS dep_delay, origin FROM flights WHERE cancelled = 1
 UNION ALL SELECT {KEY}, month, dep_delay, NULL FROM flights WHERE cancelled = 0""", "flights")
 def _(spark, sf):

@@ -444,6 +444,15 @@ def _(spark, sf):
     return agg.corr_matrix(rows, CORR).withColumn("corr", F.round("corr", 6))
 
 
+@query("agg_corr_target", "WITH c AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, corr({a}, arr_del15) AS corr FROM flights WHERE {CORR_FILTER}" for a in NUMERIC_FEATURES)
+    + ") SELECT a, round(corr, 6) AS corr, row_number() OVER (ORDER BY abs(round(corr, 6)) DESC NULLS LAST, a) AS rank FROM c", "flights")
+def _(spark, sf):
+    """Each feature's correlation with the label, strongest first."""
+    rows = clean.filter_operated_strict(clean.filter_valid_label(flights(spark, sf)))
+    return agg.corr_with_target(rows, NUMERIC_FEATURES, "arr_del15")
+
+
 @query("agg_cardinality", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\" FROM flights" for c in CATEGORICAL_FEATURES), "flights")
 def _(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import anomaly as an, models, trajectory as tr
 from latewing.operators.aggregates import corr_matrix
+from latewing.operators.quantiles import exact_quantiles
 from latewing.plans.learning import fitted, parts
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, EXPECTED_EVENTS, NUMERIC_FEATURES
@@ -413,6 +414,29 @@ def _(spark, sf):
     return an.ensemble_vote({k: f.select("flight_id", F.col(k).alias("flag")) for k in an.RULES})
 
 
+@query("p_method_vote", "SELECT flight_id, true AS in_range, true AS decided FROM trajectory GROUP BY 1", V)
+def _(spark, sf):
+    """Flights flagged by rules, clusters, reconstruction error, density and forest, each with a vote; two are enough."""
+    f, rows = feats(spark, sf), n(spark, sf)
+    error = cut_lineage(an.pca_reconstruction(f), "errors")
+    density = cut_lineage(an.grid_density(f, ["duration_s", "max_alt"]), "densities")
+    far = exact_quantiles(error, ["error"], {"q": 0.95}, rows=rows).select("q").scalar()
+    rare = exact_quantiles(density, ["density"], {"q": 0.05}, rows=rows).select("q").scalar()
+    rules = F.lit(0)
+    for k in an.RULES:
+        rules = rules + F.col(k).cast("int")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias("flag")
+    votes = cut_lineage(an.ensemble_vote({
+        "rules": flags(spark, sf).select("flight_id", flag(rules >= 2)),
+        "clusters": an.kmeans_outliers(f).select("flight_id", flag(F.col("outlier"))),
+        "error": error.withColumn("q", far).select("flight_id", flag(F.col("error") > F.col("q"))),
+        "density": density.withColumn("q", rare).select("flight_id", flag(F.col("density") <= F.col("q"))),
+        "forest": an.isolation_forest(f).select("flight_id", flag(F.col("outlier"))),
+    }), "votes")
+    return votes.select("flight_id", F.col("votes").between(0, 5).alias("in_range"), (
+        F.col("anomalous") == (F.col("votes") >= 2)).alias("decided"))
+
+
 @query("p_permutation_importance", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, true AS in_range, true AS adds_up" for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)))
 def _(spark, sf):

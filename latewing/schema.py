@@ -27,7 +27,7 @@ TARGET = "arr_del15"
 INT_FEATURES = ("month", "day_of_month", "day_of_week", "crs_dep_time", "crs_arr_time")
 DOUBLE_FEATURES = ("distance", "crs_elapsed_time")
 
-# Stream message: ten nullable strings, upper-case names as on the wire.
+# Fixed values, stream message: ten nullable strings, upper-case names as on the wire.
 MESSAGE_COLUMNS = (
     "OP_UNIQUE_CARRIER", "ORIGIN", "DEST", "CRS_DEP_TIME", "CRS_ARR_TIME", "CRS_ELAPSED_TIME", "DISTANCE", "MONTH",
     "DAY_OF_MONTH", "DAY_OF_WEEK",
@@ -38,12 +38,6 @@ CARRIER_FILE_SCHEMA = T.StructType(
     [T.StructField("Code", T.StringType(), True), T.StructField("Description", T.StringType(), True)]
 )
 
-BATCH_METRICS_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.LongType()), T.StructField("records_processed", T.LongType()),
-    T.StructField("min_prob", T.DoubleType()), T.StructField("max_prob", T.DoubleType()),
-    T.StructField("avg_prob", T.DoubleType()), T.StructField("ts", T.TimestampType()),
-])
-
 # Names shown to readers of a report.
 FRIENDLY_NAMES = {
     "dest_indexed": "Destination Airport", "origin_indexed": "Origin Airport", "op_unique_carrier_indexed": "Airline",

@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from latewing.functions.text import normalise_code
 from latewing.schema import CARRIER_FILE_SCHEMA
 
 
@@ -40,19 +39,38 @@ def read_carrier_csv(spark: SparkSession, path: str, schema: T.StructType = CARR
     return raw.withColumnsRenamed({"Code": "code", "Description": "description"})
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Files by their first line, found in one job over all files; a file without lines has no header."""
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for r in first.orderBy("header", "path").toLocalIterator():
+        groups[r.header].append(r.path)
+    return groups
+
+
 def read_csv_drifting(
-    spark: SparkSession, paths: Iterable[str], drop: Sequence[str] = ("FL_DATE",)
+    spark: SparkSession, paths: Iterable[str], drop: Sequence[str] = ("FL_DATE",), corrupt: str | None = None,
 ) -> DataFrame:
-    """Files whose columns differ, as one table: matched by name, missing columns NULL.
+    """Files whose columns differ, as one table: matched by name, missing columns NULL, all columns strings.
 
-    Files with the same header are read together, so the plan has one branch per header, not per file.
+    Files with the same header are read together, so the plan has one branch per header, not per file. ``corrupt`` names a
+    column that holds the whole line where its fields don't fit the header; it is NULL for all other lines.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in paths:
-        groups[tuple(read_csv_text(spark, p).columns)].append(p)
+    groups = headers(spark, list(paths))
     if not groups:
         raise FileNotFoundError("no input files")
-    parts = [read_csv_text(spark, ps).drop(*drop) for ps in groups.values()]
+    parts = []
+    for same in groups.values():
+        names = read_csv_text(spark, same[0]).columns
+        kinds = T.StructType([T.StructField(c, T.StringType()) for c in [*names, *([corrupt] if corrupt else [])]])
+        reader = spark.read.schema(kinds).option("header", True).option("mode", "PERMISSIVE")
+        if corrupt:
+            # Fields can only be counted if all are parsed.
+            reader = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
+        parts.append(reader.csv(same).drop(*drop))
     return union_by_name(parts)
 
 
@@ -87,7 +105,3 @@ PREDICTION_EXPORT = {
 def from_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """Local rows with an explicit schema; missing values stay NULL."""
     return spark.createDataFrame(list(rows), schema)
-
-
-def carrier_codes(df: DataFrame) -> DataFrame:
-    return df.withColumn("code", normalise_code("code")).withColumn("description", F.trim("description"))

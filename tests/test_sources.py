@@ -81,3 +81,15 @@ def test_kafka_options(spark):
         messages.kafka_read_options("h", "t", "middle")
     with pytest.raises(Exception, match="(?i)kafka"):
         messages.read_kafka(spark, "h:9092", "t")  # no connector here: a clear error
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("YEAR,MONTH,FL_DATE\n2024,1,x\n2024,2,x,extra\n")
+    (tmp_path / "b.csv").write_text("MONTH,TAXI_OUT\n3,7\n")
+    (tmp_path / "c.csv").write_text("YEAR,MONTH,FL_DATE\n2025,4,y\n")
+    (tmp_path / "d.csv").write_text("")
+    df = files.read_csv_drifting(spark, [str(tmp_path / f"{n}.csv") for n in "abcd"], corrupt="bad")
+    assert sorted(df.columns) == ["MONTH", "TAXI_OUT", "YEAR", "bad"]
+    got = {(r.YEAR, r.MONTH, r.TAXI_OUT): r.bad for r in df.collect()}
+    assert got == {("2024", "1", None): None, ("2024", "2", None): "2024,2,x,extra", (None, "3", "7"): None, ("2025", "4", None): None}
+    assert len(files.headers(spark, [str(tmp_path / f"{n}.csv") for n in "abcd"])) == 2
