@@ -116,7 +116,7 @@ class Shard:
                 out_at = to
                 keep = np.flatnonzero(first[order] <= x)
                 # The common prefix with the next one left is the least of those in between.
-                prefix = np.minimum.reduceat(prefix, np.append(0, keep[:-1] + 1)) if len(keep) else prefix[:0]
+                prefix = np.minimum.reduceat(prefix[:keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else prefix[:0]
                 order = order[keep]
             to = int(np.searchsorted(ends, -x, "right"))
             if to > in_at:                                  # their suffixes are empty and sort first in their groups
