@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import SPACES, by_bytes, covered, flat, ranges, runs, span_hashes, window_hashes, with_key
-from latewing.llm.meeting import ASKED, KNOWN, SCHEMA, Sender, answer, distinct_pairs, groups, member, partitions
+from latewing.llm.flat import SPACES, by_bytes, covered, flat, ranges, runs, span_hashes, window_hashes
+from latewing.llm.meeting import ASKED, KNOWN, SCHEMA, Sender, answer, distinct_pairs, groups, member, named, numbered, partitions
 
 BATCH_BYTES = 4 << 20
 PERIOD = 31
@@ -60,13 +60,11 @@ def _ask(out: Sender, h: np.ndarray, d: np.ndarray, smaller_only: bool) -> None:
 
 def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, text: str = "text", key: str = "doc_id",
                      batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """The rows of ``docs`` as (k, d, t) with ``hashes``: those windows of the row that also start in a smaller document."""
+    """The rows of ``docs`` as (d, t) with ``hashes``: those windows of the row that also start in a smaller document."""
     period = min(period, window)
     short, cover = window - period + 1, difference_cover(period)
     in_cover = np.isin(np.arange(period), cover)
-    # A null key is smaller than all others.
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("d"),
-                       F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = numbered(docs, text, key)
     parts = partitions(docs)
 
     def anchors(words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +104,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, te
 
 def remove_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, text: str = "text", key: str = "doc_id",
                    batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """One row per row of ``docs``: key, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256.
+    """One row per row of ``docs``: key (an integer), n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256.
 
     A word goes if a window of ``window`` consecutive words covers it that also starts in a document with a smaller key. Null texts
     have no words. A null key counts as smaller than all others; rows with one key are one document. Texts of fewer words
@@ -134,8 +132,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, period: int = PERIOD, text
                     removed[i] = gone[i].sum()
                     words = [w for w, x in zip(words, gone[i].tolist()) if not x]
                 kept.append(b" ".join(words))
-            yield pa.record_batch([b.column("k"), pa.array(n, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(
-                [hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["k", "n_words", "n_removed", "kept", "kept_sha256"])
+            yield pa.record_batch([b.column("d"), pa.array(n, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(
+                [hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["d", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return rows.select("k", "t", "hashes").mapInArrow(cut, with_key(
-        rows, "n_words bigint, n_removed bigint, kept string, kept_sha256 string")).withColumnRenamed("k", key)
+    out = rows.select("d", "t", "hashes").mapInArrow(
+        cut, "d bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return named(out, docs, key)
