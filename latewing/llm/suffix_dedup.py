@@ -7,6 +7,10 @@ the multi-document construction of the Burrows-Wheeler transform: one round for
 symbol of every read, which stably regroups the order of all suffixes and updates the common prefixes of neighbours. The
 reads lie column-wise in a file that the rounds pass through once, in sequence. A window repeats if it shares its length with a
 neighbour. As all suffixes of a round begin at the same column, order and prefixes of earlier rounds need not be kept.
+
+A minimizer with very many reads (a border of a common passage, where each read holds its text's own context) is not sorted but dealt
+out by content. The windows that begin in one block of columns share a core, and equal windows have equal cores: only where a block's
+core also occurs in another read are its windows compared, each by its own hash. So no task holds all reads of a minimizer.
 """
 
 from __future__ import annotations
@@ -14,18 +18,21 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from latewing.llm.flat import by_bytes, covered, flat, ranges, span_hashes, window_hashes
+from latewing.llm.flat import by_bytes, covered, flat, mix, ranges, span_hashes, window_hashes
 from latewing.llm.meeting import named, numbered
+from latewing.session import cut_lineage
 
 BATCH_BYTES = 4 << 20
 SEGMENT_BYTES = 8 << 20     # of a long text looked at together; at most 2^24
-SHARD_BYTES = 8 << 20       # of reads sorted together; a larger group of one minimizer is one shard
+SHARD_BYTES = 8 << 20       # of reads sorted together, besides the rest of the last minimizer's group
+HOT_READS = 1 << 13         # a minimizer with more reads is not sorted but dealt out
 GRAM = 32
 LARGE_GROUP = 1 << 20       # rows of one minimizer that are decided together
 
@@ -105,6 +112,22 @@ class Shard:
             yield from self._rounds(columns, group, first, last)
             del columns
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Read, first and last column of the maximal runs of repeated windows, by read."""
+        low, high = np.full(self.n, -1, np.int32), np.full(self.n, -1, np.int32)
+        out = []
+        for x, some in self.repeated():
+            new = some[low[some] != x + 1]
+            done = new[low[new] >= 0]
+            out.append((done, low[done], high[done]))
+            high[new] = x
+            low[some] = x
+        done = np.flatnonzero(low >= 0)
+        out.append((done, low[done], high[done]))
+        read, low, high = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((low, read))
+        return read[order], low[order].astype(np.int64), high[order].astype(np.int64)
+
     def _rounds(self, columns, group, first, last) -> Iterator[tuple[int, np.ndarray]]:
         by_last, by_first = np.argsort(-last, kind="stable"), np.argsort(-first, kind="stable")
         in_at, out_at = 0, 0
@@ -144,10 +167,53 @@ class Shard:
                     yield x, order[shared]
 
 
-def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) -> DataFrame:
-    """(d, h, runs): for each text the runs [start, end) of window starts whose windows also start elsewhere."""
+def told(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries whose (anchor, content) occurs again here, one entry of each different pair, and how often that one occurs (2: or more)."""
+    order = np.lexsort((content, anchor))
+    a, c = anchor[order], content[order]
+    begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))[:len(a)])
+    number = np.diff(np.append(begin, len(a)))
+    return order[np.repeat(number > 1, number)], order[begin], np.minimum(number, 2).astype(np.int32)
+
+
+def block_size(starts: int) -> int:
+    """Columns of a block: about the root of their number, and at most 62 blocks."""
+    return max(isqrt(starts), -(-starts // 62))
+
+
+def block_cores(data, offsets, first, size, window: int, starts: int):
+    """Read, block and hash of the core for all blocks in which a window of a read begins. The core is what all windows of a block share."""
+    block = block_size(starts)
+    lo, hi = first // block, (first + size - window) // block
+    row = np.repeat(np.arange(len(first)), hi - lo + 1)
+    number = ranges(lo, hi - lo + 1)
+    hashes = window_hashes(data, window - block + 1)
+    return row, number, hashes[offsets[row] + number * block + block - 1 - first[row]]
+
+
+def open_windows(data, offsets, first, size, cells, window: int, starts: int):
+    """Read, column and hash of the windows that begin in a read's open blocks (bits of ``cells``), by read and column."""
+    number = size - window + 1
+    row = np.repeat(np.arange(len(first)), number)
+    x = ranges(first, number)
+    some = cells[row] >> (x // block_size(starts)) & 1 > 0
+    row, x = row[some], x[some]
+    return row, x, window_hashes(data, window)[offsets[row] + x - first[row]]
+
+
+def repeated_runs(docs: DataFrame, found_in: DataFrame, window: int, gram: int, batch_bytes: int, hot_reads: int) -> DataFrame:
+    """(d, h, runs): for each text the runs [start, end) of window starts whose windows also start elsewhere.
+
+    ``found_in`` has the rows of ``docs`` as they come, for the step that is written before the rest is planned.
+    """
     names = ["d", "h", "start", "size", "off", "a", "c", "n"]
     kinds = "d bigint, h bigint, start bigint, size int, off int, a bigint, c bigint, n int"
+    left = window - gram
+
+    def entries(b: pa.RecordBatch, row, start, size, off, anchor, content, n) -> pa.RecordBatch:
+        return pa.record_batch([
+            b.column("d").take(pa.array(row)), b.column("h").take(pa.array(row)), pa.array(start), pa.array(size.astype(np.int32)),
+            pa.array(off.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(n)], names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Reads that occur twice in a batch are known to repeat (n = 0); of each different read one asks for others.
@@ -156,20 +222,45 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) ->
             row, start, size, off, anchor, content = reads(data, offsets, window, gram)
             if not len(row):
                 continue
-            order = np.lexsort((content, anchor))
-            a, c = anchor[order], content[order]
-            begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-            number = np.diff(np.append(begin, len(a)))
-            known = order[np.repeat(number > 1, number)]
-            asked = order[begin]
+            known, asked, number = told(anchor, content)
+            at = np.concatenate([known, asked])
+            yield entries(b, row[at], start[at], size[at], off[at], anchor[at], content[at], np.concatenate([np.zeros(len(known), np.int32), number]))
+
+    def fields(b: pa.RecordBatch):
+        data, offsets = flat(b.column("read"))
+        off = b.column("off").to_numpy(zero_copy_only=False).astype(np.int64)
+        return data, offsets, left - off, np.diff(offsets), b.column("start").to_numpy(zero_copy_only=False), b.column("a").to_numpy(
+            zero_copy_only=False).view(np.uint64)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Like find, with a block's core in place of a read; size is the block.
+        for b in by_bytes(batches, "read", batch_bytes):
+            data, offsets, first, size, start, a = fields(b)
+            row, number, content = block_cores(data, offsets, first, size, window, left + 1)
+            anchor = mix(a[row] + number.astype(np.uint64))
+            known, asked, n = told(anchor, content)
             at = np.concatenate([known, asked])
-            n = np.concatenate([np.zeros(len(known), np.int32), np.minimum(number, 2).astype(np.int32)])
-            yield pa.record_batch([
-                b.column("d").take(pa.array(row[at])), b.column("h").take(pa.array(row[at])), pa.array(start[at]), pa.array(size[at].astype(np.int32)),
-                pa.array(off[at].astype(np.int32)), pa.array(anchor[at].view(np.int64)), pa.array(content[at].view(np.int64)), pa.array(n)], names)
+            yield entries(b, row[at], start[row[at]], number[at], number[at], anchor[at], content[at], np.concatenate([np.zeros(len(known), np.int32), n]))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """n becomes 0 for reads that repeat as a whole and 1 for one each of a minimizer's different reads, if any occurs once."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Like find, with single windows in place of reads; known ones are joined to runs.
+        for b in by_bytes(batches, "read", max(1, batch_bytes // 8)):
+            data, offsets, first, size, start, a = fields(b)
+            row, x, content = open_windows(data, offsets, first, size, b.column("cells").to_numpy(zero_copy_only=False), window, left + 1)
+            if not len(row):
+                continue
+            anchor = mix(a[row] + x.astype(np.uint64))
+            known, asked, n = told(anchor, content)
+            known = np.sort(known)
+            new = np.append(True, (row[known][1:] != row[known][:-1]) | (np.diff(x[known]) != 1))[:len(known)]
+            begin = np.flatnonzero(new)
+            length = x[known[np.append(begin[1:], len(known))[:len(begin)] - 1]] - x[known[begin]]
+            at = np.concatenate([known[begin], asked])
+            yield entries(b, row[at], start[row[at]] + x[at] - first[row[at]], window + np.concatenate([length, np.zeros(len(asked), np.int64)]),
+                          x[at], anchor[at], content[at], np.concatenate([np.zeros(len(begin), np.int32), n]))
+
+    def meet(batches: Iterator[pa.RecordBatch], all_mixed: bool = False) -> Iterator[pa.RecordBatch]:
+        """n becomes 0 for reads that repeat as a whole and 1 for one each of a minimizer's different reads, if any occurs once or all are asked for."""
         def decide(t: pa.Table, mixed: bool = False) -> pa.Table:
             a, c, n = (t.column(x).to_numpy() for x in ("a", "c", "n"))
             begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
@@ -177,7 +268,7 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) ->
             total = np.add.reduceat(n, begin)
             owner = np.flatnonzero(np.append(True, a[begin][1:] != a[begin][:-1]))
             several = np.diff(np.append(owner, len(begin))) > 1
-            several = np.repeat((several & (np.minimum.reduceat(total, owner) == 1)) | mixed, np.diff(np.append(owner, len(begin))))
+            several = np.repeat((several & (np.minimum.reduceat(total, owner) == 1)) | mixed | all_mixed, np.diff(np.append(owner, len(begin))))
             whole, open_ones = np.flatnonzero(np.repeat(total > 1, size)), begin[several]
             out = t.take(pa.array(np.concatenate([whole, open_ones])))
             return out.set_column(7, "n", pa.array(np.repeat(np.array([0, 1], np.int32), [len(whole), len(open_ones)])))
@@ -211,21 +302,15 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) ->
         shard, held, number, before = None, [], 0, None
 
         def finish():
-            starts = [[] for _ in range(shard.n)]
-            for x, some in shard.repeated():
-                for r in some.tolist():
-                    starts[r].append(x)
+            read, low, high = shard.runs()
             known = pa.concat_batches(held)
             first = np.concatenate([shard.left - o for o in shard.offs])
-            keep = [i for i, s in enumerate(starts) if s]
-            runs = []
-            for i in keep:
-                s = np.array(starts[i][::-1]) - first[i] + known.column("start")[i].as_py()
-                cut = np.flatnonzero(np.append(True, np.diff(s) > 1))
-                runs.append([{"from": int(p), "to": int(q) + 1} for p, q in zip(s[cut], s[np.append(cut[1:], len(s)) - 1])])
+            shift = known.column("start").to_numpy(zero_copy_only=False) - first
+            keep, number = np.unique(read, return_counts=True)
             some = known.take(pa.array(keep, pa.int64()))
-            return pa.record_batch([some.column("d"), some.column("h"), pa.array(
-                runs, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], ["d", "h", "runs"])
+            both = pa.StructArray.from_arrays([pa.array(low + shift[read]), pa.array(high + shift[read] + 1)], ["from", "to"])
+            runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)), pa.int32()), both)
+            return pa.record_batch([some.column("d"), some.column("h"), runs], ["d", "h", "runs"])
 
         for b in batches:
             a = b.column("a").to_numpy(zero_copy_only=False)
@@ -251,23 +336,43 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, batch_bytes: int) ->
         if shard is not None:
             yield finish()
 
-    found = docs.select("d", "h", "t").mapInArrow(find, kinds)
-    # Known reads only pass through; they are spread evenly.
-    met = found.withColumn("p", F.when(F.col("n") > 0, F.col("a")).otherwise(F.xxhash64("d", "h", "start"))).repartition(
-        "p").sortWithinPartitions("a", "c").select(*names).mapInArrow(meet, kinds)
-    whole = met.where("n = 0").select(
-        "d", "h", F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("size") - window + 1).alias("to"))).alias("runs"))
-    lists = met.where("n = 1").groupBy("d", "h").agg(F.collect_list(F.struct("a", "start", "size", "off")).alias("reads"))
-    texts = docs.join(lists, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), F.explode("reads").alias("r"))
-    fetched = texts.select("d", "h", "r.start", "r.a", "r.off", F.substring(
-        F.col("t"), F.col("r.start").cast("int") + 1, F.col("r.size")).alias("read")).dropDuplicates(["d", "h", "start"])
-    sorted_ones = fetched.repartition("a").sortWithinPartitions("a").mapInArrow(
+    def settled(rows: DataFrame, by: tuple[str, ...], step) -> DataFrame:
+        # Known reads only pass through; they are spread evenly.
+        return rows.withColumn("p", F.when(F.col("n") > 0, F.xxhash64(*by)).otherwise(F.xxhash64("d", "h", "start"))).repartition(
+            "p").sortWithinPartitions("a", "c").select(*names).mapInArrow(step, kinds)
+
+    def as_runs(rows: DataFrame) -> DataFrame:
+        return rows.where("n = 0").select("d", "h", F.array(F.struct(
+            F.col("start").alias("from"), (F.col("start") + F.col("size") - window + 1).alias("to"))).alias("runs"))
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        lists = rows.where("n = 1").groupBy("d", "h").agg(F.collect_list(F.struct("a", "start", "size", "off")).alias("reads"))
+        texts = docs.join(lists, ["d", "h"]).select("d", "h", F.col("t").cast("binary").alias("t"), F.explode("reads").alias("r"))
+        return texts.select("d", "h", "r.start", "r.a", "r.off", F.substring(
+            F.col("t"), F.col("r.start").cast("int") + 1, F.col("r.size")).alias("read")).dropDuplicates(["d", "h", "start"])
+
+    found = cut_lineage(found_in.select("d", "h", "t").mapInArrow(find, kinds), "reads")
+    hot = cut_lineage(found.where("n > 0").groupBy("a").count().where(F.col("count") > hot_reads).select("a"), "hot")
+    dealt = None
+    if not hot.isEmpty():                                   # one row for each hot_reads reads at most
+        met = cut_lineage(settled(found.join(F.broadcast(hot), "a", "left_semi"), ("a", "c"), lambda b: meet(b, True)), "hot_reads")
+        texts = cut_lineage(fetched(met), "hot_texts")
+        cells = settled(texts.mapInArrow(cores, kinds), ("a", "c"), meet).where("n = 0").groupBy("d", "h", "start").agg(
+            F.bit_or(F.expr("shiftleft(1L, size)")).alias("cells"))
+        single = settled(texts.join(cells, ["d", "h", "start"]).mapInArrow(windows, kinds), ("a", "c"), meet)
+        dealt = as_runs(met).unionByName(as_runs(single))
+        found = found.join(F.broadcast(hot), "a", "left_anti")
+    met = settled(found, ("a",), meet)
+    sorted_ones = fetched(met).repartition("a").sortWithinPartitions("a").mapInArrow(
         sort, "d bigint, h bigint, runs array<struct<`from`:bigint,`to`:bigint>>")
-    return whole.unionByName(sorted_ones).groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    out = as_runs(met).unionByName(sorted_ones)
+    if dealt is not None:
+        out = out.unionByName(dealt)
+    return out.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, gram: int = GRAM, text: str = "text", key: str = "doc_id",
-                   batch_bytes: int = BATCH_BYTES, kept: bool = False) -> DataFrame:
+                   batch_bytes: int = BATCH_BYTES, kept: bool = False, hot_reads: int = HOT_READS) -> DataFrame:
     """One row per row of ``docs``: key (an integer), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and if asked for, kept.
 
     A byte goes if a string of ``window`` bytes covers it that also starts anywhere else, in the same text or another. Null texts are
@@ -275,8 +380,9 @@ def remove_repeats(docs: DataFrame, window: int = 400, gram: int = GRAM, text: s
     kept. ``kept`` is binary, since a cut may fall inside a character. Other columns are left out.
     """
     gram = min(gram, window)
-    placed = numbered(docs, text, key).withColumn("h", F.xxhash64("t")).repartition("d", "h")  # read twice, exchanged once
-    placed_runs = repeated_runs(placed, window, gram, batch_bytes)
+    rows = numbered(docs, text, key).withColumn("h", F.xxhash64("t"))
+    placed = rows.repartition("d", "h")                     # read twice, exchanged once
+    placed_runs = repeated_runs(placed, rows, window, gram, batch_bytes, hot_reads)
     joined = placed.join(placed_runs, ["d", "h"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,18 @@ def test_empty(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
     one = documents(spark, [(1, "ab" * 300)])
     assert suffix_dedup.remove_repeats(one, kept=True).first().kept == b""
+
+
+@pytest.mark.parametrize("window, gram, hot", [(30, 8, 1), (30, 8, 20), (40, 40, 0), (64, 6, 5)])
+def test_hot_minimizers_are_not_sorted(spark, monkeypatch, window, gram, hot):
+    rnd = random.Random(hot)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    own = lambda: "".join(rnd.choice("abcdefghij é") for _ in range(rnd.randrange(90)))
+    data = [(i, own() + passage + own()) for i in range(60)] + [(i, own() + passage[rnd.randrange(60):][:rnd.randrange(90)] + own()) for i in range(60, 120)]
+    data += [(None, data[0][1]), (0, data[0][1]), (200, "a" * 300), (201, None), (202, passage[:70])]
+    monkeypatch.setattr(suffix_dedup, "cut_lineage", lambda df, label, real=suffix_dedup.cut_lineage: made.setdefault(label, real(df, label)))
+    made = {}
+    got = suffix_dedup.remove_repeats(documents(spark, data), window, gram, batch_bytes=900, hot_reads=hot)
+    assert ordered(map(tuple, got.collect())) == ordered(brute(data, window))
+    assert made["hot_texts"].count() > 60               # different reads that no task sorts together
+    assert window == gram or made["hot_reads"].where("n = 1").groupBy("a").count().where("count > 20").count() > 0
