@@ -39,6 +39,12 @@ def test_safe_parts_keep_the_length():
     assert all("".join(token_counts.safe_parts(t, 5)) == t for t in texts)
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\u3000\x85 \t" * 300_000])
+def test_long_runs_of_white_space(run):
+    texts = [run, f"word{run}word", f"a.{run}<|endoftext|>{run}\n", f"1 {run}\n!"]
+    assert token_counts.lengths(texts, PATH).tolist() == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_other_tokenizer_files():
     import sentencepiece
 
