@@ -25,13 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays, and one of equal rows."""
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = rows.select(F.struct(F.col("doc_id").alias("doc_id"), F.col("_h").alias("h")).alias("key"), "text")
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    keyed = rows.select(F.struct("doc_id", "h").alias("key"), "text")
     groups = simhash.near_duplicates(keyed, key="key")
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("key.doc_id").isNull(), "key")).alias("m")).select(
         F.col("m.key.doc_id").alias("_d"), F.col("m.key.h").alias("_k"))
-    same = rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["_h"] == kept["_k"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    same = rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["h"] == kept["_k"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "h"]).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,10 @@ def test_decisions_take_effect(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 100
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one text of its own", "mine", "x"), (1, "one text of its own", "mine", "x"), (2, None, "yours", "y")],
+                                 "doc_id bigint, text string, _h string, h string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "one text of its own", "mine", "x"), (2, None, "yours", "y")]
