@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts
+from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts
 from latewing.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -139,3 +139,18 @@ def op2(spark, sf):
     counts = [F.size(F.filter(F.col("base.kind"), private_data.equals(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(private_data.KINDS)]
     return out.select("doc_id", *counts, sha(private_data.joined(F.col("base"))).alias("base_sha256"),
                       private_data.joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+
+
+_BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op12_line_dedup", rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, i, w[i] AS line, translate(trim(w[i], {_BLANKS_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+m AS (SELECT doc_id, i, line, length(k) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY k) AS again FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT again), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""")
+def op12(spark, sf):
+    return line_dedup.remove_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", sha(F.col("kept")).alias("kept_sha256"))
