@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts
+from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts, whitening
 from latewing.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dropped,
 """)
 def op12(spark, sf):
     return line_dedup.remove_lines(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", sha(F.col("kept")).alias("kept_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark, sf):
+    return whitening.components(table(spark, sf, "embeddings"))
