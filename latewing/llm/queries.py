@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts, whitening
+from latewing.llm import alignment, byte_bpe, chat_format, decontaminate, language_id, line_dedup, piecewise_hash, private_data, simhash, substring_dedup, suffix_dedup, token_counts, whitening
 from latewing.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -159,3 +159,8 @@ def op12(spark, sf):
 @query("op11_whitening")
 def op11(spark, sf):
     return whitening.components(table(spark, sf, "embeddings"))
+
+
+@query("op13_alignment")
+def op13(spark, sf):
+    return alignment.cross_align(table(spark, sf, "documents"))
