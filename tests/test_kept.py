@@ -13,7 +13,7 @@ from latewing.plans.trajectories import feats
 
 def test_results_follow_their_tables(spark, sf, tmp_path):
     own = str(tmp_path / "tables")
-    shutil.copytree(sf, own)
+    shutil.copytree(sf, own, copy_function=shutil.copyfile)
     queries = entry.queries()
     events = feats(spark, own).agg(F.sum("events")).first()[0]
     rows = parts(spark, own)[0].count()
