@@ -146,3 +146,35 @@ def running(
         cond = F.col(k).eqNullSafe(F.col(f"_t_{k}"))
         same = cond if same is None else same & cond
     return out.join(whole, same, "left").drop(*[f"_t_{k}" for k in key])
+
+
+def following_min(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], mins: dict[str, str], rows: int | None = None, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """For each row the smallest value of ``{out: column}`` among the rows after it along ``order`` inside ``key``; NULL at the end.
+
+    The window runs backwards, since a frame that is open ahead is built anew for every row.
+    """
+    rows = df.count() if rows is None else rows
+    behind = (Window.unboundedPreceding, -1)
+    reverse = [F.desc(c) for c in order]
+    if _fits(df, key, rows, chunk_rows):
+        w = Window.partitionBy(*key).orderBy(*reverse).rowsBetween(*behind)
+        return df.withColumns({o: F.min(c).over(w) for o, c in mins.items()})
+    local = with_chunk(df, [*key, *order], rows, chunk_rows)
+    w = Window.partitionBy(*key, _CHUNK).orderBy(*reverse).rowsBetween(*behind)
+    inside = local.withColumns({o: F.min(c).over(w) for o, c in mins.items()})
+    # What later ranges of a key hold: a row for each range of a key but its last, so no more rows than ranges.
+    later = Window.partitionBy(*key).orderBy(F.desc(_CHUNK)).rowsBetween(*behind)
+    carried = (
+        local.groupBy(*key, _CHUNK).agg(*[F.min(c).alias(f"_m_{o}") for o, c in mins.items()])
+        .withColumns({f"_c_{o}": F.min(f"_m_{o}").over(later) for o in mins} | {"_k": F.count(F.lit(1)).over(later)})
+        .where("_k > 0")
+        .select(*[F.col(k).alias(f"_o_{k}") for k in key], F.col(_CHUNK).alias("_oc"), *[f"_c_{o}" for o in mins])
+    )
+    on = F.col(_CHUNK) == F.col("_oc")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return inside.join(F.broadcast(carried), on, "left").withColumns(
+        {o: F.least(F.col(o), F.col(f"_c_{o}")) for o in mins}
+    ).drop(_CHUNK, "_oc", *[f"_o_{k}" for k in key], *[f"_c_{o}" for o in mins])

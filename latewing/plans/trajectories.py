@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.operators import anomaly as an, models, trajectory as tr
+from latewing.operators import anomaly as an, mining, models, trajectory as tr
 from latewing.operators.aggregates import corr_matrix
 from latewing.operators.quantiles import exact_quantiles
 from latewing.plans.learning import fitted, parts
@@ -203,6 +203,42 @@ def _(spark, sf):
     return tr.rare_sequences(events(spark, sf), 3, 0.35, n(spark, sf))
 
 
+def mined_sql(share: float, length: int) -> str:
+    """All patterns of daily flights up to a length with their supports, whether frequent, and whether all parts are."""
+    out = [f"""{DAILY}, q AS (SELECT flight_id, event_type, row_number() OVER (PARTITION BY flight_id ORDER BY epoch_us(ts), event_id) AS i FROM d),
+z AS (SELECT greatest(1, CAST(ceil({share} * count(DISTINCT flight_id)) AS BIGINT)) AS least FROM q)"""]
+    for k in range(1, length + 1):
+        tables = "q AS q1" + "".join(f" JOIN q AS q{j} ON q{j}.flight_id = q1.flight_id AND q{j}.i > q{j - 1}.i" for j in range(2, k + 1))
+        kinds = ", ".join(f"q{j}.event_type AS e{j}" for j in range(1, k + 1))
+        out.append(f"o{k} AS (SELECT DISTINCT q1.flight_id, {kinds} FROM {tables})")
+        names = [f"e{j}" for j in range(1, k + 1)]
+        whole = "concat_ws('>', " + ", ".join(names) + ")"
+        parts = " AND ".join(f"concat_ws('>', {', '.join(names[:j] + names[j + 1:])}) IN (SELECT pattern FROM m{k - 1} WHERE frequent)" for j in range(k)) if k > 1 else "true"
+        out.append(f"m{k} AS (SELECT *, flights >= (SELECT least FROM z) AS frequent FROM (SELECT {whole} AS pattern, {k} AS length, count(*) AS flights, "
+                   f"bool_and({parts}) AS tight FROM o{k} GROUP BY ALL))")
+    return ", ".join(out) + ", m AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, length + 1)) + " )"
+
+
+def mined(spark, sf):
+    return kept(spark, "mined", sf, lambda: mining.mine(by_day(spark, sf), 0.02, 4, n(spark, sf)))
+
+
+@query("p_sequence_mining", f"""WITH {mined_sql(0.02, 4)} SELECT pattern, length, flights, NOT frequent AS rare FROM m WHERE frequent OR tight""", V)
+def _(spark, sf):
+    """Frequent sequences with gaps, and the rare ones that are frequent in all their parts."""
+    m = mined(spark, sf)
+    both = mining.frequent_patterns(m).withColumn("rare", F.lit(False)).unionByName(mining.rare_patterns(m).withColumn("rare", F.lit(True)))
+    return both.withColumn("pattern", F.array_join("pattern", ">"))
+
+
+@query("p_rare_flights", f"""WITH {mined_sql(0.02, 4)}, f AS (""" + " UNION ALL ".join(
+    f"SELECT flight_id, concat_ws('>', {', '.join(f'e{j}' for j in range(1, k + 1))}) AS pattern FROM o{k}" for k in range(1, 5)) + """)
+SELECT flight_id, count(*) AS patterns, min(flights) AS rarest FROM f JOIN m USING (pattern) WHERE tight AND NOT frequent GROUP BY 1""", V)
+def _(spark, sf):
+    m = mined(spark, sf)
+    return mining.rare_flights(m, cut_lineage(mining.rare_patterns(m), "rare"))
+
+
 STARTS = f"""{T}, p AS (SELECT flight_id, (max(us) - min(us)) / 1e6 AS duration_s, count(*) AS events,
   first(CAST(hour(ts) AS INT) ORDER BY us, event_id) AS start_hour, first(event_type ORDER BY us, event_id) AS first_type
   FROM t GROUP BY 1)"""
