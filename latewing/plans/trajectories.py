@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.operators import anomaly as an, mining, models, trajectory as tr
+from latewing.operators import anomaly as an, mining, models, neighbours, trajectory as tr
 from latewing.operators.aggregates import corr_matrix
 from latewing.operators.quantiles import exact_quantiles
 from latewing.plans.learning import fitted, parts
@@ -435,7 +435,7 @@ def _(spark, sf):
     return both.select("flight_id", (F.col("error") >= 0).alias("scored"), (F.col("finer") <= F.col("error") + 1e-9).alias("fair"))
 
 
-@query("p_knn_density", f"""WITH {FEATS}, z AS (SELECT flight_id, floor((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER () / 0.5) AS x,
+@query("p_grid_density", f"""WITH {FEATS}, z AS (SELECT flight_id, floor((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER () / 0.5) AS x,
   floor((max_alt - avg(max_alt) OVER ()) / stddev_samp(max_alt) OVER () / 0.5) AS y FROM feats),
 c AS (SELECT x, y, count(*) AS k FROM z GROUP BY 1, 2)
 SELECT z.flight_id, CAST(sum(c.k) AS BIGINT) AS density FROM z JOIN c ON abs(z.x - c.x) <= 1 AND abs(z.y - c.y) <= 1 GROUP BY 1""", V)
@@ -443,6 +443,27 @@ def _(spark, sf):
     return an.grid_density(feats(spark, sf), ["duration_s", "max_alt"])
 
 
+def knn_sql(k: int) -> str:
+    """Exact neighbours over all standardised features, and the local outlier factor."""
+    z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0) AS {c}" for c in an.FEATURES)
+    gap = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in an.FEATURES)
+    return f"""{FEATS}, z AS (SELECT flight_id, {z} FROM feats),
+pairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY distance, neighbour) AS rank FROM (
+  SELECT a.flight_id, b.flight_id AS neighbour, sqrt({gap}) AS distance FROM z a JOIN z b ON a.flight_id != b.flight_id)) WHERE rank <= {k}),
+far AS (SELECT flight_id, max(distance) AS k_distance FROM pairs GROUP BY 1),
+dense AS (SELECT p.flight_id, count(*) / greatest(sum(greatest(p.distance, f.k_distance)), 1e-9) AS density
+  FROM pairs p JOIN far f ON f.flight_id = p.neighbour GROUP BY 1),
+lof AS (SELECT p.flight_id, string_agg(p.neighbour, ',' ORDER BY p.rank) AS neighbours, avg(d.density) / any_value(o.density) AS lof, any_value(o.density) AS density
+  FROM pairs p JOIN dense d ON d.flight_id = p.neighbour JOIN dense o ON o.flight_id = p.flight_id GROUP BY 1)"""
+
+
+@query("p_knn_density", f"""WITH {knn_sql(10)} SELECT flight_id, neighbours, round(k_distance, 6) AS k_distance, round(density, 6) AS density, round(lof, 6) AS lof
+FROM lof JOIN far USING (flight_id)""", V)
+def _(spark, sf):
+    out = neighbours.local_outliers(feats(spark, sf), an.FEATURES, 10)
+    return out.select("flight_id", F.array_join("neighbours", ",").alias("neighbours"), r("k_distance", 6), r("density", 6), r("lof", 6))
+
+
 @query("p_ensemble_vote", f"""WITH {FLAGS}, v AS (SELECT flight_id, {N_FLAGS} AS k FROM flags)
 SELECT flight_id, CAST(k AS BIGINT) AS votes, k >= 2 AS anomalous FROM v""", V)
 def _(spark, sf):
