@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.operators import anomaly as an, mining, models, neighbours, trajectory as tr
+from latewing.operators import anomaly as an, mining, models, neighbours, routes, trajectory as tr
 from latewing.operators.aggregates import corr_matrix
 from latewing.operators.quantiles import exact_quantiles
 from latewing.plans.learning import fitted, parts
@@ -397,6 +397,101 @@ def _(spark, sf):
     return an.taxonomy_counts(flags(spark, sf))
 
 
+# --- routes, holdings, aborted take-offs ----------------------------------------------------------------------------
+
+POINTS, USUAL = 6, 4
+
+
+def frechet_sql(points: int, candidates: int) -> str:
+    """The dynamic programme of the discrete Fréchet distance, one common table expression a diagonal."""
+    at = [f"(({i} * (n - 1)) // {points - 1} + 1)" for i in range(points)]
+    ends = ", ".join(f"max(lat) FILTER (seq_no = {x}) AS a{i}, max(lon) FILTER (seq_no = {x}) AS o{i}" for i, x in enumerate(at))
+    gaps = ", ".join(f"{km_sql(f'f.a{i}', f'f.o{i}', f'c.a{j}', f'c.o{j}')} AS d_{i}_{j}" for i in range(points) for j in range(points))
+    out = [f"""{S}, ends AS (SELECT flight_id, {ends} FROM (SELECT *, count(*) OVER (PARTITION BY flight_id) AS n FROM s) GROUP BY 1),
+region AS (SELECT flight_id, first(k ORDER BY us, event_id) // 50 AS origin, last(k ORDER BY us, event_id) // 50 AS dest
+  FROM (SELECT *, CAST(json_extract(info, '$.k') AS INT) AS k FROM t) WHERE k IS NOT NULL GROUP BY 1),
+f AS (SELECT * FROM ends JOIN region USING (flight_id)),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin, dest ORDER BY md5(concat(flight_id, '#42')), flight_id) AS cn FROM f) WHERE cn <= {candidates}),
+g0 AS (SELECT *, d_0_0 AS c_0_0 FROM (SELECT f.flight_id, f.origin, f.dest, c.flight_id AS cid, {gaps} FROM f JOIN cand c ON f.origin = c.origin AND f.dest = c.dest))"""]
+    for k in range(1, 2 * points - 1):
+        cols = []
+        for i in range(max(0, k - points + 1), min(k, points - 1) + 1):
+            j = k - i
+            before = [f"c_{a}_{b}" for a, b in ((i - 1, j), (i - 1, j - 1), (i, j - 1)) if a >= 0 and b >= 0]
+            cols.append(f"greatest(d_{i}_{j}, least({', '.join(before)})) AS c_{i}_{j}")
+        out.append(f"g{k} AS (SELECT *, {', '.join(cols)} FROM g{k - 1})")
+    last = f"g{2 * points - 2}"
+    out.append(f"""km AS (SELECT flight_id, origin, dest, cid, c_{points - 1}_{points - 1} AS km FROM {last}),
+usual AS (SELECT origin, dest, arg_min(cid, (mean, cid)) AS usual FROM (SELECT origin, dest, cid, avg(km) AS mean FROM km GROUP BY ALL) GROUP BY 1, 2),
+route AS (SELECT k.flight_id, k.origin, k.dest, u.usual, k.km AS deviation_km FROM km k JOIN usual u ON k.origin = u.origin AND k.dest = u.dest AND k.cid = u.usual)""")
+    return ", ".join(out)
+
+
+def route(spark, sf) -> DataFrame:
+    """Deviations between regions of fifty airports: the test table has a flight or none between two airports."""
+    e, rows = events(spark, sf), n(spark, sf)
+    region = tr.airport_pair(e).selectExpr("flight_id", "origin_ref div 50 AS origin", "dest_ref div 50 AS dest")
+    flights = cut_lineage(routes.paths(e, POINTS, rows).join(region, "flight_id"), "paths")
+    return routes.route_deviation(flights, ["origin", "dest"], POINTS, USUAL)
+
+
+@query("p_route_deviation", f"WITH {frechet_sql(POINTS, USUAL)} SELECT flight_id, origin, dest, usual, round(deviation_km, 6) AS deviation_km FROM route", V)
+def _(spark, sf):
+    return route(spark, sf).withColumn("deviation_km", F.round("deviation_km", 6)).withColumns({c: F.col(c).cast("int") for c in ("origin", "dest")})
+
+
+def bearing_sql(a1: str, o1: str, a2: str, o2: str) -> str:
+    y = f"sin(radians({o2} - {o1})) * cos(radians({a2}))"
+    x = f"cos(radians({a1})) * sin(radians({a2})) - sin(radians({a1})) * cos(radians({a2})) * cos(radians({o2} - {o1}))"
+    return f"fmod(degrees(atan2({y}, {x})) + 360, 360)"
+
+
+BACK, NEAR_KM = 6, 3000.0
+LOOPS = " OR ".join(
+    f"coalesce({km_sql(f'lag(lat, {j}) OVER w', f'lag(lon, {j}) OVER w', 'lat', 'lon')} <= {NEAR_KM} AND us - lag(us, {j}) OVER w <= 864000000000 "
+    f"AND abs(lag(turned, 1) OVER w - lag(turned, {j}) OVER w) >= 300, false)" for j in range(2, BACK + 1))
+HOLDS = f"""b AS (SELECT *, coalesce(fmod({bearing_sql('lat', 'lon', 'next_lat', 'next_lon')} - {bearing_sql('prev_lat', 'prev_lon', 'lat', 'lon')} + 540, 360) - 180, 0) AS turn FROM s),
+c AS (SELECT *, sum(turn) OVER (PARTITION BY flight_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS turned FROM b),
+l AS (SELECT *, {LOOPS} AS closes FROM c WINDOW w AS (PARTITION BY flight_id ORDER BY us, event_id)),
+holds AS (SELECT flight_id, count(*) FILTER (closes) AS loops, sum(turn) AS turned, max(abs(turned)) AS widest FROM l GROUP BY 1)"""
+
+
+def holds(spark, sf) -> DataFrame:
+    return routes.holding_patterns(events(spark, sf), NEAR_KM, 300.0, BACK, 864_000.0, n(spark, sf))
+
+
+@query("p_cumulated_turns", f"WITH {S}, {HOLDS} SELECT flight_id, event_id, round(turn, 5) AS turn, round(turned, 5) AS turned FROM c", V)
+def _(spark, sf):
+    return routes.cumulated_turns(events(spark, sf), n(spark, sf)).select("flight_id", "event_id", r("turn", 5), r("turned", 5))
+
+
+@query("p_holding_patterns", f"WITH {S}, {HOLDS} SELECT flight_id, loops, round(turned, 5) AS turned, round(widest, 5) AS widest FROM holds", V)
+def _(spark, sf):
+    return holds(spark, sf).select("flight_id", "loops", r("turned", 5), r("widest", 5))
+
+
+@query("p_aborted_take_offs", f"""WITH {S} SELECT flight_id, count(*) FILTER (prev_type = 'signup' AND event_type IN ('click', 'error')) AS aborted FROM s GROUP BY 1""", V)
+def _(spark, sf):
+    return routes.aborted_take_offs(events(spark, sf), rows=n(spark, sf))
+
+
+ROUTE_RULES = ("route_deviation", "holding", "aborted_take_off")
+
+
+@query("p_trajectory_taxonomy", f"""WITH {frechet_sql(POINTS, USUAL)}, {HOLDS}, q AS (SELECT quantile_disc(deviation_km, 0.9) AS far FROM route),
+a AS (SELECT flight_id, count(*) FILTER (prev_type = 'signup' AND event_type IN ('click', 'error')) AS aborted FROM s GROUP BY 1)
+SELECT flight_id, concat_ws(',', CASE WHEN deviation_km > far THEN 'route_deviation' END, CASE WHEN loops > 3 THEN 'holding' END,
+  CASE WHEN aborted > 8 THEN 'aborted_take_off' END) AS kinds FROM holds JOIN a USING (flight_id) LEFT JOIN route USING (flight_id), q""", V)
+def _(spark, sf):
+    """Kinds of anomaly in where a flight went; flights that have none are listed too."""
+    far = cut_lineage(route(spark, sf), "routes")
+    cut = exact_quantiles(far, ["deviation_km"], {"q": 0.9}, rows=n(spark, sf)).select("q").scalar()
+    away = far.withColumn("q", cut).select("flight_id", (F.col("deviation_km") > F.col("q")).alias("route_deviation"))
+    told = holds(spark, sf).join(routes.aborted_take_offs(events(spark, sf), rows=n(spark, sf)), "flight_id").join(away, "flight_id", "left")
+    flags = told.select("flight_id", "route_deviation", (F.col("loops") > 3).alias("holding"), (F.col("aborted") > 8).alias("aborted_take_off"))
+    return an.taxonomy(flags, ROUTE_RULES).withColumn("kinds", F.array_join("kinds", ","))
+
+
 @query("p_inject_anomalies", f"""WITH {T}, b AS (SELECT *, CAST(CAST('0x' || substr(md5(concat(flight_id, '#42')), 1, 8) AS BIGINT) % 100 AS INT)
   AS bucket, min(us) OVER (PARTITION BY flight_id) AS first_us FROM t)
 SELECT flight_id, event_id, CASE WHEN bucket < 5 THEN 2 * us - first_us ELSE us END AS us,
