@@ -35,28 +35,35 @@ SIDE = 32                   # bits of an id of the second side in a pair
 
 @dataclass(frozen=True)
 class Side:
-    """Bytes and sizes of a vocabulary's tokens, and their ids as text."""
+    """Bytes and sizes of a vocabulary's tokens, and for each its id as text twice: inside a group, and at the end of its part."""
 
     token: list
     size: np.ndarray
     name: list
 
 
-def _side(token: list) -> Side:
-    return Side(token, np.array([len(t) for t in token], np.int64), list(map(str, range(len(token)))))
+def _side(token: list, end: str) -> Side:
+    return Side(token, np.array([len(t) for t in token], np.int64), [f"{i}{c}" for i in range(len(token)) for c in (",", end)])
+
+
+@lru_cache(maxsize=2)
+def both_sides(paths: tuple[str, str]) -> tuple[Side, Side, list]:
+    """Both vocabularies, and their names in one list."""
+    a, b = byte_side(paths[0]), piece_side(paths[1])
+    return a, b, a.name + b.name
 
 
 @lru_cache(maxsize=2)
 def byte_side(path: str) -> Side:
     known = vocabulary(path)
-    return _side([known.bytes_of.get(i) for i in range(known.size)])
+    return _side([known.bytes_of.get(i) for i in range(known.size)], "|")
 
 
 @lru_cache(maxsize=2)
 def piece_side(path: str) -> Side:
     model = _sentence_model(path)
     return _side([bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
-                  for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))])
+                  for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))], ";")
 
 
 def byte_ids(texts: list[str], path: str) -> Iterator[list[int]]:
@@ -88,23 +95,11 @@ class Alignment:
     b_link: np.ndarray
 
 
-def _merge(a_ends: list[int], b_ends: list[int], i: int, j: int, k: int, m: int) -> tuple[list[int], list[int]]:
-    """Links of tokens i .. j - 1 with k .. m - 1: whichever ends first gives way to the next."""
-    a, b = [], []
-    while i < j and k < m:
-        a.append(i)
-        b.append(k)
-        x, y = a_ends[i], b_ends[k]
-        i += x <= y
-        k += y <= x
-    return a, b
-
-
 def align(a_size: np.ndarray, b_size: np.ndarray) -> Alignment:
     """The alignment of two token lists over the same bytes, given the tokens' sizes, none of them 0."""
-    a_ends, b_ends = np.cumsum(a_size).tolist(), np.cumsum(b_size).tolist()
-    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
-    common = sorted(a_at.keys() & b_at.keys())
+    a_ends, b_ends = np.cumsum(a_size), np.cumsum(b_size)
+    a_at, b_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1))), dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    common = sorted(filter(b_at.__contains__, a_at))
     a_border = np.fromiter(chain((0,), map(a_at.__getitem__, common)), np.int64, len(common) + 1)
     b_border = np.fromiter(chain((0,), map(b_at.__getitem__, common)), np.int64, len(common) + 1)
     wide_a, wide_b = np.diff(a_border), np.diff(b_border)
@@ -114,19 +109,29 @@ def align(a_size: np.ndarray, b_size: np.ndarray) -> Alignment:
     step = ranges(np.zeros(len(plain), np.int64), n)
     a_link = np.repeat(a_border[plain], n) + np.where(np.repeat(wide_a[plain] > 1, n), step, 0)
     b_link = np.repeat(b_border[plain], n) + np.where(np.repeat(wide_b[plain] > 1, n), step, 0)
-    more_a, more_b = [], []
-    for s in np.flatnonzero((wide_a > 1) & (wide_b > 1)).tolist():
-        a, b = _merge(a_ends, b_ends, int(a_border[s]), int(a_border[s + 1]), int(b_border[s]), int(b_border[s + 1]))
-        more_a += a
-        more_b += b
-    return Alignment(a_border, b_border, np.append(a_link, np.array(more_a, np.int64)), np.append(b_link, np.array(more_b, np.int64)))
+    # In the other slices every stretch between neighbouring ends of either side links the two tokens that cover it.
+    wide = np.flatnonzero((wide_a > 1) & (wide_b > 1))
+    ends = np.concatenate([a_ends[ranges(a_border[wide], wide_a[wide])], b_ends[ranges(b_border[wide], wide_b[wide])]])
+    ends = np.unique(ends) if len(ends) else ends
+    return Alignment(a_border, b_border, np.append(a_link, np.searchsorted(a_ends, ends)), np.append(b_link, np.searchsorted(b_ends, ends)))
+
+
+def written(found: Alignment, a_ids: np.ndarray, b_ids: np.ndarray, sides: tuple[Side, Side, list]) -> str:
+    """Groups as ``a1,a2|b1;a3|b2,b3``: the names of all tokens in their order, each with what follows it."""
+    place = np.empty(len(a_ids) + len(b_ids), np.int64)
+    wide_a, wide_b = np.diff(found.a_border), np.diff(found.b_border)
+    # A token comes after the ids of both sides in the groups before it, and one of the second side after its group's first side.
+    at_a = np.arange(len(a_ids)) + np.repeat(found.b_border[:-1], wide_a)
+    at_b = np.arange(len(b_ids)) + np.repeat(found.a_border[1:], wide_b)
+    last_a, last_b = (np.zeros(len(x), np.int64) for x in (a_ids, b_ids))
+    last_a[found.a_border[1:] - 1] = last_b[found.b_border[1:] - 1] = 1
+    place[at_a] = a_ids * 2 + last_a
+    place[at_b] = len(sides[0].name) + b_ids * 2 + last_b
+    return "".join(map(sides[2].__getitem__, place.tolist()))[:-1]
 
 
-def written(found: Alignment, a_name: list[str], b_name: list[str]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    a, b = found.a_border.tolist(), found.b_border.tolist()
-    return ";".join([f"{a_name[i]}|{b_name[k]}" if j - i == 1 == m - k else f"{','.join(a_name[i:j])}|{','.join(b_name[k:m])}"
-                     for i, j, k, m in zip(a, a[1:], b, b[1:])])
+def _spells(ids: list[int], side: Side, whole: bytes) -> bool:
+    return b"".join(map(side.token.__getitem__, ids)) == whole
 
 
 OWN = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
@@ -141,7 +146,8 @@ class Block:
         self.keys, self.figures, self.pairs, self.times, self.size = [], [], [], [], 0
 
     def add(self, keys: list, texts: list[str], paths: tuple[str, str], with_groups: bool) -> None:
-        a_side, b_side = byte_side(paths[0]), piece_side(paths[1])
+        sides, lossless = both_sides(paths), _byte_level(paths[0]) is not None
+        a_side, b_side, _ = sides
         told = [t for t in texts if t]
         b_lists = iter(_sentence_model(paths[1]).encode(told, num_threads=1) if told else [])
         a_lists = byte_ids([" " + t for t in told], paths[0])
@@ -149,14 +155,14 @@ class Block:
             self.keys.append(key)
             a, b = (next(a_lists), next(b_lists)) if t else ([], [])
             whole = (" " + t).encode()
-            if not t or b"".join(map(b_side.token.__getitem__, b)) != whole or b"".join(map(a_side.token.__getitem__, a)) != whole:
+            if not t or not _spells(b, b_side, whole) or not lossless and not _spells(a, a_side, whole):
                 self.figures.append((0, 0, 0, 0, "", "" if with_groups else None))
                 self.pairs.append(np.zeros(0, np.int64))
                 self.times.append(np.zeros(0, np.int32))
                 continue
             a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
             found = align(a_side.size[a_ids], b_side.size[b_ids])
-            groups = written(found, [a_side.name[i] for i in a], [b_side.name[i] for i in b])
+            groups = written(found, a_ids, b_ids, sides)
             pairs, times = np.unique(a_ids[found.a_link] << SIDE | b_ids[found.b_link], return_counts=True)
             self.pairs.append(pairs)
             self.times.append(times.astype(np.int32))
