@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from latewing.functions import labels
 from latewing.functions.text import period_padded
-from latewing.operators.ordered import CHUNK_ROWS
-from latewing.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from latewing.operators.joins import left_lookup
+from latewing.operators.quantiles import exact_quantiles, quantiles_of_values, values_of
 from latewing.session import cut_lineage
 
 
@@ -67,46 +67,32 @@ def max_raw_vs_clipped(df: DataFrame) -> DataFrame:
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _counts_once(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Value counts, written out: the data is read once and everything else works on distinct values."""
-    return cut_lineage(value_counts(df, [col], by), "counts")
-
-
-def summary_stats(df: DataFrame, col: str, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Mean, sample deviation, minimum, quartiles and maximum in one row, from one pass over the data."""
-    counts = _counts_once(df, col)
-    quartiles = quantiles_of_counts(counts, QUARTILES, rows=rows, chunk_rows=chunk_rows).select(F.struct(*QUARTILES))
-    mean = counts.agg(F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n"))).scalar()
-    off = F.col("value") - F.col("_m")
-    base = counts.withColumn("_m", mean).agg(
-        F.max("_m").alias("mean"), F.sqrt(F.try_divide(F.sum(off * off * F.col("n")), F.sum("n") - 1)).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+def summary_stats(df: DataFrame, col: str) -> DataFrame:
+    """Mean, sample deviation, minimum, quartiles and maximum in one row."""
+    values = values_of(df, [col])
+    quartiles = quantiles_of_values(values, QUARTILES).select(F.struct(*QUARTILES))
+    base = values.agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     return base.withColumn("_q", quartiles.scalar()).select(
         "mean", "std", "min", *[F.col(f"_q.{q}").alias(q) for q in QUARTILES], "max")
 
 
-def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, rows: int | None = None,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Quartiles, upper fence, and the known values above it, from one pass over the data."""
-    counts = _counts_once(df, col)
-    fence = quantiles_of_counts(counts, {"q1": 0.25, "q3": 0.75}, rows=rows, chunk_rows=chunk_rows).select(
-        F.struct("q1", "q3").alias("f"))
+def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
+    """Quartiles, upper fence, and the known values above it."""
+    values = values_of(df, [col])
+    fence = quantiles_of_values(values, {"q1": 0.25, "q3": 0.75}).select(F.struct("q1", "q3").alias("f"))
     upper = F.col("_f.q3") + k * (F.col("_f.q3") - F.col("_f.q1"))
-    above = F.coalesce(F.sum(F.when(F.col("value") > upper, F.col("n"))), F.lit(0))
     return (
-        counts.withColumn("_f", fence.scalar())
-        .agg(F.max("_f.q1").alias("q1"), F.max("_f.q3").alias("q3"), above.alias("outliers"),
-             F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+        values.withColumn("_f", fence.scalar())
+        .agg(F.max("_f.q1").alias("q1"), F.max("_f.q3").alias("q3"), _n(F.col("value") > upper).alias("outliers"), _n().alias("total"))
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .select("q1", "q3", "iqr", (F.col("q3") + k * F.col("iqr")).alias("upper"), "outliers", "total",
                 (F.col("outliers") * F.lit(100.0) / F.nullif(F.col("total"), F.lit(0))).alias("pct"))
     )
 
 
-def clipped_share(df: DataFrame, col: str, p: float = 0.99, rows: int | None = None,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def clipped_share(df: DataFrame, col: str, p: float = 0.99) -> DataFrame:
     """Rows above a percentile: count, total, percent."""
-    cut = exact_quantiles(df, [col], {"q": p}, rows=rows, chunk_rows=chunk_rows).select("q").scalar()
+    cut = exact_quantiles(df, [col], {"q": p}).select("q").scalar()
     return df.withColumn("_q", cut).agg(
         F.max("_q").alias("cut"), _n(F.col(col) > F.col("_q")).alias("clipped"), _n().alias("total")
     ).withColumn("pct", F.col("clipped") * F.lit(100.0) / F.nullif(F.col("total"), F.lit(0)))
@@ -123,7 +109,8 @@ def volume_delay_by_carrier(df: DataFrame) -> DataFrame:
 
 
 def share_of_total(agg: DataFrame, count_col: str = "count", dp: int = 1) -> DataFrame:
-    """Percent of all rows; the total is a scalar, so the aggregate's rows stay where they are."""
+    """Percent of all rows. The groups are written once, so the total does not run the aggregate again."""
+    agg = cut_lineage(agg, "groups")
     total = agg.agg(F.sum(count_col)).scalar()
     return agg.withColumn("pct", F.round(F.col(count_col) * F.lit(100.0) / total, dp))
 
@@ -238,17 +225,14 @@ def histograms(df: DataFrame, cols: Sequence[str], bins: int = 30, by: str | Non
     )
 
 
-def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5, rows: int | None = None,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Quartiles, whisker ends and outlier count per group, from one pass over the data."""
-    counts = _counts_once(df, col, [by])
-    q = quantiles_of_counts(counts, QUARTILES, [by], rows, chunk_rows).drop("column", "total")
+def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
+    """Quartiles, whisker ends and outlier count per group."""
+    values = values_of(df, [col], [by])
+    q = quantiles_of_values(values, QUARTILES, [by]).drop("column", "total")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - k * iqr, F.col("q3") + k * iqr)
-    own = q.withColumnRenamed(by, "_by")
-    return counts.join(own, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, *QUARTILES).agg(
-        F.min(F.when(inside, F.col("value"))).alias("lo"), F.max(F.when(inside, F.col("value"))).alias("hi"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
+    return left_lookup(values, q, [by], null_safe=True).groupBy(by, *QUARTILES).agg(
+        F.min(F.when(inside, F.col("value"))).alias("lo"), F.max(F.when(inside, F.col("value"))).alias("hi"), _n(~inside).alias("outliers"))
 
 
 def pred_type_summary(scored: DataFrame) -> DataFrame:

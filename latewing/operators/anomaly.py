@@ -75,11 +75,10 @@ def corr_prune(flights: DataFrame, cols: Sequence[str], limit: float = 0.9) -> l
 
 # --- rules ----------------------------------------------------------------------------------------------------------
 
-def rule_flags(flights: DataFrame, p: float = 0.99, max_landings: int = 1, max_hold_s: float = 3600.0,
-               rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def rule_flags(flights: DataFrame, p: float = 0.99, max_landings: int = 1, max_hold_s: float = 3600.0) -> DataFrame:
     """Rule-based flags per flight and how many of them hold. Limits for duration and altitude are exact percentiles."""
     cols = ["duration_s", "max_alt"]
-    cut = one_row(exact_quantiles(flights, cols, {"q": p}, rows=rows, chunk_rows=chunk_rows), cols, "q").scalar()
+    cut = one_row(exact_quantiles(flights, cols, {"q": p}), cols, "q").scalar()
     flags = {
         "long_duration": F.col("duration_s") > F.col("_q.duration_s"),
         "extreme_altitude": F.col("max_alt") > F.col("_q.max_alt"),
@@ -133,13 +132,17 @@ def _scaler(cols: Sequence[str]):
 
 
 def kmeans_outliers(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int = 5, spread: float = 3.0,
-                    min_share: float = 0.01, seed: int = 42) -> DataFrame:
-    """Cluster, distance to the own centre, and a flag for far flights and for members of tiny clusters."""
-    scaled = Pipeline(stages=_scaler(cols)).fit(flights).transform(flights).select("flight_id", "scaled").persist(
+                    min_share: float = 0.01, seed: int = 42, normal: DataFrame | None = None) -> DataFrame:
+    """Cluster, distance to the own centre, and a flag for far flights and for members of tiny clusters.
+
+    Clusters are those of ``normal``, flights known to be so, if given.
+    """
+    scaler = Pipeline(stages=_scaler(cols)).fit(flights if normal is None else normal)
+    scaled = scaler.transform(flights if normal is None else normal).select("flight_id", "scaled").persist(
         StorageLevel.MEMORY_AND_DISK)  # read once per iteration
     try:
         model = KMeans(featuresCol="scaled", k=k, seed=seed).fit(scaled)
-        placed = cut_lineage(_placed(model, scaled), "clusters")
+        placed = cut_lineage(_placed(model, scaled if normal is None else scaler.transform(flights).select("flight_id", "scaled")), "clusters")
     finally:
         scaled.unpersist()
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -161,9 +164,9 @@ def _placed(model, scaled: DataFrame) -> DataFrame:
         F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("distance"))
 
 
-def pca_reconstruction(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int = 3) -> DataFrame:
-    """Squared distance of a flight to the plane of the first ``k`` components."""
-    model = Pipeline(stages=[*_scaler(cols), PCA(inputCol="scaled", outputCol="main", k=k)]).fit(flights)
+def pca_reconstruction(flights: DataFrame, cols: Sequence[str] = FEATURES, k: int = 3, normal: DataFrame | None = None) -> DataFrame:
+    """Squared distance of a flight to the plane of the first ``k`` components, those of ``normal`` flights if given."""
+    model = Pipeline(stages=[*_scaler(cols), PCA(inputCol="scaled", outputCol="main", k=k)]).fit(flights if normal is None else normal)
 
     def norm(c: str) -> Column:
         return F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
@@ -265,7 +268,7 @@ def isolation_forest(flights: DataFrame, cols: Sequence[str] = FEATURES, trees:
 
     kind = dict(flights.dtypes)["flight_id"]
     scored = cut_lineage(data.mapInPandas(score, f"flight_id {kind}, score double"), "isolation")
-    limit = exact_quantiles(scored, ["score"], {"q": 1 - contamination}, rows=n).select("q").scalar()
+    limit = exact_quantiles(scored, ["score"], {"q": 1 - contamination}).select("q").scalar()
     flagged = scored.withColumn("_q", limit).withColumn("outlier", F.col("score") > F.col("_q")).drop("_q")
     return with_incomplete(flagged, flights, cols)
 

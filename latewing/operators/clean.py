@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.functions import casts
-from latewing.operators.ordered import CHUNK_ROWS
 from latewing.operators.quantiles import approx_quantiles, exact_quantiles, one_row
 
 
@@ -74,10 +73,7 @@ def coalesce_delay(df: DataFrame, new: str, raw: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(new, raw))
 
 
-def clip_p99(
-    df: DataFrame, cols: Sequence[str], p: float = 0.99, accuracy: int | None = None, fill: bool = True,
-    rows: int | None = None, chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
+def clip_p99(df: DataFrame, cols: Sequence[str], p: float = 0.99, accuracy: int | None = None, fill: bool = True) -> DataFrame:
     """Add ``<col>_clipped``, capped at a percentile of the column.
 
     The percentile is exact unless ``accuracy`` asks for the sketch. With ``fill`` NULL counts as 0 both for the
@@ -86,7 +82,7 @@ def clip_p99(
     if fill:
         df = df.na.fill(0, subset=list(cols))
     if accuracy is None:
-        cap = one_row(exact_quantiles(df, cols, {"q": p}, rows=rows, chunk_rows=chunk_rows), cols, "q")
+        cap = one_row(exact_quantiles(df, cols, {"q": p}), cols, "q")
     else:
         cap = df.agg(F.struct(*[F.percentile_approx(c, float(p), accuracy).alias(c) for c in cols]).alias("q"))
     capped = df.withColumn("_q", cap.scalar())
@@ -96,12 +92,12 @@ def clip_p99(
     }).drop("_q")
 
 
-def clean_flights(flights: DataFrame, rows: int | None = None, accuracy: int | None = None) -> DataFrame:
+def clean_flights(flights: DataFrame, accuracy: int | None = None) -> DataFrame:
     """The cleaning chain: coalesce, fill with 0, cap both delays."""
     df = coalesce_delay(flights, "arr_delay_new", "arr_delay", "arr_delay_min")
     df = coalesce_delay(df, "dep_delay_new", "dep_delay", "dep_delay_min")
     df = fill_null_const(df, ["arr_delay_new", "dep_delay_new", "arr_delay_min", "dep_delay_min"], 0)
-    return clip_p99(df, ["arr_delay_new", "dep_delay_new"], accuracy=accuracy, fill=False, rows=rows)
+    return clip_p99(df, ["arr_delay_new", "dep_delay_new"], accuracy=accuracy, fill=False)
 
 
 def approx_p99(df: DataFrame, column: str, accuracy: int = 10000) -> DataFrame:

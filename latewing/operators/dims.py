@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.functions.text import has_suffix, normalise_code
-from latewing.operators.joins import fits_broadcast, left_lookup
+from latewing.operators.joins import BROADCAST_ROWS, fits_broadcast, key_filter, left_lookup
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -39,9 +39,16 @@ def dq_unmatched_carrier(flights: DataFrame, dim: DataFrame) -> DataFrame:
     return codes.join(dim, "op_unique_carrier", "left_anti")
 
 
-def join_pred_to_fact(flights: DataFrame, preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join of a list of predictions to the fact table: broadcast if measured small, else split at hot keys by AQE."""
-    return flights.join(F.broadcast(preds) if fits_broadcast(preds) else preds, list(keys), "inner")
+def join_pred_to_fact(flights: DataFrame, preds: DataFrame, keys: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner equi-join of a list of predictions to the fact table: broadcast if measured small.
+
+    For a longer list the fact table first loses what a Bloom filter of the list's keys rules out, before it is exchanged; AQE
+    splits hot keys of the join.
+    """
+    if fits_broadcast(preds, max_rows):
+        return flights.join(F.broadcast(preds), list(keys), "inner")
+    alike = all(flights.schema[k].dataType == preds.schema[k].dataType for k in keys)
+    return (flights.where(key_filter(preds, keys)) if alike else flights).join(preds, list(keys), "inner")
 
 
 def join_attach_prob(left: DataFrame, preds: DataFrame, keys: Sequence[str], prob: str = "p") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -75,13 +76,17 @@ class Encoder:
     def names(self) -> list[str]:
         return [*self.numeric, *[f"{c}_indexed" for c in self.categorical]]
 
+    @cached_property
+    def unseen(self) -> dict[str, float]:
+        """What an unseen category of each column gets: read once for an encoder, not for every batch."""
+        return {r.column: r[self.by] for r in self.codes.where("value IS NULL").collect()}
+
     def transform(self, df: DataFrame) -> DataFrame:
-        unseen = {r.column: r[self.by] for r in self.codes.where("value IS NULL").collect()}  # one row per column
         for c in self.categorical:
             own = self.codes.where((F.col("column") == c) & F.col("value").isNotNull()).select(
                 F.col("value").alias(f"_value_{c}"), F.col(self.by).alias(f"{c}_indexed"))
             df = df.join(own, F.col(c) == F.col(f"_value_{c}"), "left").drop(f"_value_{c}").withColumn(
-                f"{c}_indexed", F.coalesce(f"{c}_indexed", F.lit(unseen.get(c, 0.0))))
+                f"{c}_indexed", F.coalesce(f"{c}_indexed", F.lit(self.unseen.get(c, 0.0))))
         return assembler(self.numeric, self.categorical).transform(df)
 
 

@@ -16,6 +16,7 @@ from latewing.functions.labels import at_threshold, mapped
 from latewing.functions.vectors import delay_probability, vec_get
 from latewing.operators.features import Encoder, complete_features, fit_encoder
 from latewing.schema import FRIENDLY_NAMES
+from latewing.session import run_folder
 
 # Training parameters and the bin count of tree models.
 LR_PARAMS = dict(maxIter=100, regParam=0.001, elasticNetParam=0.1)
@@ -70,12 +71,20 @@ def train_models(train: DataFrame, kinds=("lr", "dt", "rf"), **params: dict) ->
             for kind in (k for k in kinds if ENCODING[k] == by):
                 begin = time.monotonic()
                 fitted = _classifier(kind, params.get(kind, {})).fit(encoded)
-                out[kind] = Trained(Scorer(encoder, PipelineModel([fitted])), time.monotonic() - begin)
+                seconds = time.monotonic() - begin
+                out[kind] = Trained(Scorer(encoder, reloaded(PipelineModel([fitted]), train.sparkSession)), seconds)
         finally:
             encoded.unpersist()
     return {k: out[k] for k in kinds}
 
 
+def reloaded(classifier: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model as it is read back: without the summary of its training, which would carry the session to every task."""
+    path = run_folder(spark, "fitted")
+    classifier.write().save(path)
+    return PipelineModel.load(path)
+
+
 def save_model(model: Scorer, path: str) -> None:
     """The classifier, and beside it the code table with the kind of encoding."""
     model.classifier.write().overwrite().save(f"{path}/classifier")

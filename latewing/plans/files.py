@@ -13,7 +13,7 @@ from latewing.plans.registry import query
 from latewing.plans.scores import KIND
 from latewing.schema import DOUBLE_COLUMNS, FILLED_DELAYS, INT_COLUMNS
 from latewing.session import run_folder
-from latewing.sources import files, messages, views
+from latewing.sources import files, ledger, messages, views
 from latewing.sources.views import FLIGHT_KEY, table
 
 WIDE = (*FLIGHT_KEY, "year", "month", "origin", "dest")
@@ -105,6 +105,18 @@ def _(spark, sf):
     return typed(files.read_csv_drifting(spark, [f"{out}/a", f"{out}/b"]))
 
 
+@query("src_csv_incremental", f"SELECT {KEY}, month, CASE WHEN month > 6 THEN origin END AS origin FROM flights", "flights")
+def _(spark, sf):
+    """Extracts of two halves of a year that arrive one after the other, with other columns; each run takes what is new."""
+    inbox, table = run_folder(spark, "inbox"), run_folder(spark, "taken")
+    f = flights(spark, sf)
+    files.write_csv(f.where("month <= 6").select("month", *FLIGHT_KEY), f"{inbox}/first")
+    ledger.take_new(spark, inbox, f"{table}/rows", f"{table}/ledger")
+    files.write_csv(f.where("month > 6").select(*reversed(FLIGHT_KEY), "origin", "month"), f"{inbox}/second")
+    ledger.take_new(spark, inbox, f"{table}/rows", f"{table}/ledger")
+    return typed(ledger.rows(spark, f"{table}/rows")).select(*FLIGHT_KEY, "month", "origin")
+
+
 @query("sink_parquet", f"SELECT {', '.join(WIDE)} FROM flights", "flights")
 def _(spark, sf):
     out = run_folder(spark, "flights")

@@ -26,7 +26,7 @@ def n_flights(spark: SparkSession, sf: str) -> int:
 
 def _clean_table(spark: SparkSession, sf: str) -> str:
     out = run_folder(spark, "clean")
-    write_parquet(clean.clean_flights(flights(spark, sf), rows=n_flights(spark, sf)), out)
+    write_parquet(clean.clean_flights(flights(spark, sf)), out)
     return out
 
 
@@ -112,7 +112,7 @@ def _(spark, sf):
 
 @query("clip_p99", f"SELECT {KEY}, arr_delay_clipped, dep_delay_clipped FROM clean", "clean")
 def _(spark, sf):
-    out = clean.clip_p99(flights(spark, sf), ["arr_delay_new", "dep_delay_new"], rows=n_flights(spark, sf))
+    out = clean.clip_p99(flights(spark, sf), ["arr_delay_new", "dep_delay_new"])
     return out.select(*FLIGHT_KEY, "arr_delay_clipped", "dep_delay_clipped")
 
 
@@ -217,6 +217,14 @@ def _(spark, sf):
     return joined.select(*FLIGHT_KEY, "crs_arr_time")
 
 
+@query("join_pred_to_fact_long", f"""WITH p AS (SELECT DISTINCT {', '.join(PRED_KEYS)} FROM flight_scores WHERE p >= 0.9)
+SELECT {', '.join('f.' + c for c in FLIGHT_KEY)}, f.crs_arr_time FROM flights f JOIN p USING ({', '.join(PRED_KEYS)})""", ("flights", "flight_scores"))
+def _(spark, sf):
+    """A list that is joined as a long one, whatever its length: filtered by its keys' bits, then by an exchange."""
+    preds = cut_lineage(views.flight_scores(spark, sf).where("p >= 0.9").select(*PRED_KEYS).distinct(), "list")
+    return dims.join_pred_to_fact(flights(spark, sf), preds, PRED_KEYS, max_rows=0).select(*FLIGHT_KEY, "crs_arr_time")
+
+
 @query("join_attach_prob", f"""WITH {PICKED_SQL}
 SELECT f.month, f.day_of_month, f.day_of_week, f.distance, f.origin, f.dest, f.arr_delay, q.p FROM flights f
 JOIN picked p USING (month, day_of_month, day_of_week, crs_dep_time, distance)
@@ -268,22 +276,20 @@ def _(spark, sf):
   quantile_disc(dep_delay_new, 0.75) AS q3, max(dep_delay_new) AS max FROM clean""", "clean")
 def _(spark, sf):
     filled = clean.fill_null_const(flights(spark, sf), ["dep_delay_new"])
-    out = agg.summary_stats(filled, "dep_delay_new", n_flights(spark, sf))
+    out = agg.summary_stats(filled, "dep_delay_new")
     return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
 @query("agg_percentile", """SELECT quantile_disc(dep_delay, 0.5) AS p50, quantile_disc(dep_delay, 0.9) AS p90,
   quantile_disc(dep_delay, 0.99) AS p99, count(dep_delay) AS total FROM flights""", "flights")
 def _(spark, sf):
-    return exact_quantiles(flights(spark, sf), ["dep_delay"], {"p50": 0.5, "p90": 0.9, "p99": 0.99},
-                           rows=n_flights(spark, sf)).drop("column")
+    return exact_quantiles(flights(spark, sf), ["dep_delay"], {"p50": 0.5, "p90": 0.9, "p99": 0.99}).drop("column")
 
 
 @query("agg_percentile_by_carrier", """SELECT op_unique_carrier, quantile_disc(distance, 0.5) AS p50,
   quantile_disc(distance, 0.99) AS p99, count(distance) AS total FROM flights GROUP BY 1""", "flights")
 def _(spark, sf):
-    return exact_quantiles(flights(spark, sf), ["distance"], {"p50": 0.5, "p99": 0.99}, ["op_unique_carrier"],
-                           n_flights(spark, sf)).drop("column")
+    return exact_quantiles(flights(spark, sf), ["distance"], {"p50": 0.5, "p99": 0.99}, ["op_unique_carrier"]).drop("column")
 
 
 @query("agg_percentile_approx", "SELECT count(dep_delay_new) AS n, true AS within FROM flights", "flights")
@@ -304,7 +310,7 @@ SELECT q1, q3, q3 - q1 AS iqr, q3 + 1.5 * (q3 - q1) AS upper,
 FROM clean, q GROUP BY q1, q3""", "clean")
 def _(spark, sf):
     filled = clean.fill_null_const(flights(spark, sf), ["dep_delay_new"])
-    out = agg.iqr_outliers(filled, "dep_delay_new", rows=n_flights(spark, sf))
+    out = agg.iqr_outliers(filled, "dep_delay_new")
     return out.withColumn("pct", F.round("pct", 4))
 
 
@@ -312,7 +318,7 @@ def _(spark, sf):
 SELECT cut, count(*) FILTER (dep_delay_min > cut) AS clipped, count(*) AS total,
   round(100.0::DOUBLE * count(*) FILTER (dep_delay_min > cut) / count(*), 4) AS pct FROM clean, q GROUP BY cut""", "clean")
 def _(spark, sf):
-    out = agg.clipped_share(cleaned(spark, sf), "dep_delay_min", rows=n_flights(spark, sf))
+    out = agg.clipped_share(cleaned(spark, sf), "dep_delay_min")
     return out.withColumn("pct", F.round("pct", 4))
 
 
@@ -504,7 +510,7 @@ x AS (SELECT c.op_unique_carrier, q1, median, q3, arr_delay_clipped AS v,
 SELECT op_unique_carrier, q1, median, q3, min(v) FILTER (ok) AS lo, max(v) FILTER (ok) AS hi,
   count(*) FILTER (NOT ok) AS outliers FROM x GROUP BY 1, 2, 3, 4""", "clean")
 def _(spark, sf):
-    return agg.box_stats(cleaned(spark, sf), "op_unique_carrier", "arr_delay_clipped", rows=n_flights(spark, sf))
+    return agg.box_stats(cleaned(spark, sf), "op_unique_carrier", "arr_delay_clipped")
 
 
 @query("agg_row_count_delta", """SELECT 0 AS step_no, 'initial' AS step, count(*) AS rows, 100.0::DOUBLE AS pct_of_initial

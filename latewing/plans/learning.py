@@ -87,14 +87,21 @@ def _(spark, sf):
     return rows.groupBy("year", "month", "label").agg(F.count(F.lit(1)).alias("count"))
 
 
+def learned(spark: SparkSession, sf: str, kind: str) -> bool:
+    """Whether the model ranks its training rows better than one score for all would, which has an area of a half."""
+    model, (train, _) = fitted(spark, sf, kind).model, parts(spark, sf)
+    area = kept(spark, f"area {kind}", sf, lambda: metrics.auc_roc(models.predict(model, train)).first()[0])
+    return area is not None and area > 0.5
+
+
 def _register_model(kind: str) -> None:
-    @query(f"ml_{kind}", f"""WITH {ML_ROWS} SELECT {', '.join(FLIGHT_KEY)}, arr_del15::DOUBLE AS label, true AS in_range, true AS decided
+    @query(f"ml_{kind}", f"""WITH {ML_ROWS} SELECT {', '.join(FLIGHT_KEY)}, arr_del15::DOUBLE AS label, true AS in_range, true AS decided, true AS learned
 FROM ml_rows WHERE b >= 8000""", "flights")
     def _(spark, sf):
-        """Every test row with its label: a probability in range, and a prediction that follows from it."""
+        """Every test row with its label: a probability in range, a prediction that follows from it, from a model that learned something."""
         return test_scores(spark, sf, kind).select(
             *FLIGHT_KEY, "label", F.col("p").between(0, 1).alias("in_range"),
-            ((F.col("prediction") == 1) == (F.col("p") > 0.5)).alias("decided"))
+            ((F.col("prediction") == 1) == (F.col("p") > 0.5)).alias("decided"), F.lit(learned(spark, sf, kind)).alias("learned"))
 
 
 for _kind in NAMES:
@@ -160,6 +167,14 @@ def _(spark, sf):
     return out.where(F.col("p").isNotNull()).agg(F.count(F.lit(1)).alias("scored_rows"))
 
 
+@query("score_batch_rows")
+def _(spark, sf):
+    """Prediction and probability of every flight."""
+    raw = flights(spark, sf).select(*[F.col(c).cast("string") for c in FLIGHT_KEY if c not in NUMERIC_FEATURES and c not in CATEGORICAL_FEATURES], *[
+        F.col(c).cast("string") for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)])
+    return models.score_batch(fitted(spark, sf, "rf").model, raw)
+
+
 @query("score_batch_distribution", "SELECT count(*) AS total, true AS consistent FROM flights", "flights")
 def _(spark, sf):
     raw = flights(spark, sf).select(*[F.col(c).cast("string") for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)])

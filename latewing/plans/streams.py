@@ -2,33 +2,75 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latewing.operators import ranking
+from latewing.operators import models, ranking
 from latewing.operators.features import complete_features
 from latewing.plans.files import message_sql, route_messages
 from latewing.plans.flights import KEY, flights
 from latewing.plans.learning import fitted
-from latewing.plans.registry import query
+from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from latewing.session import kept, run_folder
 from latewing.sources import views
 from latewing.sources.messages import parse_messages
-from latewing.sources.views import FLIGHT_KEY, table_rows
+from latewing.sources.views import FLIGHT_KEY
 from latewing.streaming import events as ev, scoring
 
-FILES_PER_TRIGGER = 8
+#: Rows of a file to be replayed: small beside a micro-batch, whose size is bounded by bytes.
+FILE_ROWS = 1_000_000
 
 
-def as_files(df: DataFrame, rows: int, label: str) -> str:
-    """Write a table as some dozens of files to be replayed."""
+def as_files(df: DataFrame, label: str) -> str:
+    """Write a table as files to be replayed."""
     out = run_folder(df.sparkSession, label)
-    df.write.option("maxRecordsPerFile", max(2_000, rows // 32)).parquet(out)
+    df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(out)
     return out
 
 
-def replay(df: DataFrame, rows: int, label: str) -> DataFrame:
-    return scoring.replay(df.sparkSession, as_files(df, rows, label), df.schema, FILES_PER_TRIGGER)
+def replay(df: DataFrame, label: str) -> DataFrame:
+    return scoring.replay(df.sparkSession, as_files(df, label), df.schema, None)
+
+
+def in_event_time(df: DataFrame, label: str, slices: int = 8) -> str:
+    """Files whose order is that of event time, as a live source's: a slice of time each, one written after the other.
+
+    The last one holds a single event long after all others, as a source that has come to its end would send: it closes all windows.
+    """
+    out = run_folder(df.sparkSession, label)
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        df.write.parquet(out)
+        return out
+    width = (hi - lo) / slices
+    for i in range(slices):
+        here = F.col("ts") >= F.lit(lo + i * width)
+        df.where(here & (F.col("ts") < F.lit(lo + (i + 1) * width)) if i < slices - 1 else here).write.mode("append").parquet(out)
+    last = df.limit(1).withColumns({"ts": F.lit(hi + timedelta(days=CLOSING_DAYS)).cast(df.schema["ts"].dataType), "event_id": F.lit(CLOSING).cast("bigint")})
+    last.coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+CLOSING, CLOSING_DAYS = -1, 30
+
+
+def closing_time(spark, sf):
+    """The time of the closing event; results from then on are its own."""
+    return events_of(spark, sf).agg(F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {CLOSING_DAYS} DAYS")).scalar()
+
+
+def closing_hour(spark, sf):
+    return F.date_trunc("hour", closing_time(spark, sf))
+
+
+def events_of(spark, sf) -> DataFrame:
+    return views.trajectory(spark, sf)
+
+
+FEATURES = (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
 
 
 def finish(query_handle) -> None:
@@ -44,11 +86,13 @@ def appended(stream: DataFrame, label: str) -> DataFrame:
 @query("src_chunk_replay", f"SELECT {KEY} FROM flights", "flights")
 def _(spark, sf):
     rows = flights(spark, sf).select(*FLIGHT_KEY)
-    return appended(replay(rows, table_rows(spark, sf, "lineitem"), "replay"), "replayed")
+    return appended(replay(rows, "replay"), "replayed")
 
 
 def message_stream(spark, sf):
-    return replay(route_messages(spark, sf), table_rows(spark, sf, "lineitem"), "messages")
+    """The flights' messages, written once while the inputs stay the same."""
+    messages = route_messages(spark, sf)
+    return scoring.replay(spark, kept(spark, "messages", sf, lambda: as_files(messages, "messages")), messages.schema, None)
 
 
 @query("st_parse", f"SELECT {message_sql()} FROM flights", "flights")
@@ -77,7 +121,7 @@ def _(spark, sf):
     source, out = run_folder(spark, "growing"), run_folder(spark, "resumed")
     for part in (rows.where("cancelled = 1"), rows.where("cancelled = 0")):
         part.write.mode("append").parquet(source)
-        finish(ev.start_append(scoring.replay(spark, source, rows.schema, FILES_PER_TRIGGER), f"{out}/table", f"{out}/checkpoint"))
+        finish(ev.start_append(scoring.replay(spark, source, rows.schema, None), f"{out}/table", f"{out}/checkpoint"))
     return spark.read.schema(rows.schema).parquet(f"{out}/table")
 
 
@@ -95,9 +139,24 @@ def scored_tables(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return scoring.read_table(spark, out, name)
 
 
-@query("st_score_foreach_batch", "SELECT count(*) AS scored_rows FROM flights", "flights")
+@query("st_score_foreach_batch", "SELECT origin, dest, count(*) AS scored_rows, true AS agrees FROM flights GROUP BY 1, 2", "flights")
+def _(spark, sf):
+    """Rows scored in the stream, by route; whether batch scoring and the saved and reloaded model give each the same probability."""
+    path = run_folder(spark, "model")
+    model = fitted(spark, sf, "rf").model
+    models.save_model(model, path)
+    raw = flights(spark, sf).select(*[F.col(c).cast("string") for c in FEATURES])
+    sides = {"stream": scored_tables(spark, sf, "scored"), "batch": models.score_batch(model, raw), "again": models.score_batch(models.load_model(path), raw)}
+    rows = reduce(DataFrame.unionByName, [df.select(*FEATURES, "p", "prediction", F.lit(k).alias("side")) for k, df in sides.items()])
+    counts = rows.groupBy(*FEATURES, "p", "prediction").agg(*[F.count_if(F.col("side") == k).alias(k) for k in sides])
+    same = (F.col("stream") == F.col("batch")) & (F.col("batch") == F.col("again")) & F.col("p").between(0, 1)
+    return counts.groupBy("origin", "dest").agg(F.sum("stream").alias("scored_rows"), F.bool_and(same).alias("agrees"))
+
+
+@query("st_scored_rows")
 def _(spark, sf):
-    return scored_tables(spark, sf, "scored").where(F.col("p").between(0, 1)).agg(F.count(F.lit(1)).alias("scored_rows"))
+    """Prediction and probability of every message."""
+    return scored_tables(spark, sf, "scored").select(*FEATURES, "prediction", "p", "batch_id")
 
 
 @query("st_batch_metrics", "SELECT count(*) AS records, true AS in_order, true AS once FROM flights", "flights")
@@ -137,7 +196,13 @@ def daily_metrics(spark, sf):
 @query("st_running_metrics", """SELECT count(DISTINCT day) AS batches, count(*) AS total_records, round(avg(p), 8) AS avg_prob,
   min(p) AS min_prob, max(p) AS max_prob FROM scored""", "scored")
 def _(spark, sf):
-    return scoring.running_metrics(daily_metrics(spark, sf)).withColumn("avg_prob", F.round("avg_prob", 8)).select(
+    """A streaming aggregate over metrics rows, stopped in the middle of the month and started again from its checkpoint."""
+    days = daily_metrics(spark, sf)
+    source, out = run_folder(spark, "metrics-rows"), run_folder(spark, "running")
+    for half in (F.dayofmonth("batch_id") < 16, F.dayofmonth("batch_id") >= 16):
+        days.where(half).write.mode("append").parquet(source)
+        finish(scoring.start_running(scoring.replay(spark, source, days.schema, None), f"{out}/table", f"{out}/checkpoint"))
+    return scoring.current(spark, f"{out}/table").withColumn("avg_prob", F.round("avg_prob", 8)).select(
         "batches", F.col("total_records").cast("bigint").alias("total_records"), "avg_prob", "min_prob", "max_prob")
 
 
@@ -171,16 +236,15 @@ def _(spark, sf):
     return scoring.trend(daily_alerts(spark, sf))
 
 
-# Files of a bulk export come in any order, so the delay spans the export; a live stream takes a short one.
-EXPORT_DELAY = "3650 days"
+DELAY = "6 hours"
 
 
 def event_stream(spark, sf, copies: int = 1):
-    one = views.trajectory(spark, sf)
-    df = one
-    for _ in range(copies - 1):
-        df = df.unionByName(one)
-    return replay(df, copies * table_rows(spark, sf, "events"), "events")
+    """Events in the order of their time, a few files a batch, so that the watermark moves on and state goes."""
+    one = events_of(spark, sf)
+    df = reduce(DataFrame.unionByName, [one] * copies)
+    path = kept(spark, f"events x{copies}", sf, lambda: in_event_time(df, "events"))
+    return scoring.replay(spark, path, df.schema, 4)
 
 
 def micros(c: str):
@@ -191,9 +255,29 @@ def micros(c: str):
 GROUP BY 1, 2""", "trajectory")
 def _(spark, sf):
     out = run_folder(spark, "rate")
-    finish(ev.start_upsert(ev.event_rate(event_stream(spark, sf), "1 hour", EXPORT_DELAY), f"{out}/table", f"{out}/checkpoint"))
+    finish(ev.start_upsert(ev.event_rate(event_stream(spark, sf), "1 hour", DELAY), f"{out}/table", f"{out}/checkpoint"))
     rows = ev.latest(spark, f"{out}/table", ["window_start", "event_type"])
-    return rows.select(micros("window_start").alias("window_start"), "event_type", "events")
+    return rows.where(F.col("window_start") < closing_hour(spark, sf)).select(micros("window_start").alias("window_start"), "event_type", "events")
+
+
+@query("st_trend_by_hour", """SELECT epoch_us(date_trunc('hour', ts)) AS window_start, count(*) AS alerts, round(avg(value / 100), 8) AS avg_probability, round(max(value / 100), 8) AS max_probability
+FROM events WHERE value >= 50 GROUP BY 1""")
+def _(spark, sf):
+    """Trend of the probabilities of alerts in event time: hourly windows of a stream, each given out once and closed."""
+    stream = event_stream(spark, sf).where((F.col("altitude") >= 5000) | (F.col("event_id") == CLOSING)).select("ts", (F.col("altitude") / 10_000).alias("delay_probability"))
+    rows = appended(ev.trend(stream, "1 hour", DELAY), "trend").where(F.col("window_start") < closing_hour(spark, sf))
+    return rows.select(micros("window_start").alias("window_start"), "alerts", r("avg_probability", 8), r("max_probability", 8))
+
+
+@query("st_progress", "SELECT count(*) AS records, 0::BIGINT AS dropped, true AS state_shrinks FROM trajectory", "trajectory")
+def _(spark, sf):
+    """The hourly rate's own progress events: all events read, none late, and fewer rows of state at the end than in between."""
+    out = run_folder(spark, "progress")
+    handle = ev.start_append(ev.event_rate(event_stream(spark, sf), "1 hour", DELAY), f"{out}/table", f"{out}/checkpoint")
+    finish(handle)
+    p = scoring.write_progress(spark, handle, f"{out}/progress")
+    last = F.max_by("state_rows", "batch_id")
+    return p.agg((F.sum("records") - 1).alias("records"), F.sum("dropped").alias("dropped"), (last < F.max("state_rows")).alias("state_shrinks"))
 
 
 @query("st_session", """WITH g AS (SELECT flight_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
@@ -202,8 +286,8 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY flight_id ORDER BY ts ROWS UNBOUND
 SELECT flight_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 21600000000 AS session_end, count(*) AS events
 FROM s GROUP BY flight_id, n""", "trajectory")
 def _(spark, sf):
-    """Sessions of the whole table; the same function runs on a stream, where open sessions wait for the watermark."""
-    rows = ev.sessions(views.trajectory(spark, sf), "6 hours")
+    """Sessions of a stream: merged in state, given out once the watermark has passed their end; the closing event ends the last ones."""
+    rows = appended(ev.sessions(event_stream(spark, sf), "6 hours", DELAY), "sessions").where(F.col("session_start") < closing_time(spark, sf))
     return rows.select("flight_id", micros("session_start").alias("session_start"),
                        micros("session_end").alias("session_end"), "events")
 
@@ -211,5 +295,5 @@ def _(spark, sf):
 @query("st_dedup", "SELECT event_id, flight_id, event_type, epoch_us(ts) AS ts FROM trajectory", "trajectory")
 def _(spark, sf):
     """Every event arrives twice and is kept once."""
-    stream = ev.dedup(event_stream(spark, sf, copies=2), ["event_id"], EXPORT_DELAY)
-    return appended(stream, "dedup").select("event_id", "flight_id", "event_type", micros("ts").alias("ts"))
+    stream = ev.dedup(event_stream(spark, sf, copies=2), ["event_id"], DELAY)
+    return appended(stream, "dedup").where(F.col("event_id") != CLOSING).select("event_id", "flight_id", "event_type", micros("ts").alias("ts"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import anomaly as an, mining, models, neighbours, routes, trajectory as tr
 from latewing.operators.aggregates import corr_matrix
-from latewing.operators.quantiles import exact_quantiles
+from latewing.operators.quantiles import daily_sketches, exact_quantiles, sketched_rank
 from latewing.plans.learning import fitted, parts
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, EXPECTED_EVENTS, NUMERIC_FEATURES
@@ -282,6 +284,16 @@ def _(spark, sf):
     return out.select("flight_id", "events", "pct_rank")
 
 
+@query("p_sketched_rank", f"""WITH {STARTS} SELECT flight_id, events, percent_rank() OVER (ORDER BY duration_s) AS pct_rank, true AS close FROM p""", V)
+def _(spark, sf):
+    """The rank by merged daily sketches is at most a hundredth off the exact one."""
+    e = events(spark, sf)
+    flights = cut_lineage(tr.starts(e).join(e.groupBy("flight_id").agg(F.to_date(F.min("ts")).alias("day")), "flight_id"), "starts")
+    days = cut_lineage(daily_sketches(flights, "duration_s", F.col("day")), "sketches")
+    both = tr.percent_rank(sketched_rank(flights, "duration_s", days, "near"), "duration_s", rows=n(spark, sf))
+    return both.select("flight_id", "events", "pct_rank", (F.abs(F.col("near") - F.col("pct_rank")) <= 0.01).alias("close"))
+
+
 @query("p_rolling", f"""WITH {T} SELECT flight_id, event_id, round(avg(altitude) OVER w, 4) AS roll_mean,
   round(stddev_samp(altitude) OVER w, 4) AS roll_std FROM t WINDOW w AS (PARTITION BY flight_id ORDER BY us, event_id
   ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", V)
@@ -367,13 +379,22 @@ def _(spark, sf):
     return corr_matrix(feats(spark, sf), an.FEATURES).withColumn("corr", F.round("corr", 6))
 
 
-@query("p_corr_prune", "SELECT flight_id, true AS loose FROM trajectory GROUP BY 1", V)
+def prune_sql(limit: float) -> str:
+    """Which features stay, decided in their order from the matrix: one common table expression a feature."""
+    cells = ", ".join(f"corr({a}, {b}) AS r_{i}_{j}" for j, b in enumerate(an.FEATURES) for i, a in enumerate(an.FEATURES[:j]))
+    out = [f"{FEATS}, k0 AS (SELECT *, true AS s0 FROM (SELECT {cells} FROM feats))"]
+    for j in range(1, len(an.FEATURES)):
+        apart = " AND ".join(f"(NOT s{i} OR coalesce(abs(r_{i}_{j}) <= {limit}, true))" for i in range(j))
+        out.append(f"k{j} AS (SELECT *, {apart} AS s{j} FROM k{j - 1})")
+    rows = " UNION ALL ".join(f"SELECT {j} AS position, '{c}' AS feature, s{j} AS stays FROM k{len(an.FEATURES) - 1}" for j, c in enumerate(an.FEATURES))
+    return f"WITH {', '.join(out)} SELECT position, feature FROM ({rows}) WHERE stays"
+
+
+@query("p_corr_prune", prune_sql(0.8), V)
 def _(spark, sf):
-    """The flights with their kept columns; no two of those correlate above the limit."""
-    rows = feats(spark, sf)
-    names = an.corr_prune(rows, an.FEATURES, 0.8)
-    tight = corr_matrix(rows, names).where("a != b").agg(F.coalesce(F.max(F.abs("corr")), F.lit(0.0))).scalar()
-    return rows.select("flight_id", *names).withColumn("tight", tight).select("flight_id", (F.col("tight") <= 0.8).alias("loose"))
+    """The features that stay, with their places in the list."""
+    names = an.corr_prune(feats(spark, sf), an.FEATURES, 0.8)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(an.FEATURES) if c in names], "position int, feature string")
 
 
 FLAGS = f"""{FEATS}, q AS (SELECT quantile_disc(duration_s, 0.95) AS qd, quantile_disc(max_alt, 0.95) AS qa FROM feats),
@@ -383,7 +404,7 @@ N_FLAGS = " + ".join(f"{k}::INT" for k in an.RULES)
 
 
 def flags(spark, sf) -> DataFrame:
-    return an.rule_flags(feats(spark, sf), 0.95, 15, 172800.0, n(spark, sf))
+    return an.rule_flags(feats(spark, sf), 0.95, 15, 172800.0)
 
 
 @query("p_rule_anomalies", f"WITH {FLAGS} SELECT *, {N_FLAGS} AS n_flags FROM flags", V)
@@ -485,7 +506,7 @@ SELECT flight_id, concat_ws(',', CASE WHEN deviation_km > far THEN 'route_deviat
 def _(spark, sf):
     """Kinds of anomaly in where a flight went; flights that have none are listed too."""
     far = cut_lineage(route(spark, sf), "routes")
-    cut = exact_quantiles(far, ["deviation_km"], {"q": 0.9}, rows=n(spark, sf)).select("q").scalar()
+    cut = exact_quantiles(far, ["deviation_km"], {"q": 0.9}).select("q").scalar()
     away = far.withColumn("q", cut).select("flight_id", (F.col("deviation_km") > F.col("q")).alias("route_deviation"))
     told = holds(spark, sf).join(routes.aborted_take_offs(events(spark, sf), rows=n(spark, sf)), "flight_id").join(away, "flight_id", "left")
     flags = told.select("flight_id", "route_deviation", (F.col("loops") > 3).alias("holding"), (F.col("aborted") > 8).alias("aborted_take_off"))
@@ -501,33 +522,53 @@ def _(spark, sf):
     return an.inject_anomalies(events(spark, sf)).select("flight_id", "event_id", "us", "injected")
 
 
-SCORED_ONCE = "SELECT flight_id, true AS scored, true AS fair FROM trajectory GROUP BY 1"
+PLANTED = -1
+
+
+def with_planted(f: DataFrame) -> DataFrame:
+    """The flights and one more, eight deviations off in every feature, up and down in turn: no detector may miss it."""
+    odd = f.agg(*[(F.avg(c) + F.stddev(c) * (8 if i % 2 else -8)).cast(f.schema[c].dataType).alias(c) for i, c in enumerate(an.FEATURES)])
+    return f.select("flight_id", *an.FEATURES).unionByName(odd.withColumn("flight_id", F.lit(PLANTED).cast(f.schema["flight_id"].dataType)))
+
+
+#: ``fair``: flagged exactly by the method's own rule, and for the planted flight also flagged and before all others.
+SCORED_ONCE = f"SELECT flight_id, true AS scored, false AS planted, true AS fair FROM trajectory GROUP BY 1 UNION ALL SELECT {PLANTED}, true, true, true"
+
+
+def judged(out: DataFrame, score: str, scored, due) -> DataFrame:
+    first = out.where(F.col("flight_id") != PLANTED).agg(F.max(score)).scalar()
+    planted = F.col("flight_id") == PLANTED
+    leads = ~planted | ((F.col(score) > F.col("_first")) & F.col("outlier"))
+    return out.withColumn("_first", first).select("flight_id", scored.alias("scored"), planted.alias("planted"), ((F.col("outlier") == due) & leads).alias("fair"))
 
 
 @query("p_kmeans_outliers", SCORED_ONCE, V)
 def _(spark, sf):
-    """One row per flight, scored where its features are complete; small clusters and far flights are flagged, no others."""
-    out = cut_lineage(an.kmeans_outliers(feats(spark, sf)), "kmeans")
+    """Small clusters and far flights are flagged, no others."""
+    out = cut_lineage(an.kmeans_outliers(with_planted(feats(spark, sf)), normal=feats(spark, sf)), "kmeans")
     far = out.agg(F.struct(F.avg("distance").alias("m"), F.stddev("distance").alias("s"), F.count("distance").alias("n"))).scalar()
-    due = (F.col("distance") > F.col("f.m") + 3 * F.col("f.s")) | (F.col("cluster_size") < 0.01 * F.col("f.n"))
-    return out.withColumn("f", far).select("flight_id", (F.col("distance") >= 0).alias("scored"), (F.col("outlier") == due).alias("fair"))
+    small = F.col("cluster_size") < 0.01 * F.col("f.n")
+    due = (F.col("distance") > F.col("f.m") + 3 * F.col("f.s")) | small
+    return judged(out.withColumn("f", far), "distance", F.col("distance") >= 0, due)
 
 
 @query("p_isolation_forest", SCORED_ONCE, V)
 def _(spark, sf):
-    """One row per flight, its score in (0, 1); no unflagged flight scores above a flagged one."""
-    out = an.isolation_forest(feats(spark, sf))
+    """Scores in (0, 1); no unflagged flight scores above a flagged one."""
+    out = an.isolation_forest(with_planted(feats(spark, sf)), contamination=0.1)
     low = out.agg(F.max(F.when(~F.col("outlier"), F.col("score")))).scalar()
-    return out.withColumn("low", low).select("flight_id", ((F.col("score") > 0) & (F.col("score") < 1)).alias("scored"), (
-        ~F.col("outlier") | (F.col("score") > F.col("low"))).alias("fair"))
+    return judged(out.withColumn("low", low), "score", (F.col("score") > 0) & (F.col("score") < 1), F.col("score") > F.col("low"))
 
 
 @query("p_pca_recon", SCORED_ONCE, V)
 def _(spark, sf):
-    """One row per flight; more components never leave a larger error."""
-    less, more = (an.pca_reconstruction(feats(spark, sf), k=k) for k in (3, 5))
-    both = less.join(more.withColumnRenamed("error", "finer"), "flight_id")
-    return both.select("flight_id", (F.col("error") >= 0).alias("scored"), (F.col("finer") <= F.col("error") + 1e-9).alias("fair"))
+    """More components never leave a larger error; the largest errors are flagged."""
+    f = with_planted(feats(spark, sf))
+    less, more = (an.pca_reconstruction(f, k=k, normal=feats(spark, sf)) for k in (3, 5))
+    both = cut_lineage(less.join(more.withColumnRenamed("error", "finer"), "flight_id"), "errors")
+    cut = exact_quantiles(both, ["error"], {"q": 0.9}).select("q").scalar()
+    flagged = both.withColumn("q", cut).withColumn("outlier", F.col("error") > F.col("q"))
+    return judged(flagged, "error", (F.col("error") >= 0) & (F.col("finer") <= F.col("error") + 1e-9), F.col("error") > F.col("q"))
 
 
 @query("p_grid_density", f"""WITH {FEATS}, z AS (SELECT flight_id, floor((duration_s - avg(duration_s) OVER ()) / stddev_samp(duration_s) OVER () / 0.5) AS x,
@@ -566,27 +607,35 @@ def _(spark, sf):
     return an.ensemble_vote({k: f.select("flight_id", F.col(k).alias("flag")) for k in an.RULES})
 
 
-@query("p_method_vote", "SELECT flight_id, true AS in_range, true AS decided FROM trajectory GROUP BY 1", V)
+@query("p_method_vote", f"""WITH {FLAGS} SELECT flight_id, {N_FLAGS} >= 2 AS rules, false AS planted, true AS adds_up FROM flags
+UNION ALL SELECT {PLANTED}, false, true, true""", V)
 def _(spark, sf):
-    """Flights flagged by rules, clusters, reconstruction error, density and forest, each with a vote; two are enough."""
-    f, rows = feats(spark, sf), n(spark, sf)
-    error = cut_lineage(an.pca_reconstruction(f), "errors")
-    density = cut_lineage(an.grid_density(f, ["duration_s", "max_alt"]), "densities")
-    far = exact_quantiles(error, ["error"], {"q": 0.95}, rows=rows).select("q").scalar()
-    rare = exact_quantiles(density, ["density"], {"q": 0.05}, rows=rows).select("q").scalar()
-    rules = F.lit(0)
-    for k in an.RULES:
-        rules = rules + F.col(k).cast("int")
+    """Flights flagged by rules, clusters, reconstruction error, local density and forest, each with a vote; two are enough.
+
+    ``adds_up``: the votes are those of the written flags; the planted flight has at least two of them.
+    """
+    f = with_planted(feats(spark, sf))
+    error = cut_lineage(an.pca_reconstruction(f, normal=feats(spark, sf)), "errors")
+    lof = cut_lineage(neighbours.local_outliers(f, an.FEATURES, 10), "factors")
+    far = exact_quantiles(error, ["error"], {"q": 0.9}).select("q").scalar()
+    lonely = exact_quantiles(lof, ["lof"], {"q": 0.9}).select("q").scalar()
+    broken = reduce(lambda a, b: a + b, [F.col(k).cast("int") for k in an.RULES])
     flag = lambda c: F.coalesce(c, F.lit(False)).alias("flag")
-    votes = cut_lineage(an.ensemble_vote({
-        "rules": flags(spark, sf).select("flight_id", flag(rules >= 2)),
-        "clusters": an.kmeans_outliers(f).select("flight_id", flag(F.col("outlier"))),
+    rules = flags(spark, sf).select("flight_id", flag(broken >= 2))
+    methods = {
+        "rules": rules.unionByName(f.where(F.col("flight_id") == PLANTED).select("flight_id", F.lit(False).alias("flag"))),
+        "clusters": an.kmeans_outliers(f, normal=feats(spark, sf)).select("flight_id", flag(F.col("outlier"))),
         "error": error.withColumn("q", far).select("flight_id", flag(F.col("error") > F.col("q"))),
-        "density": density.withColumn("q", rare).select("flight_id", flag(F.col("density") <= F.col("q"))),
-        "forest": an.isolation_forest(f).select("flight_id", flag(F.col("outlier"))),
-    }), "votes")
-    return votes.select("flight_id", F.col("votes").between(0, 5).alias("in_range"), (
-        F.col("anomalous") == (F.col("votes") >= 2)).alias("decided"))
+        "density": lof.withColumn("q", lonely).select("flight_id", flag(F.col("lof") > F.col("q"))),
+        "forest": an.isolation_forest(f, contamination=0.1).select("flight_id", flag(F.col("outlier"))),
+    }
+    methods = {k: cut_lineage(df, k) for k, df in methods.items()}
+    votes, own = an.ensemble_vote(methods), methods["rules"].withColumnRenamed("flag", "rules")
+    for k in ("clusters", "error", "density", "forest"):
+        own = own.join(methods[k].withColumnRenamed("flag", k), "flight_id")
+    planted, total = F.col("flight_id") == PLANTED, reduce(lambda a, b: a + b, [F.col(k).cast("int") for k in methods])
+    right = (F.col("votes") == total) & (F.col("anomalous") == (total >= 2)) & (~planted | F.col("anomalous"))
+    return own.join(votes, "flight_id").select("flight_id", "rules", planted.alias("planted"), right.alias("adds_up"))
 
 
 @query("p_permutation_importance", " UNION ALL ".join(
@@ -602,7 +651,7 @@ def _(spark, sf):
 def _period(e: DataFrame, first: bool, rows: int) -> DataFrame:
     cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
     part = e.where(F.col("ts") < cut) if first else e.where(F.col("ts") >= cut)
-    marked = an.rule_flags(cut_lineage(an.flight_features(part, rows), "period"), 0.9, rows=rows)
+    marked = an.rule_flags(cut_lineage(an.flight_features(part, rows), "period"), 0.9)
     return marked.select("flight_id", F.col("long_duration").alias("flag"))
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from latewing.schema import CARRIER_FILE_SCHEMA
 
@@ -39,10 +39,15 @@ def read_carrier_csv(spark: SparkSession, path: str, schema: T.StructType = CARR
     return raw.withColumnsRenamed({"Code": "code", "Description": "description"})
 
 
+def plain_path(encoded: Column) -> Column:
+    """A file's path as it was given, from the encoded one that Spark reports."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
     """Files by their first line, found in one job over all files; a file without lines has no header."""
     lines = spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        "value", plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"))
     first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
     groups: dict[str, list[str]] = defaultdict(list)

@@ -22,6 +22,16 @@ def event_rate(events: DataFrame, width: str = "1 hour", delay: str = "1 hour",
     )
 
 
+def trend(alerts: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Number, mean and largest ``delay_probability`` of alerts per window of event time."""
+    p = F.col("delay_probability")
+    return (
+        with_event_time(alerts, delay).groupBy(F.window("ts", width).alias("w"))
+        .agg(F.count(F.lit(1)).alias("alerts"), F.avg(p).alias("avg_probability"), F.max(p).alias("max_probability"))
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "alerts", "avg_probability", "max_probability")
+    )
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", key: str = "flight_id"):
     """Activity sessions of a flight: events less than the gap apart.
 

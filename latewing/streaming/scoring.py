@@ -1,16 +1,15 @@
 """Scoring of flight messages as they arrive.
 
 A micro-batch goes through the same casts and the same saved pipeline as a batch file. Its results are three tables:
-scored rows, one metrics row per batch, one alert per batch. Each batch owns the folder ``batch_id=N`` of every table and
+scored rows, one metrics row per batch, one alert per batch; the last two are observed while the first is written. Each batch owns the folder ``batch_id=N`` of every table and
 overwrites it, so a batch that is run again leaves no duplicates. Errors are not swallowed: a failed batch is retried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from latewing.functions.labels import at_threshold
-from latewing.operators.aggregates import prob_stats
 from latewing.operators.models import Scorer, score_batch
 from latewing.operators.ordered import running
 from latewing.sources.messages import parse_messages
@@ -20,6 +19,7 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("destination", T.StringType()), T.StructField("scheduled_departure", T.IntegerType()),
     T.StructField("prediction", T.IntegerType()), T.StructField("delay_probability", T.DoubleType()),
 ])
+TRIGGER_BYTES = 128 << 20   # input of one micro-batch
 # Riskiest row of a batch: highest probability, ties by the flight's own fields.
 ALERT_TIES = ("op_unique_carrier", "origin", "dest", "crs_dep_time", "month", "day_of_month", "distance")
 
@@ -32,11 +32,11 @@ def alert_fields(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def replay(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1, fmt: str = "parquet", **options
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = 1, fmt: str = "parquet", **options
 ) -> DataFrame:
-    """Files of a folder as a stream, a few files per micro-batch, oldest first."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).options(
-        **options).load(path)
+    """Files of a folder as a stream, oldest first: a few files per micro-batch, or, without a number, TRIGGER_BYTES."""
+    bound = {"maxBytesPerTrigger": TRIGGER_BYTES} if files_per_trigger is None else {"maxFilesPerTrigger": files_per_trigger}
+    return spark.readStream.format(fmt).schema(schema).options(**{**bound, **options}).load(path)
 
 
 def check_mode(mode: str) -> str:
@@ -46,22 +46,28 @@ def check_mode(mode: str) -> str:
     return mode
 
 
-def write_batch(batch: DataFrame, batch_id: int, model: Scorer, threshold: float, out: str) -> None:
-    """One micro-batch: score, then derive metrics and alert from the written rows."""
-    spark = batch.sparkSession
-    target = f"{out}/scored/batch_id={batch_id}"
-    score_batch(model, batch, threshold).write.mode("overwrite").parquet(target)
-    scored = spark.read.parquet(target)
-    metrics = batch_metrics(scored, batch_id)
-    metrics.where("records_processed > 0").write.mode("overwrite").parquet(f"{out}/metrics/batch_id={batch_id}")
-    top = scored.orderBy(F.desc("p"), *ALERT_TIES).limit(1)
-    alert_fields(top, threshold).withColumn("ts", F.current_timestamp()).write.mode("overwrite").parquet(
-        f"{out}/alerts/batch_id={batch_id}")
+BATCH_METRICS = "records_processed bigint, min_prob double, max_prob double, avg_prob double"
+
 
+def observed(scored: DataFrame, seen: Observation, threshold: float = 0.5) -> DataFrame:
+    """The rows, which tell their number, probabilities and riskiest row to ``seen`` while they are written."""
+    riskiest = F.struct((-F.col("p")).alias("p"), *ALERT_TIES)
+    shown = dict(zip(ALERT_SCHEMA.fieldNames(), (F.col("op_unique_carrier"), F.col("origin"), F.col("dest"), F.col("crs_dep_time"), at_threshold("p", threshold), F.col("p"))))
+    return scored.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.min("p").alias("min_prob"), F.max("p").alias("max_prob"), F.avg("p").alias("avg_prob"),
+        *[F.min_by(c, riskiest).alias(f"top_{name}") for name, c in shown.items()])
 
-def batch_metrics(scored: DataFrame, batch_id: int) -> DataFrame:
-    """``(records_processed, min_prob, max_prob, avg_prob, ts)``; the batch id is the folder's partition value."""
-    return prob_stats(scored).withColumnRenamed("n", "records_processed").withColumn("ts", F.current_timestamp())
+
+def write_batch(batch: DataFrame, batch_id: int, model: Scorer, threshold: float, out: str) -> None:
+    """One micro-batch, one job over its rows: metrics and alert are observed while the scored rows are written."""
+    spark, seen = batch.sparkSession, Observation()
+    observed(score_batch(model, batch, threshold), seen, threshold).write.mode("overwrite").parquet(f"{out}/scored/batch_id={batch_id}")
+    got = seen.get
+    some = got["n"] > 0
+    metrics = spark.createDataFrame([(got["n"], got["min_prob"], got["max_prob"], got["avg_prob"])] if some else [], BATCH_METRICS)
+    alert = spark.createDataFrame([tuple(got[f"top_{f}"] for f in ALERT_SCHEMA.fieldNames())] if some else [], ALERT_SCHEMA)
+    for name, df in (("metrics", metrics), ("alerts", alert)):
+        df.coalesce(1).withColumn("ts", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
 
 
 def start_scoring(
@@ -92,6 +98,42 @@ def running_metrics(metrics: DataFrame) -> DataFrame:
         F.min("min_prob").alias("min_prob"), F.max("max_prob").alias("max_prob"))
 
 
+def start_running(metrics: DataFrame, out: str, checkpoint: str, available_now: bool = True):
+    """Running metrics of a stream of metrics rows: one aggregate over all batches ever seen, its state in the checkpoint.
+
+    Complete mode gives the whole result each time; ``current`` reads the newest. A restart goes on from the checkpoint.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    w = running_metrics(metrics).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """The newest result of a query in complete mode; older ones are not read."""
+    table = spark.read.parquet(out)
+    return table.where(F.col("batch_id") == table.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
+def progress_rows(handle) -> list[tuple]:
+    """``(batch_id, rows, state_rows, dropped)`` of a query's latest batches, from its own progress events."""
+    out = {}
+    for p in handle.recentProgress:
+        state = p.stateOperators
+        out[p.batchId] = (p.batchId, p.numInputRows, sum(s.numRowsTotal for s in state), sum(s.numRowsDroppedByWatermark for s in state))
+    return [out[k] for k in sorted(out)]
+
+
+PROGRESS = "batch_id bigint, records bigint, state_rows bigint, dropped bigint"
+
+
+def write_progress(spark: SparkSession, handle, out: str) -> DataFrame:
+    """A finished query's progress as a table, a row per batch: nothing is read a second time to count it."""
+    spark.createDataFrame(progress_rows(handle), PROGRESS).coalesce(1).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def producer_metrics(batches: DataFrame) -> DataFrame:
     """Running total over a table with one row per sent batch."""
     return running(batches, [], ["batch_num"], {"total_sent": "records_in_batch"})

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from latewing.operators import dims
-from latewing.operators.joins import fits_broadcast, left_lookup
+from latewing.operators.joins import fits_broadcast, key_filter, left_lookup
 
 
 def test_far_way_equals_broadcast(spark):
@@ -48,3 +48,31 @@ def test_null_keys_meet_where_asked(spark):
     for most in (10, 1):
         assert {r.id: r.x for r in left_lookup(fact, dim, ["k"], max_rows=most, null_safe=True).collect()} == {1: 7, 2: 8}
         assert {r.id: r.x for r in left_lookup(fact, dim, ["k"], max_rows=most).collect()} == {1: None, 2: 8}
+
+
+def test_key_filter_lets_all_keys_through_and_few_others(spark):
+    fact = spark.range(20_000).select("id", (F.col("id") % 5000).alias("k"), F.concat(F.lit("s"), F.col("id") % 7).alias("s"))
+    keys = spark.range(0, 500).select((F.col("id") * 3).alias("k"), F.concat(F.lit("s"), F.col("id") % 7).alias("s")).unionByName(
+        spark.sql("SELECT CAST(NULL AS BIGINT) AS k, 's1' AS s"))
+    joined = fact.join(keys, ["k", "s"]).count()
+    passed = fact.where(key_filter(keys, ["k", "s"], bits=1 << 14))
+    assert passed.join(keys, ["k", "s"]).count() == joined > 0 and joined <= passed.count() < 3 * joined
+    full = fact.where(key_filter(keys, ["k", "s"], bits=1 << 8))       # far too small: slower, not wrong
+    assert full.join(keys, ["k", "s"]).count() == joined
+    assert fact.where(key_filter(keys.limit(0), ["k", "s"])).count() == 0
+
+
+def test_long_list_is_filtered_before_the_exchange(spark):
+    fact = spark.range(50_000).select("id", (F.col("id") % 5000).alias("k"))
+    preds = spark.range(100).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = dims.join_pred_to_fact(fact, preds, ["k"], max_rows=10)
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert df.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(i for i, x in enumerate(plan) if "SortMergeJoin" in x)
+    left = plan[join:]
+    exchange = next(i for i, x in enumerate(left) if "Exchange" in x)
+    assert any("Filter" in x and "getbit" in x.lower() for x in left[exchange:])
