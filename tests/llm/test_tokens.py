@@ -81,3 +81,19 @@ def test_query_on_all_documents(spark, sf, name):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r.n_tokens for r in QUERIES[name].run(spark, sf).collect()}
     assert got == {d: len(LIBRARY.encode(t, add_special_tokens=False).ids) for d, t in texts.items()}
+
+
+def test_groups_are_encoded_at_once(monkeypatch):
+    """One call a group of parts, groups of about ``batch_bytes``; a group that the engine refuses is counted part by part."""
+    import public_tokenizers
+    from latewing.llm import token_counts
+
+    path, calls = public_tokenizers.path("byte_bpe_50k.json"), []
+    real = token_counts.byte_level_lengths
+    monkeypatch.setattr(token_counts, "byte_level_lengths", lambda own, group: calls.append(sum(map(len, group))) or real(own, group))
+    texts = ["some words and more " * 50] * 40 + ["x", "", "word " * 3000]
+    got = token_counts.lengths(texts, path, batch_bytes=5000, part_chars=2000)
+    assert got.tolist() == [len(token_counts._tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert 10 <= len(calls) < len(texts) and max(calls) < 5000 + 2 * 2000
+    odd = ["a" + " " * 1_200_000 + "b", "a b"]
+    assert token_counts.lengths(odd, path).tolist() == [len(token_counts._tokenizer(path).encode(t, add_special_tokens=False).ids) for t in odd]
