@@ -103,22 +103,29 @@ def bad_order(events: DataFrame, illegal: Sequence[tuple[str, str]], rows: int |
         F.count_if(F.col("prev_event_type").isNotNull() & rule).alias("violations"))
 
 
+def _successions(events: DataFrame, rows: int | None, *by: str) -> DataFrame:
+    """How often one kind directly follows another, per ``by``."""
+    return steps(events, ["event_type"], rows).where(F.col("prev_event_type").isNotNull()).groupBy(
+        *by, "prev_event_type", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def transition_probabilities(events: DataFrame, rows: int | None = None) -> DataFrame:
     """``(prev_event_type, event_type, n, prob)``; the totals per type are summed over the short table of pair counts."""
-    pairs = (
-        steps(events, ["event_type"], rows).where(F.col("prev_event_type").isNotNull())
-        .groupBy("prev_event_type", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return _shares(_successions(events, rows))
+
+
+def _shares(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("prev_event_type")))
 
 
 def markov_likelihood(events: DataFrame, rows: int | None = None) -> DataFrame:
-    """Log-likelihood of each flight under the fleet's transition probabilities, and its mean per step."""
-    probs = cut_lineage(transition_probabilities(events, rows), "transitions").select("prev_event_type", "event_type", "prob")
-    own = (
-        steps(events, ["event_type"], rows).where(F.col("prev_event_type").isNotNull())
-        .groupBy("flight_id", "prev_event_type", "event_type").agg(F.count(F.lit(1)).alias("c"))
-    )
+    """Log-likelihood of each flight under the fleet's transition probabilities, and its mean per step.
+
+    One ordered pass: the fleet's counts are those of the flights added up.
+    """
+    own = cut_lineage(_successions(events, rows, "flight_id"), "successions").withColumnRenamed("n", "c")
+    fleet = own.groupBy("prev_event_type", "event_type").agg(F.sum("c").alias("n"))
+    probs = cut_lineage(_shares(fleet), "transitions").select("prev_event_type", "event_type", "prob")
     joined = left_lookup(own, probs, ["prev_event_type", "event_type"])
     total = F.sum(F.col("c") * F.ln("prob"))
     return joined.groupBy("flight_id").agg(

@@ -321,11 +321,14 @@ def _(spark, sf):
 
 @query("p_dq_report", f"""WITH {DAILY}, c AS (SELECT count(*) - 1 AS extra FROM d GROUP BY flight_id, event_type),
 f AS (SELECT count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'purchase') AS b FROM d GROUP BY flight_id)
-SELECT count(*) AS events, 0::BIGINT AS missing_values, 0::BIGINT AS corrupt_info,
+SELECT count(*) AS events, count(*) FILTER (event_id % 97 = 0) AS missing_values, count(*) FILTER (event_id % 89 = 0) AS corrupt_info,
   (SELECT CAST(sum(extra) AS BIGINT) FROM c) AS duplicates, (SELECT count(*) FROM f) AS flights,
   (SELECT count(*) FROM f WHERE a = 0 OR b = 0) AS incomplete_flights FROM d""", V)
 def _(spark, sf):
-    return tr.dq_report(by_day(spark, sf), ["flight_id", "event_type"])
+    """Some events without an altitude, some with an ``info`` that is cut off."""
+    broken = by_day(spark, sf).withColumns({
+        "altitude": F.when(F.col("event_id") % 97 != 0, F.col("altitude")), "info": F.when(F.col("event_id") % 89 == 0, '{"k":').otherwise(F.col("info"))})
+    return tr.dq_report(broken, ["flight_id", "event_type"])
 
 
 @query("p_teleport", f"""WITH {S}, x AS (SELECT *, {KM} AS km, CASE WHEN us > prev_us THEN {KM} / ((us - prev_us) / 3.6e9) END AS kmh FROM s)
