@@ -32,7 +32,7 @@ def _rank(total: Column, p: float) -> Column:
 
 
 BINS = 1024                 # bins of one round over the whole table
-GROUP_BINS = 64             # bins of one round for each group
+GROUP_BINS = 512            # bins of one round for each group
 LARGEST = 1.7976931348623157e308
 
 

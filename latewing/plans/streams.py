@@ -20,8 +20,8 @@ from latewing.sources.messages import parse_messages
 from latewing.sources.views import FLIGHT_KEY
 from latewing.streaming import events as ev, scoring
 
-#: Rows of a file to be replayed: small beside a micro-batch, whose size is bounded by bytes.
-FILE_ROWS = 1_000_000
+#: Rows of a file to be replayed: small beside a micro-batch, whose size is bounded by bytes, and many enough for all cores.
+FILE_ROWS = 50_000
 
 
 def as_files(df: DataFrame, label: str) -> str:
