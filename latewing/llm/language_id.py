@@ -12,15 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from latewing.llm.flat import by_bytes, flat, with_key
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)
 DIMENSIONS = 12
-PER_LANGUAGE = 600          # labelled rows to learn from, for each language
+PER_LANGUAGE = 600          # labelled rows to learn from, for each language, on average
 MOST_ROWS = 6_000           # of all languages
+LEAST_ROWS = 10             # that a language's part of MOST_ROWS must have
+MOST_BYTES = 256 << 20      # of bucket shares that come to the driver
 BATCH_BYTES = 4 << 20
 
 FOLD = np.full(256, 32, np.uint8)
@@ -130,29 +132,45 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _sample(rows: DataFrame, per_language: int, most_rows: int, most_bytes: int) -> DataFrame:
+    """The rows of (k, l, t) whose hash lies below their language's share, one of equal rows.
+
+    Shares follow from one count of all rows: they ask for at most ``per_language`` rows a language and for an equal part of
+    ``most_rows`` and ``most_bytes``, so the sample has that size on average, and no language's rows meet in one task.
+    """
+    cost = F.least(F.octet_length("t") * 3 + 3, F.lit(BUCKETS)) * 8
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(cost).alias("cost")).orderBy(
+        F.desc("n"), "l").limit(max(1, most_rows // LEAST_ROWS)).collect()
+    part = max(1, len(sizes))
+    limit = min(per_language, most_rows / part)
+    shares = [(r.l, min(limit / r.n, most_bytes / part / r.cost)) for r in sizes]
+    shares = rows.sparkSession.createDataFrame([(x, 2.0 if y >= 1 else y) for x, y in shares], "l string, share double")
+    place = F.xxhash64("k", "t") / F.lit(2.0 ** 64) + 0.5
+    # The broadcast has a row for each of at most most_rows / LEAST_ROWS languages.
+    return rows.join(F.broadcast(shares), "l").where(place < F.col("share")).select("k", "l", "t").dropDuplicates()
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Learn from a sample of at most ``per_language`` rows of each language and ``most_rows`` rows in all.
+          per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
+    """Learn from a sample of about ``per_language`` rows of each language, ``most_rows`` rows and ``most_bytes`` bytes in all.
 
-    The sample is drawn by a hash of the id. A row comes to the driver as at most BUCKETS bucket shares, however long its text.
-    Rows with null id, text or language, and held-out rows, are not used.
+    The sample is drawn by a threshold on a hash of id and text; equal rows count once. A row comes to the driver as at most BUCKETS bucket
+    shares, however long its text; ``most_bytes`` bounds their sum, so long texts make the sample smaller. Beyond
+    ``most_rows / LEAST_ROWS`` languages the rarest are not learned. Rows with null id, text or language, and held-out rows, are not used.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where(
-        F.col("k").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k")))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    drawn = rows.select("k", "l").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    ids = drawn.orderBy("n", "l").limit(most_rows).select("k").distinct()
-    sample = rows.where(F.col("t").isNotNull()).join(F.broadcast(ids), "k")  # at most most_rows ids
+    rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).where(
+        F.col("k").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("k")))
+    sample = _sample(rows, per_language, most_rows, most_bytes).withColumn("h", F.xxhash64("k", "t"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "t", BATCH_BYTES):
             data, offsets = flat(b.column("t"))
             found = [counts_of(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
-            yield pa.record_batch([b.column("k"), b.column("l"), pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array(
-                [x[1].tobytes() for x in found], pa.binary())], ["k", "l", "b", "s"])
+            yield pa.record_batch([b.column("h"), b.column("l"), pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array(
+                [x[1].tobytes() for x in found], pa.binary())], ["h", "l", "b", "s"])
 
-    got = sample.mapInArrow(features, with_key(rows, "l string, b binary, s binary")).orderBy(
-        F.xxhash64("k"), "k", "l", "b").limit(2 * most_rows).collect()
+    got = sample.select("h", "l", "t").mapInArrow(features, "h bigint, l string, b binary, s binary").collect()
+    got.sort(key=lambda r: (r.h, r.l, r.b, r.s))
     return fit([(r.l, np.frombuffer(r.b, np.int32), np.frombuffer(r.s, np.float32)) for r in got if len(r.b)])
 
 

@@ -46,3 +46,27 @@ def test_without_labels(spark):
     assert {r.lang_pred for r in language_id.identify(documents(spark), model).collect()} == {"und"}
     one = documents(spark).withColumn("lang", F.lit("aa"))
     assert {r.lang_pred for r in language_id.identify(one, language_id.train(one)).collect()} == {"aa", "und"}
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    rows = [(i, "aa", f"word {i}") for i in range(4_000)] + [(i, "bb", f"{i} " + "long text " * 300) for i in range(4_000, 4_400)]
+    rows += [(9_999, "aa", "copied word")] * 2_000 + [(5_000, "cc", "only one"), (5_001, "cc", None), (None, "cc", "x"), (5_003, None, "x")]
+    docs = spark.createDataFrame(rows, "k long, l string, t string").where("k is not null and l is not null and t is not null").repartition(5)
+    draw = lambda *limits: [(r.l, r.k) for r in language_id._sample(docs, *limits).collect()]
+    every = draw(10_000, 30_000, 1 << 40)
+    assert len(every) == len(set(every)) == 4_402                       # copies once, nothing else lost
+    few = draw(200, 6_000, 1 << 40)
+    assert sum(x == "cc" for x, _ in few) == 1
+    assert all(120 < sum(x == lang for x, _ in few) < 280 for lang in ("aa", "bb")) and few.count(("aa", 9_999)) <= 1
+    tight = draw(200, 6_000, 3 * 40 * 8 * 3 * 3_000)
+    assert sum(x == "bb" for x, _ in tight) < 90 and sum(x == "cc" for x, _ in tight) == 1
+    assert {x for x, _ in draw(200, 20, 1 << 40)} <= {"aa", "bb"}       # two languages of ten rows each, the most frequent
+
+
+def test_long_labelled_texts(spark):
+    text = {"aa": "der die und ich nicht ", "bb": "the and of to in "}
+    rows = [(i, lang, t * 5_000 + str(i)) for i, (lang, t) in enumerate(sorted(text.items()) * 40)]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string").repartition(4)
+    # Such a text may send up to 131 KB: about ten of each language fit.
+    found = language_id.identify(docs, language_id.train(docs, most_bytes=20 * 8 * language_id.BUCKETS)).collect()
+    assert all(r.lang_pred == ("aa", "bb")[r.doc_id % 2] for r in found)
