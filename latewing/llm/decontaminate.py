@@ -8,17 +8,21 @@ positions, and their spans are merged per document. No window crosses a word out
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.llm.flat import by_bytes, covered, flat, ranges, runs, span_hashes, with_key
+from latewing.session import cut_lineage
 
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20      # of benchmark text searched at a time
+BLOCK_BYTES = 32 << 20      # of phrases and item ids searched at a time
+BATCH_BYTES = 1 << 20       # of benchmark text
+WINDOWS_TOGETHER = 1 << 14
+ITEMS_TOGETHER = 1_000
 SAMPLE = 8                  # one suffix position in so many is kept
 
 WORD = np.ones(256, bool)
@@ -119,29 +123,43 @@ class ShardIndex:
         return out
 
 
+def phrase_table(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
+    """The distinct windows of all items, p (the hashes of its words), with the ids of the items that hold it.
+
+    A window that very many items hold has several rows, of about ITEMS_TOGETHER ids each.
+    """
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "t", BATCH_BYTES):
+            data, offsets = flat(b.column("t"))
+            data = LOWER[data]
+            starts, ends, bounds = runs(WORD[data], offsets)
+            hashes = span_hashes(data, starts, ends)
+            for i, x, y in zip(b.column("i").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                last = max(x, y - window)
+                for begin in range(x, last + 1 if y > x else x, WINDOWS_TOGETHER):
+                    some = {hashes[k:min(k + window, y)].tobytes() for k in range(begin, min(begin + WINDOWS_TOGETHER, last + 1))}
+                    yield pa.record_batch([pa.array([i] * len(some), pa.string()), pa.array(sorted(some), pa.binary())], ["i", "p"])
+
+    items = benchmark.select(
+        F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    seen = items.mapInArrow(windows, "i string, p binary").distinct()
+    many = seen.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / ITEMS_TOGETHER).alias("n"))
+    dealt = seen.join(many, "p").withColumn("c", F.pmod(F.xxhash64("i"), "n"))
+    return dealt.groupBy("p", "c").agg(F.collect_list("i").alias("items")).select("p", "items")
+
+
 class Phrases:
-    """All windows of a block of benchmark items, as symbols of their vocabulary."""
-
-    def __init__(self, items: list[tuple], window: int):
-        texts = pa.array([t for _, t in items], pa.large_string())
-        data, offsets = flat(texts)
-        data = LOWER[data]
-        starts, ends, bounds = runs(WORD[data], offsets)
-        hashes = span_hashes(data, starts, ends)
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
-        self.sigma, self.window = len(self.vocabulary) + 1, window
-        found: dict[tuple, set] = {}
-        for (item, _), i, j in zip(items, bounds[:-1], bounds[1:]):
-            words = symbol[i:j].tolist()
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[k:k + window]), set()).add("null" if item is None else str(item))
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.phrases = np.zeros((len(found), window), np.int64)
-        for row, words in zip(self.phrases, found):
-            row[window - len(words):] = words
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+    """A block of test phrases, as symbols of their vocabulary."""
+
+    def __init__(self, bodies: list[bytes], items: list[list[str]]):
+        self.items = items
+        self.lengths = np.fromiter((len(x) // 8 for x in bodies), np.int64, len(bodies))
+        self.vocabulary, symbol = np.unique(np.frombuffer(b"".join(bodies), np.uint64), return_inverse=True)
+        self.sigma, width = len(self.vocabulary) + 1, int(self.lengths.max(initial=0))
+        self.phrases = np.zeros((len(bodies), width), np.int64)
+        row = np.repeat(np.arange(len(bodies)), self.lengths)
+        self.phrases[row, ranges(width - self.lengths, self.lengths)] = symbol.astype(np.int64) + 1
+        self.shortest = int(self.lengths.min(initial=width))
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for those that the benchmark lacks."""
@@ -168,16 +186,10 @@ class Phrases:
         return place[found], np.repeat(np.arange(len(lo)), hi - lo)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of bounded size; only one is held at a time."""
-    block, size = [], 0
-    for r in benchmark.select(F.col(item).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).toLocalIterator():
-        if block and size + len(r.t) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r.i, r.t))
-        size += len(r.t)
-    yield block
+def _block(phrases: DataFrame, number: int, of: int) -> Phrases:
+    """One of ``of`` parts of the written phrases, about BLOCK_BYTES: the only one that the driver holds."""
+    got = phrases.where(F.pmod(F.xxhash64("p"), F.lit(of)) == number).toArrow()
+    return Phrases(got.column("p").to_pylist(), got.column("items").to_pylist())
 
 
 def _hits(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
@@ -204,6 +216,27 @@ def _hits(docs: DataFrame, phrases: Phrases, shard_bytes: int) -> DataFrame:
         work, with_key(docs, "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"))
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """(k, spans, items) with the spans of each row in order, those that overlap or touch as one."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans")
+            s, e = (np.asarray(x) for x in spans.flatten().flatten())
+            row = np.repeat(np.arange(len(b)), np.diff(np.asarray(spans.offsets)))
+            order = np.lexsort((s, row))
+            # Rows are moved apart, so that one running maximum of ends serves all.
+            far = (e.max(initial=0) + 2) * row[order]
+            s, e, row = s[order] + far, np.maximum.accumulate(e[order] + far), row[order]
+            new = np.flatnonzero(np.append(True, s[1:] > e[:-1])[:len(s)])
+            last = np.append(new[1:], len(s))[:len(new)] - 1
+            count = np.bincount(row[new], minlength=len(b))
+            merged = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(s[new] - far[new]), pa.array(e[last] - far[new])], ["start", "end"]))
+            yield pa.record_batch([b.column("k"), merged, b.column("items")], ["k", "spans", "items"])
+
+    return found.mapInArrow(work, with_key(found, "spans array<struct<start:bigint,end:bigint>>, items array<string>"))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, text: str = "text", key: str = "doc_id",
     item: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
@@ -212,35 +245,26 @@ def contamination(
 
     A window is ``window`` consecutive words of an item, or all words of a shorter item. A document is contaminated if at
     least one word in ``share`` is hit. Null texts have no words; a null item_id counts as the id "null"; items without words and
-    an empty benchmark hit nothing. Repeated rows stay; other columns are left out. A benchmark larger than ``block_bytes`` is
-    searched in blocks.
+    an empty benchmark hit nothing. Repeated rows stay; other columns are left out. The benchmark's phrases are made and written by
+    Spark; those beyond ``block_bytes`` are searched block by block, and a block's hits are written before the next is read.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    blocks = _blocks(benchmark, item, item_text, block_bytes)
-    out, more = _hits(rows, Phrases(next(blocks), window), shard_bytes), next(blocks, None)
-    if more is not None:
-        # Rows are told apart by key and text; equal rows have equal hits.
-        rows = rows.withColumn("h", F.xxhash64("t"))
-        inner = rows.select(F.struct("k", "h").alias("k"), "t")
-        parts = [_hits(inner, Phrases(more, window), shard_bytes)]
-        parts += [_hits(inner, Phrases(x, window), shard_bytes) for x in blocks]
-        found = parts[0]
-        for x in parts[1:]:
-            found = found.unionByName(x)
-        # Only rows with hits are exchanged.
-        found = found.where(F.size("spans") > 0).groupBy("k").agg(
-            F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"))
-        first = _hits(inner, Phrases(next(_blocks(benchmark, item, item_text, block_bytes)), window), shard_bytes)
-        joined = first.alias("a").join(found.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")), "left")
-        every = F.array_sort(F.concat("spans", F.coalesce("s2", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
-        zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
-        merged = F.aggregate(every, zero, lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x))))
-        out = joined.select(F.col("a.k.k").alias("k"), "n_words", merged.alias("spans"), F.array_sort(F.array_distinct(
-            F.concat("items", F.coalesce("i2", F.array().cast("array<string>"))))).alias("items"))
+    phrases = cut_lineage(phrase_table(benchmark, window, item, item_text), "phrases")
+    size = F.length("p") + F.aggregate("items", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x))
+    number = -(-(phrases.agg(F.sum(size)).first()[0] or 0) // block_bytes)
+    if number <= 1:
+        out = _hits(rows, _block(phrases, 0, 1), shard_bytes)
+    else:
+        # Rows are told apart by key and text; equal rows have equal hits. Only rows with hits are written and exchanged.
+        inner = rows.select(F.struct("k", F.xxhash64("t").alias("h")).alias("k"), "t")
+        parts = [cut_lineage(_hits(inner, _block(phrases, i, number), shard_bytes).where(F.size("spans") > 0).distinct(), "hits")
+                 for i in range(number)]
+        found = reduce(DataFrame.unionByName, parts).groupBy("k").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        every = _hits(inner, Phrases([], []), shard_bytes).select("k", "n_words")
+        joined = every.alias("a").join(_merged(found).alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")), "left")
+        out = joined.select(F.col("a.k.k").alias("k"), "n_words", *[
+            F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")])
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     return out.select(F.col("k").alias(key), "n_words", n_hit.alias("n_hit"), "spans", "items").withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

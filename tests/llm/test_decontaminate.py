@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
     items += [(3, items[0][1]), (None, items[1][1]), (90, None), (91, "... ,"), (92, "unseen word here"), (93, "word")]
     check(spark, docs, items, shard_bytes=700)
     check(spark, docs, items, window=4)
-    check(spark, docs, items, block_bytes=60, shard_bytes=5000)  # the benchmark in many blocks
+    check(spark, docs, items, block_bytes=3_000, shard_bytes=5_000)  # the phrases in several blocks
     check(spark, docs, [(90, None)])
     check(spark, docs, [(1, "the word word")] * 2)
 
@@ -71,3 +71,17 @@ def test_index_ranks_and_order():
         for c in range(sigma):
             at = rng.integers(0, n + 2, 20)
             assert np.array_equal(index.ranks.rank(np.full(20, c), at), [(index.bwt[:a] == c).sum() for a in at])
+
+
+def test_many_blocks_of_phrases(spark, monkeypatch):
+    """Phrases of one document lie in different blocks and overlap there; a phrase has more items than a row holds."""
+    monkeypatch.setattr(decontaminate, "ITEMS_TOGETHER", 3)
+    monkeypatch.setattr(decontaminate, "WINDOWS_TOGETHER", 2)
+    words_ = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(words_[i:i + 16])) for i in range(0, 40, 5)] + [(100 + i, "common short phrase") for i in range(12)]
+    docs = [(1, " ".join(words_)), (2, "a common short phrase " + " ".join(words_[7:30])), (3, None), (3, "nothing here"),
+            (None, " ".join(words_[20:50])), (2, "a common short phrase " + " ".join(words_[7:30]))]
+    table = decontaminate.phrase_table(spark.createDataFrame(items, "item_id bigint, text string"), 13, "item_id", "text").collect()
+    assert len({bytes(r.p) for r in table}) < len(table) and sum(len(r["items"]) for r in table) == 8 * 4 + 12
+    check(spark, docs, items, block_bytes=400)
+    check(spark, docs, items)
