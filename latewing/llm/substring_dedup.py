@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from latewing.llm.flat import SPACES, by_bytes, covered, flat, ranges, runs, span_hashes, window_hashes
-from latewing.llm.meeting import ASKED, KNOWN, SCHEMA, Sender, answer, distinct_pairs, groups, member, named, numbered, partitions
+from latewing.llm.meeting import ASKED, KNOWN, SCHEMA, Sender, answer, bins, distinct_pairs, groups, member, named, numbered
 
 BATCH_BYTES = 4 << 20
 PERIOD = 31
@@ -65,7 +65,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, te
     short, cover = window - period + 1, difference_cover(period)
     in_cover = np.isin(np.arange(period), cover)
     rows = numbered(docs, text, key)
-    parts = partitions(docs)
+    number = bins(rows)
 
     def anchors(words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, at, row = words.windows(short)
@@ -73,7 +73,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, te
         return h[keep], at[keep], row[keep]
 
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(parts)
+        out = Sender(number)
         for b in by_bytes(batches, "t", batch_bytes):
             d = b.column("d").to_numpy(zero_copy_only=False)
             h, _, row = anchors(_Words(b.column("t")))
@@ -82,7 +82,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, te
         yield from out.take(True)
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(parts)
+        out = Sender(number)
         for b in by_bytes(batches, "t", batch_bytes):
             d = b.column("d").to_numpy(zero_copy_only=False)
             words = _Words(b.column("t"))
@@ -96,9 +96,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, te
             yield from out.take()
         yield from out.take(True)
 
-    shared = answer(rows.select("d", "t").mapInArrow(ask_anchors, SCHEMA), lambda d, low, high: low < high)
+    shared = answer(rows.select("d", "t").mapInArrow(ask_anchors, SCHEMA), lambda d, low, high: low < high, number)
     placed = rows.repartition("d")  # read twice, exchanged once
-    found = answer(placed.join(shared, "d").select("d", "t", "hashes").mapInArrow(ask_windows, SCHEMA), lambda d, low, high: d > low)
+    found = answer(placed.join(shared, "d").select("d", "t", "hashes").mapInArrow(ask_windows, SCHEMA), lambda d, low, high: d > low, number)
     return placed.join(found, "d", "left")
 
 

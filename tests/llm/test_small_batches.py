@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from latewing.llm import suffix_dedup
+from latewing.llm import meeting, suffix_dedup
 from tests.llm import test_piecewise_hash, test_simhash, test_substring_dedup, test_suffix_dedup
 from tests.llm.tables import documents, rows
 
@@ -34,3 +34,14 @@ def test_others_in_pieces(small):
     test_piecewise_hash.check(small, data)
     test_simhash.test_odd_rows(small)
     test_simhash.test_dense_groups_lose_no_link(small, 40)
+
+
+def test_many_bins_in_a_partition(small, monkeypatch):
+    """Bins of a few entries, sent in pieces of a few: each partition has hundreds, and results stay the same."""
+    monkeypatch.setattr(meeting, "BIN_BYTES", 400)
+    monkeypatch.setattr(meeting, "HELD_BYTES", 2_000)
+    data = [(d, t) for d, t in rows(6) if len(t or "") < 20_000]
+    docs = meeting.numbered(documents(small, data), "text", "doc_id")
+    assert meeting.bins(docs) > 20 * meeting.partitions(docs)
+    test_substring_dedup.check(small, data, 12, 7, batch_bytes=500)
+    test_substring_dedup.check(small, [(i, "the same passage for all of them " * 4 + str(i)) for i in range(200)], 12, 7, batch_bytes=500)
