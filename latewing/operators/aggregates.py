@@ -164,14 +164,20 @@ def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long Pearson matrix ``(a, b, corr, strength)`` over complete rows, in one pass: a deviation per column and a
-    covariance per pair."""
+    """Long Pearson matrix ``(a, b, corr, strength)`` over complete rows: one pass for the means, one for sums of centred products.
+
+    Plain sums stay in generated code up to 12 columns. A constant column is centred at its value, so its deviation is exactly 0.
+    """
     def pair(i: int, j: int) -> str:
         return f"_{min(i, j)}_{max(i, j)}"
 
-    ids = range(len(cols))
-    row = df.select(*cols).na.drop().agg(*[
-        _pearson(cols[i], cols[j]).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
+    ids, rows = range(len(cols)), df.select(*cols).na.drop()
+    centre = rows.agg(F.struct(*[
+        F.when(F.min(c) == F.max(c), F.min(c).cast("double")).otherwise(F.mean(c)).alias(f"_{i}") for i, c in enumerate(cols)]).alias("m")).scalar()
+    away = rows.select(*[(F.col(c).cast("double") - centre[f"_{i}"]).alias(f"_{i}") for i, c in enumerate(cols)])
+    sums = away.agg(*[F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
+    row = sums.select(*[
+        F.try_divide(pair(i, j), F.sqrt(pair(i, i)) * F.sqrt(pair(j, j))).alias(pair(i, j)) for i, j in combinations_with_replacement(ids, 2)])
     cells = _unpivot(row, [
         F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.nanvl(F.col(pair(i, j)), F.lit(None)).alias("corr"))
         for i in ids for j in ids

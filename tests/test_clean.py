@@ -69,6 +69,20 @@ def test_constant_column(spark):
     assert r["a", "b"] is None and r["b", "b"] == pytest.approx(1.0)
 
 
+def test_correlations_of_hard_columns(spark):
+    """A constant that doubles can't hold, small deviations around a large mean, a null row, NaN, one row, none."""
+    x = F.col("id").cast("double")
+    df = spark.range(3000).select(
+        F.lit(0.1).alias("c"), (x + 1e12).alias("far"), (F.lit(7.0) - 2 * x).alias("down"), F.when(F.col("id") != 5, F.col("id")).alias("n"),
+        F.when(F.col("id") == 9, F.lit(float("nan"))).otherwise(x).alias("nan")).repartition(7)
+    r = {(x.a, x.b): x["corr"] for x in agg.corr_matrix(df, df.columns).collect()}
+    assert r["far", "down"] == pytest.approx(-1.0, abs=1e-12) and r["n", "far"] == pytest.approx(1.0, abs=1e-12)
+    assert r["c", "far"] is None and r["c", "c"] is None
+    assert r["nan", "far"] == pytest.approx(1.0, abs=1e-12)         # a row with NaN is not complete
+    assert all(x["corr"] is None for x in agg.corr_matrix(df.limit(1), ["far", "down"]).collect())
+    assert [x["corr"] for x in agg.corr_matrix(df.limit(0), ["far", "down"]).collect()] == [None] * 4
+
+
 def test_samples_do_not_depend_on_partitioning(spark):
     df = spark.range(4000).select("id", (F.col("id") % 7).alias("g"))
     def ids(d):
