@@ -19,12 +19,12 @@ from latewing.session import cut_lineage
 
 def training_rows(flights: DataFrame, key: Sequence[str], fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Stratified by month, operated flights with a valid label, complete rows; ``label`` is a double."""
-    monthly = flights.withColumn("year_month", period_plain("year", "month"))
-    kept = sample_stratified(monthly, ["year_month"], fraction, key, seed)
-    kept = clean.filter_operated_strict(clean.filter_valid_label(kept, TARGET))
     feats = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
     extra = [k for k in key if k not in feats]
-    return kept.na.drop("any", subset=[*feats, TARGET]).select(
+    # All conditions look at one row, so the hash of the sample comes last: only rows that pass the others pay for it.
+    whole = clean.filter_operated_strict(clean.filter_valid_label(flights, TARGET)).na.drop("any", subset=[*feats, TARGET])
+    monthly = whole.withColumn("year_month", period_plain("year", "month"))
+    return sample_stratified(monthly, ["year_month"], fraction, key, seed).select(
         *feats, *extra, "year", F.col(TARGET).cast("double").alias("label"))
 
 

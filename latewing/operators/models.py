@@ -26,6 +26,8 @@ RF_PARAMS = dict(numTrees=50, maxDepth=15, minInstancesPerNode=5, subsamplingRat
 MAX_BINS = 400
 # Memory for the statistics of one pass: with many bins the default forces a pass over the data per few nodes.
 TREE_MEMORY_MB = 512
+# Each row keeps the node it has reached in every tree: a pass goes one step down instead of every tree from its root, and tasks get no trees.
+NODE_CACHE = dict(cacheNodeIds=True, checkpointInterval=10)
 ROWS_PER_PART = 1_000_000
 
 
@@ -50,7 +52,7 @@ def _classifier(kind: str, params: dict):
     if kind == "lr":
         return LogisticRegression(**{**LR_PARAMS, **params})
     tree = {"dt": (DecisionTreeClassifier, DT_PARAMS), "rf": (RandomForestClassifier, RF_PARAMS)}[kind]
-    return tree[0](**{"maxBins": MAX_BINS, "maxMemoryInMB": TREE_MEMORY_MB, **tree[1], **params})
+    return tree[0](**{"maxBins": MAX_BINS, "maxMemoryInMB": TREE_MEMORY_MB, **NODE_CACHE, **tree[1], **params})
 
 
 #: What stands for a category: its frequency rank in the linear model, its smoothed delay rate in trees.

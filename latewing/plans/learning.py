@@ -17,9 +17,13 @@ NAMES = {"lr": "Logistic Regression", "dt": "Decision Tree", "rf": "Random Fores
 
 
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows, written once while the inputs stay the same."""
-    rows = kept(spark, "training", sf, lambda: cut_lineage(features.training_rows(flights(spark, sf), FLIGHT_KEY), "training"))
-    return split_random(rows, 0.8, FLIGHT_KEY)
+    """Training and test rows, each written once while the inputs stay the same: passes over them do not hash their keys again."""
+    def made() -> tuple[DataFrame, DataFrame]:
+        rows = cut_lineage(features.training_rows(flights(spark, sf), FLIGHT_KEY), "training")
+        train, test = split_random(rows, 0.8, FLIGHT_KEY)
+        return cut_lineage(train, "training"), cut_lineage(test, "test")
+
+    return kept(spark, "training", sf, made)
 
 
 def fitted(spark: SparkSession, sf: str, kind: str) -> models.Trained:

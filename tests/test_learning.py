@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from latewing.operators import anomaly, features, metrics, models
 from latewing.operators.sampling import split_random
+from latewing.plans.learning import parts
 from latewing.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from latewing.session import run_folder
 from latewing.sources.views import FLIGHT_KEY, flights, scored
@@ -123,3 +124,23 @@ def test_shuffled_noise_matters_less_than_signal(spark):
 def test_vector_decode(spark):
     df = spark.createDataFrame([(Vectors.dense(4.0, 2.5),)], ["features"])
     assert tuple(models.decode_features(df, ["m", "d"], ["m"]).select("m", "d").first()) == (4, 2.5)
+
+
+def test_trees_keep_their_rows_nodes(spark, sf, data):
+    """A pass over the training rows must not walk every tree from its root."""
+    for kind in ("dt", "rf"):
+        made = models._classifier(kind, {})
+        assert made.getCacheNodeIds() and made.getMaxDepth() == 15 and made.getMaxBins() == models.MAX_BINS
+    train = data[0]
+    plain = models.train_models(train, ("rf",), rf={"maxDepth": 4, "numTrees": 5, "cacheNodeIds": False})["rf"].model
+    assert plain.classifier.stages[-1].toDebugString.split("\n")[1:] == data[2]["rf"].model.classifier.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_split_is_made_once(spark, sf):
+    """Training and test rows are read from their own folders: no hash of the key is left in their plans."""
+    train, test = parts(spark, sf)
+    whole = features.training_rows(flights(spark, sf), FLIGHT_KEY)
+    a, b = split_random(whole, 0.8, FLIGHT_KEY)
+    for mine, same in ((train, a), (test, b)):
+        assert "md5" not in mine._jdf.queryExecution().toString()
+        assert mine.count() == same.count() and mine.exceptAll(same).isEmpty()
