@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and further spans chosen by boosted trees. Spark expressions only.
 
 High-recall generators propose spans that may overlap: spaced, bracketed or spelled-out addresses, numbers without their usual
-marks. Trees score them by format and context. They learn from the base spans of a bounded sample of documents, rewritten into
+marks. Trees score them by format and context. They learn from the base spans of all documents, rewritten into
 such looser forms (positive), and from prose set into an address's form and candidates that touch no base span (negative). A
 candidate that has the form of a positive may be real, so it is neither. For each kind the threshold is the lowest of a stated
 precision on rows held back. The trees are evaluated as nested conditions over an array, so no
@@ -11,6 +11,8 @@ row leaves its task.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,9 +25,9 @@ from latewing.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 24                # characters before a candidate
-FIT_DOCS = 20_000           # documents looked at for training, about
-FIT_ROWS = 4_000            # training rows of each label and kind
-LEAST_ROWS = 100            # a kind with fewer positive rows in the sample is looked for in all documents
+FULL_ROWS = 4_000           # training rows of a label and kind that count in full; more of them share this weight, so no kind drowns another
+SCORE_STEP = 1 / 1024       # scores are told apart to this step, so that their counts are a short table whatever the number of rows
+LEAST_ROWS = 100            # a kind with fewer positive rows in a sample asked for is looked for in all documents
 PRECISION = 0.95            # on held-back rows, as if both labels were equally frequent
 
 #: The base patterns, written so that matching takes linear time: repetitions give nothing back, and a match begins where a
@@ -221,25 +223,34 @@ def _unclear(c: Column) -> Column:
     return reduce(lambda rest, i: F.when(c["kind"] == i, c["m"].rlike(FORM[KINDS[i]])).otherwise(rest), range(len(KINDS)), F.lit(False))
 
 
-def lowest_threshold(positive: list[float], negative: list[float], precision: float = PRECISION, least: float = 0.0) -> float | None:
+#: Scores one by one, or how often each occurs.
+Scores = Iterable[float] | Mapping[float, int]
+
+
+def lowest_threshold(positive: Scores, negative: Scores, precision: float = PRECISION, least: float = 0.0) -> float | None:
     """The lowest threshold from ``least`` on at which the positives' share among the selected reaches ``precision``, each label counted as a whole."""
-    for t in sorted({least, *(x for x in positive + negative if x > least)}):
-        hit = sum(x >= t for x in positive) / max(1, len(positive))
-        wrong = sum(x >= t for x in negative) / max(1, len(negative))
+    sides = [Counter(positive), Counter(negative)]
+    whole = [max(1, c.total()) for c in sides]
+    left, values, at = [c.total() for c in sides], sorted(sides[0].keys() | sides[1].keys()), 0
+    for t in sorted({least, *(x for x in values if x > least)}):
+        while at < len(values) and values[at] < t:
+            left, at = [n - c[values[at]] for n, c in zip(left, sides)], at + 1
+        hit, wrong = left[0] / whole[0], left[1] / whole[1]
         if hit and hit >= precision * (hit + wrong):
             return t
     return None
 
 
-def calibration(positive: list[float], negative: list[float], rounds: int = 50) -> tuple[float, float]:
+def calibration(positive: Scores, negative: Scores, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset that turn scores into probabilities: a logistic fit of the labels, each counted as a whole.
 
-    Labels are drawn in by half a row, so that the slope stays finite where the scores part them. Newton's steps on a few thousand numbers.
+    Labels are drawn in by half a row, so that the slope stays finite where the scores part them. Newton's steps on the different scores.
     """
+    positive, negative = Counter(positive), Counter(negative)
     if not positive or not negative:
         return 1.0, 0.0
-    a, b = 1.0, 0.0
-    rows = [(x, 1 - 0.5 / (len(positive) + 1), 0.5 / len(positive)) for x in positive] + [(x, 0.5 / (len(negative) + 1), 0.5 / len(negative)) for x in negative]
+    a, b, n, m = 1.0, 0.0, positive.total(), negative.total()
+    rows = [(x, 1 - 0.5 / (n + 1), 0.5 * k / n) for x, k in positive.items()] + [(x, 0.5 / (m + 1), 0.5 * k / m) for x, k in negative.items()]
     for _ in range(rounds):
         ga = gb = haa = hab = hbb = 0.0
         for x, y, w in rows:
@@ -275,7 +286,8 @@ class Model:
                 return F.lit(float(node))
             i, t, left, right = node
             return F.when(x[i] <= t, value(left)).otherwise(value(right))
-        return reduce(lambda a, b: a + b, [value(t) for t in self.trees], F.lit(0.0))
+        whole = reduce(lambda a, b: a + b, [value(t) for t in self.trees], F.lit(0.0))
+        return F.rint(whole / SCORE_STEP) * SCORE_STEP
 
     def probability(self, kind: Column, score: Column) -> Column:
         """The calibrated probability of a candidate, or null if its kind is not looked for."""
@@ -299,17 +311,20 @@ def _tree(node, weight: float):
     return split.featureIndex(), split.threshold(), _tree(node.leftChild(), weight), _tree(node.rightChild(), weight)
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS, fit_rows: int = FIT_ROWS,
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int | None = None, fit_rows: int | None = None,
           rounds: int = 12, depth: int = 3) -> Model:
-    """Fit on about ``fit_docs`` documents, drawn by a hash of the key, and at most ``fit_rows`` rows of each label and kind.
+    """Fit on all documents and all their rows; a label and kind with more than FULL_ROWS rows has the weight of so many.
+
+    Equal rows count once. A quarter is held back. On a kind's held-back rows (on all its rows if no positive is held back) scores are
+    calibrated to probabilities, and its threshold is the lowest from a half on with PRECISION; a kind without positives, or that never
+    reaches it, gets no spans of its own. Without rows of both labels nothing is added. The driver gets counts of scores, no rows.
 
-    Kinds that the sample hardly has are looked for in all documents. Equal rows count once. A quarter is held back. On a kind's held-back
-    rows (on all its rows if no positive is held back) scores are calibrated to probabilities, and its threshold is the lowest from a
-    half on with PRECISION; a kind without positives, or that never reaches it, gets no spans of its own. Without rows of both labels nothing is added.
+    A caller may ask for less: about ``fit_docs`` documents, drawn by a hash of the key (kinds that they hardly have are looked for in
+    all documents), and at most ``fit_rows`` rows of each label and kind.
     """
-    n = docs.count()
     grain = 1 << 20
-    keep = grain if n <= fit_docs else max(1, grain * fit_docs // n)
+    n = 0 if fit_docs is None else docs.count()
+    keep = grain if fit_docs is None or n <= fit_docs else max(1, grain * fit_docs // n)
     every = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     drawn = F.pmod(F.xxhash64("k"), F.lit(grain)) < keep
     rows = _candidates(_base(every.where(drawn), "t"), "t").select("base", "candidates")
@@ -342,26 +357,40 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: in
             seen = reduce(lambda a, b: a | b, [F.col("t").rlike(GUARD[KINDS[i]]) for i in rare])
             others = _base(every.where(~drawn & seen), "t").withColumn("base", F.filter("base", lambda b: b["kind"].isin(rare)))
             labelled = labelled.unionByName(told(others.withColumn("candidates", F.filter("base", lambda b: F.lit(False)))))
-    parts = [labelled.where((F.col("kind") == k) & (F.col("label") == y)).dropDuplicates(["h"]).orderBy("h").limit(fit_rows)
-             for k in range(len(KINDS)) for y in (0.0, 1.0)]
-    sample = cut_lineage(reduce(DataFrame.unionByName, parts).withColumn("held", F.pmod("h", F.lit(4)) == 0).coalesce(2), "labelled")
-    labels = {r.label for r in sample.where("not held").select("label").distinct().collect()}
-    if len(labels) < 2:
+    if fit_rows is None:
+        rows = labelled.dropDuplicates(["kind", "label", "h"])
+    else:
+        rows = reduce(DataFrame.unionByName, [labelled.where((F.col("kind") == k) & (F.col("label") == y)).dropDuplicates(["h"]).orderBy("h").limit(
+            fit_rows) for k in range(len(KINDS)) for y in (0.0, 1.0)])
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    sample = cut_lineage(rows.withColumn("held", F.pmod("h", F.lit(4)) == 0).coalesce(max(2, cores)), "labelled")
+    number = {(r.kind, r.label): r["count"] for r in sample.where("not held").groupBy("kind", "label").count().collect()}
+    if len({y for _, y in number}) < 2:
         return Model()
-    fit = sample.where("not held").select("label", array_to_vector("x").alias("features"))
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, checkpointInterval=-1, seed=11).fit(fit)
+    weight = reduce(lambda rest, g: F.when((F.col("kind") == g[0]) & (F.col("label") == g[1]), FULL_ROWS / max(FULL_ROWS, number[g])).otherwise(
+        rest), number, F.lit(1.0))
+    fit = sample.where("not held").select("label", weight.alias("weight"), array_to_vector("x").alias("features"))
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, checkpointInterval=-1, seed=11, weightCol="weight").fit(fit)
     model = Model([_tree(t._call_java("rootNode"), w) for t, w in zip(gbt.trees, gbt.treeWeights)])
-    scores = sample.select("kind", "label", "held", model.score(F.col("x")).alias("score")).collect()
+    scores = sample.groupBy("kind", "label", "held", model.score(F.col("x")).alias("score")).count().collect()
     for kind in range(len(KINDS)):
         own = [r for r in scores if r.kind == kind]
         own = [r for r in own if r.held] if any(r.held and r.label for r in own) else own
-        a, b = calibration([r.score for r in own if r.label], [r.score for r in own if not r.label])
-        t = lowest_threshold(*[[probability(a * r.score + b) for r in own if bool(r.label) == y] for y in (True, False)], least=0.5)
+        sides = [_counted((r.score, r["count"]) for r in own if bool(r.label) == y) for y in (True, False)]
+        a, b = calibration(*sides)
+        t = lowest_threshold(*[_counted((probability(a * x + b), k) for x, k in c.items()) for c in sides], least=0.5)
         if t is not None:
             model.thresholds[kind], model.calibrations[kind] = t, (a, b)
     return model
 
 
+def _counted(pairs: Iterable[tuple[float, int]]) -> Counter:
+    out = Counter()
+    for x, n in pairs:
+        out[x] += n
+    return out
+
+
 def _best_of_touching(spans: Column) -> Column:
     """Of every run of overlapping candidates the likeliest one, ties by start, kind and end, as (start, kind, end) in order."""
     def runs(s: Column) -> Column:

@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,24 @@ def test_copies_are_one_training_row(spark, monkeypatch):
     assert positive.count() == positive.select("h").distinct().count() == 30
 
 
+def test_all_rows_are_learned_from(spark, monkeypatch):
+    """No document and no row is left out, whatever their number; the driver gets counts of scores."""
+    made = {}
+    monkeypatch.setattr(private_data, "cut_lineage", lambda df, label, real=private_data.cut_lineage: made.setdefault(label, real(df, label)))
+    data = [(i, f"please write now to ann.{i}@mail{i}.example.com") for i in range(21_000)]
+    model = private_data.train(documents(spark, data), rounds=1, depth=1)
+    positive = made["labelled"].where("kind = 0 and label = 1")
+    assert positive.count() > 10 * 21_000 and 0 in model.thresholds
+
+
+def test_counted_scores_are_scores():
+    hits, wrong = [1.0, 1.25, 0.5] * 30, [-1.0, -0.5] * 30 + [1.25]
+    assert private_data.calibration(Counter(hits), Counter(wrong)) == private_data.calibration(hits, wrong)
+    for p in (0.5, 0.95, 0.99):
+        assert private_data.lowest_threshold(Counter(hits), Counter(wrong), p) == private_data.lowest_threshold(hits, wrong, p)
+    assert private_data.lowest_threshold(Counter({1.0: 90, 0.1: 10}), Counter({-1.0: 80, 0.1: 20})) == 1.0
+
+
 @pytest.mark.parametrize("loose", ["JOE AT HOST DOT COM", "joe(AT)host(DOT)com", "Joe[At]host.com", "joe at host dot com"])
 def test_upper_case_forms_are_proposed(spark, loose):
     docs = documents(spark, [(1, f"({loose})")]).select("doc_id", "text")
