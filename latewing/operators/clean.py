@@ -73,18 +73,20 @@ def coalesce_delay(df: DataFrame, new: str, raw: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(new, raw))
 
 
-def clip_p99(df: DataFrame, cols: Sequence[str], p: float = 0.99, accuracy: int | None = None, fill: bool = True) -> DataFrame:
-    """Add ``<col>_clipped``, capped at a percentile of the column.
+def clip_p99(df: DataFrame, cols: Sequence[str], p: float = 0.99, accuracy: int | None = None, fill: bool = True,
+             measured: DataFrame | None = None) -> DataFrame:
+    """Add ``<col>_clipped``, capped at a percentile of the column, or of that column of ``measured``, the same rows by a shorter way.
 
     The percentile is exact unless ``accuracy`` asks for the sketch. With ``fill`` NULL counts as 0 both for the
     percentile and in the output; without it NULL stays NULL.
     """
+    measured = df if measured is None else measured
     if fill:
-        df = df.na.fill(0, subset=list(cols))
+        df, measured = (x.na.fill(0, subset=list(cols)) for x in (df, measured))
     if accuracy is None:
-        cap = one_row(exact_quantiles(df, cols, {"q": p}), cols, "q")
+        cap = one_row(exact_quantiles(measured, cols, {"q": p}), cols, "q")
     else:
-        cap = df.agg(F.struct(*[F.percentile_approx(c, float(p), accuracy).alias(c) for c in cols]).alias("q"))
+        cap = measured.agg(F.struct(*[F.percentile_approx(c, float(p), accuracy).alias(c) for c in cols]).alias("q"))
     capped = df.withColumn("_q", cap.scalar())
     return capped.withColumns({
         f"{c.removesuffix('_new')}_clipped": F.when(F.col(c) > F.col(f"_q.{c}"), F.col(f"_q.{c}")).otherwise(F.col(c))
@@ -92,12 +94,16 @@ def clip_p99(df: DataFrame, cols: Sequence[str], p: float = 0.99, accuracy: int
     }).drop("_q")
 
 
-def clean_flights(flights: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """The cleaning chain: coalesce, fill with 0, cap both delays."""
+def filled_delays(flights: DataFrame) -> DataFrame:
     df = coalesce_delay(flights, "arr_delay_new", "arr_delay", "arr_delay_min")
     df = coalesce_delay(df, "dep_delay_new", "dep_delay", "dep_delay_min")
-    df = fill_null_const(df, ["arr_delay_new", "dep_delay_new", "arr_delay_min", "dep_delay_min"], 0)
-    return clip_p99(df, ["arr_delay_new", "dep_delay_new"], accuracy=accuracy, fill=False)
+    return fill_null_const(df, ["arr_delay_new", "dep_delay_new", "arr_delay_min", "dep_delay_min"], 0)
+
+
+def clean_flights(flights: DataFrame, accuracy: int | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """The cleaning chain: coalesce, fill with 0, cap both delays; the caps are those of ``measured``, the same rows, where that is given."""
+    return clip_p99(filled_delays(flights), ["arr_delay_new", "dep_delay_new"], accuracy=accuracy, fill=False,
+                    measured=None if measured is None else filled_delays(measured))
 
 
 def approx_p99(df: DataFrame, column: str, accuracy: int = 10000) -> DataFrame:

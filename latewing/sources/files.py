@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from latewing.schema import CARRIER_FILE_SCHEMA
+from latewing.session import settings
+
+OPEN_FILES = 8              # of one writing task
 
 
 def list_files(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -87,10 +90,18 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("year", "month")) -> None:
-    """Overwrite, partitioned for pruning. Rows go to the task that writes their partition's files, a hot partition to
-    several of them (Spark splits it while rebalancing)."""
-    df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def dealt(df: DataFrame, partition_by: Sequence[str] = ("year", "month")) -> DataFrame:
+    """Rows go to the task that writes their partition's files, a hot partition to several of them (Spark splits it while rebalancing)."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by])
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("year", "month"), deal: bool = True) -> None:
+    """Overwrite, partitioned for pruning; ``deal=False`` if the rows are dealt out already.
+
+    A task holds few partitions then, so it keeps a file open for each instead of sorting whole rows; beyond ``OPEN_FILES`` it sorts.
+    """
+    with settings(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        (dealt(df, partition_by) if deal else df).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

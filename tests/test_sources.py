@@ -1,5 +1,6 @@
 import json
 import math
+from itertools import takewhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,23 @@ def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
     got = {(r.YEAR, r.MONTH, r.TAXI_OUT): r.bad for r in df.collect()}
     assert got == {("2024", "1", None): None, ("2024", "2", None): "2024,2,x,extra", (None, "3", "7"): None, ("2025", "4", None): None}
     assert len(files.headers(spark, [str(tmp_path / f"{n}.csv") for n in "abcd"])) == 2
+
+
+def test_clean_table_moves_short_legs_and_sorts_nothing(spark, sf, monkeypatch):
+    """Names and derived columns come after the exchange by month, and no whole rows are sorted for their partitions' files."""
+    from latewing.operators import clean
+    from latewing.plans import flights as plans
+    from latewing.sources import files, views
+
+    legs = views.legs(spark, sf)
+    lines = clean.filled_delays(views.flights(spark, sf, files.dealt(legs)))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(lines) if "RebalancePartitions" in x)
+    depth = lines[at].index("RebalancePartitions")
+    below = "\n".join(takewhile(lambda x: set(x[:depth]) <= set(" :") and len(x) > depth, lines[at + 1:]))
+    assert "l_orderkey" in below and "n_name" not in below and "arr_delay" not in below
+    kept = []
+    monkeypatch.setattr(plans, "write_parquet", lambda df, path, **how: (kept.append(how), files.write_parquet(df, path, **how)))
+    path = plans._clean_table(spark, sf)
+    assert kept == [{"deal": False}] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
+    want, got = clean.clean_flights(views.flights(spark, sf)), spark.read.parquet(path)
+    assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).isEmpty()
