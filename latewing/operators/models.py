@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from latewing.functions.labels import at_threshold, mapped
 from latewing.functions.vectors import delay_probability, vec_get
 from latewing.operators.features import Encoder, complete_features, fit_encoder
+from latewing.operators.forest import decided, read_nodes, voted
 from latewing.schema import FRIENDLY_NAMES
 from latewing.session import run_folder
 
@@ -37,6 +39,7 @@ class Scorer:
 
     encoder: Encoder
     classifier: PipelineModel
+    votes: Callable[[str], Column] | None = None    # of a forest: what its trees say to a vector, for batches of rows
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.classifier.transform(self.encoder.transform(df))
@@ -74,17 +77,25 @@ def train_models(train: DataFrame, kinds=("lr", "dt", "rf"), **params: dict) ->
                 begin = time.monotonic()
                 fitted = _classifier(kind, params.get(kind, {})).fit(encoded)
                 seconds = time.monotonic() - begin
-                out[kind] = Trained(Scorer(encoder, reloaded(PipelineModel([fitted]), train.sparkSession)), seconds)
+                path = saved(PipelineModel([fitted]), train.sparkSession)
+                out[kind] = Trained(scorer(encoder, path, train.sparkSession), seconds)
         finally:
             encoded.unpersist()
     return {k: out[k] for k in kinds}
 
 
-def reloaded(classifier: PipelineModel, spark: SparkSession) -> PipelineModel:
-    """The model as it is read back: without the summary of its training, which would carry the session to every task."""
+def saved(classifier: PipelineModel, spark: SparkSession) -> str:
     path = run_folder(spark, "fitted")
     classifier.write().save(path)
-    return PipelineModel.load(path)
+    return path
+
+
+def scorer(encoder: Encoder, path: str, spark: SparkSession) -> Scorer:
+    """The model as it is read back: without the summary of its training, which would carry the session to every task."""
+    classifier = PipelineModel.load(path)
+    last = classifier.stages[-1]
+    forest = isinstance(last, RandomForestClassificationModel) and last.numClasses == 2
+    return Scorer(encoder, classifier, voted(spark, read_nodes(spark, path, last.uid)) if forest else None)
 
 
 def save_model(model: Scorer, path: str) -> None:
@@ -95,14 +106,19 @@ def save_model(model: Scorer, path: str) -> None:
 
 
 def load_model(path: str) -> Scorer:
-    codes = SparkSession.getActiveSession().read.parquet(f"{path}/codes")
-    return Scorer(Encoder(codes.drop("by"), codes.select("by").first()[0]), PipelineModel.load(f"{path}/classifier"))
+    spark = SparkSession.getActiveSession()
+    codes = spark.read.parquet(f"{path}/codes")
+    return scorer(Encoder(codes.drop("by"), codes.select("by").first()[0]), f"{path}/classifier", spark)
 
 
 def predict(model: Scorer, df: DataFrame) -> DataFrame:
     """Input columns plus ``prediction`` (int) and ``p``; the vectors are dropped."""
-    out = model.transform(df)
     keep = [c for c in df.columns if c != "prediction"]
+    if model.votes:
+        prediction, p = decided(F.col("_votes"))
+        return model.encoder.transform(df).select(*keep, model.votes("features").alias("_votes")).select(
+            *keep, prediction.alias("prediction"), p.alias("p"))
+    out = model.transform(df)
     return out.select(*keep, F.col("prediction").cast("int").alias("prediction"),
                       delay_probability("probability").alias("p"))
 

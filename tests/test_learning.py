@@ -144,3 +144,21 @@ def test_split_is_made_once(spark, sf):
     for mine, same in ((train, a), (test, b)):
         assert "md5" not in mine._jdf.queryExecution().toString()
         assert mine.count() == same.count() and mine.exceptAll(same).isEmpty()
+
+
+def test_forest_scores_are_the_models_and_made_once(spark, data):
+    """Every row's probability and prediction equal those of the classifier itself, and conditions on them don't run the trees again."""
+    train, test, fitted = data
+    model = fitted["rf"].model
+    whole = models.train_models(train, ("rf",), rf={"numTrees": 7, "maxDepth": 12, "minInstancesPerNode": 1})["rf"].model
+    for m in (model, whole):
+        rows = test.unionByName(test.limit(5).withColumn("origin", F.lit("NOWHERE")))
+        plain = m.transform(rows).select(*test.columns, F.col("prediction").cast("int").alias("prediction"), models.delay_probability("probability").alias("p"))
+        mine = models.predict(m, rows)
+        assert mine.count() == plain.count() > 0 and mine.exceptAll(plain).isEmpty()
+    asked = models.predict(model, test).where(F.col("p").between(0, 1) & F.col("prediction").isin(0, 1)).select("label", "p", "prediction")
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("BatchEvalPython") == 1 and "rawPrediction" not in plan
+    path = run_folder(spark, "model")
+    models.save_model(whole, path)
+    assert models.predict(models.load_model(path), test).exceptAll(models.predict(whole, test)).isEmpty()
