@@ -57,5 +57,8 @@ def value_text(df: DataFrame) -> DataFrame:
 
 
 def parse_messages(df: DataFrame, schema: T.StructType = MESSAGE_SCHEMA) -> DataFrame:
-    """Messages (batch or stream) to columns; an unreadable message gives a row of NULLs."""
-    return value_text(df).select(F.from_json("json", schema).alias("d")).select("d.*")
+    """Messages (batch or stream) to columns; an unreadable message gives a row of NULLs.
+
+    The record is the one element of a generated list: conditions on its fields stay above, so a message is parsed once and not for each of them.
+    """
+    return value_text(df).select(F.inline(F.array(F.from_json("json", schema))))

@@ -167,3 +167,19 @@ def test_upsert_keeps_latest(spark):
     ev.start_upsert(ev.event_rate(stream, "1 hour", "10 days"), f"{out}/t", f"{out}/cp").awaitTermination()
     rows = {x.window_start: x.events for x in ev.latest(spark, f"{out}/t", ["window_start", "event_type"]).collect()}
     assert rows == {at(0): 2, at(60): 1}
+
+
+def test_a_message_is_parsed_once(spark):
+    """Conditions on parsed fields don't parse the message again; unreadable and missing messages are rows of nulls as before."""
+    from latewing.operators.features import complete_features
+    from latewing.schema import MESSAGE_SCHEMA
+    from latewing.sources.messages import parse_messages, value_text
+
+    texts = ['{"MONTH": 1, "ORIGIN": "A"}', "no record", "", "{}", None, "[1]", '{"ORIGIN": null}', '[{"ORIGIN": "B"}, {"ORIGIN": "C"}]']
+    df = spark.createDataFrame([(x,) for x in texts], "value string")
+    plain = value_text(df).select(F.from_json("json", MESSAGE_SCHEMA).alias("d")).select("d.*")
+    mine = parse_messages(df)
+    assert mine.schema == plain.schema and mine.count() == plain.count() == len(texts)
+    assert mine.exceptAll(plain).isEmpty() and plain.exceptAll(mine).isEmpty()
+    plan = complete_features(mine)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
