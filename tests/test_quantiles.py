@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from latewing.operators import quantiles
 from latewing.operators.quantiles import _bin, bin_counts, daily_sketches, exact_quantiles, sketched_rank, values_of
 
 PS = {"p1": 0.01, "q1": 0.25, "median": 0.5, "p99": 0.99, "all": 1.0}
@@ -64,3 +65,21 @@ def test_sketched_rank(spark):
     got = sketched_rank(df, "x", sketches).collect()
     s = sorted(v)
     assert all(abs(r.pct_rank - bisect.bisect_left(s, r.x) / (len(v) - 1)) < 0.01 for r in got)
+
+
+def test_quantiles_of_a_group_share_their_counts(spark, monkeypatch):
+    """The first round counts a group's bins once, however many quantiles are asked for."""
+    rows = [(k, float(rnd)) for k in ("a", "b", None) for rnd in random.Random(4).sample(range(10_000), 300)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    rounds = []
+    cut = quantiles.left_lookup
+
+    def seen(fact, dim, *args, **kw):
+        if "bin" in fact.columns:
+            rounds.append(fact.count())
+        return cut(fact, dim, *args, **kw)
+
+    monkeypatch.setattr(quantiles, "left_lookup", seen)
+    got = {r.g: [r[p] for p in PS] for r in exact_quantiles(df, ["x"], PS, ["g"], bins=16).collect()}
+    assert got == {k: expected([x for g, x in rows if g == k]) for k in ("a", "b", None)}
+    assert rounds and rounds[0] <= 3 * 18
