@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from latewing.operators import models, ranking
 from latewing.operators.features import complete_features
 from latewing.plans.files import message_sql, route_messages
-from latewing.plans.flights import KEY, flights
+from latewing.plans.flights import KEY, flights, joined_in_parts
 from latewing.plans.learning import fitted
 from latewing.plans.registry import query, r
 from latewing.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from latewing.session import kept, run_folder
+from latewing.session import kept, run_folder, settings
 from latewing.sources import views
 from latewing.sources.messages import parse_messages
 from latewing.sources.views import FLIGHT_KEY
@@ -92,7 +92,12 @@ def _(spark, sf):
 def message_stream(spark, sf):
     """The flights' messages, written once while the inputs stay the same."""
     messages = route_messages(spark, sf)
-    return scoring.replay(spark, kept(spark, "messages", sf, lambda: as_files(messages, "messages")), messages.schema, None)
+
+    def written() -> str:
+        with settings(spark, joined_in_parts(spark, sf)):
+            return as_files(messages, "messages")
+
+    return scoring.replay(spark, kept(spark, "messages", sf, written), messages.schema, None)
 
 
 @query("st_parse", f"SELECT {message_sql()} FROM flights", "flights")

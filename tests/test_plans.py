@@ -46,3 +46,22 @@ def test_no_nested_loops_in_split_way(spark, sf):
     e = trajectory(spark, sf)
     p = plan(gap_stats(e, e.count(), chunk_rows=50).select(F.sum("max_gap_s")))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_whole_flights_are_joined_in_parts_that_follow_from_their_size(spark, sf, monkeypatch):
+    """Few partitions of the session don't make a large table's join sort and spill; more of them are kept."""
+    from latewing.plans import flights, streams
+
+    asked = flights.joined_in_parts(spark, sf)
+    assert asked["spark.sql.shuffle.partitions"] == spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(flights, "PART_BYTES", 20_000)
+    parts = int(flights.joined_in_parts(spark, sf)["spark.sql.shuffle.partitions"])
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = []
+    monkeypatch.setattr(flights, "write_parquet", lambda *a, **kw: seen.append(spark.conf.get("spark.sql.shuffle.partitions")))
+    flights._clean_table(spark, sf)
+    monkeypatch.setattr(streams, "kept", lambda spark, label, folder, make: make())
+    monkeypatch.setattr(streams, "as_files", lambda *a: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or sf)
+    monkeypatch.setattr(streams.scoring, "replay", lambda *a: None)
+    streams.message_stream(spark, sf)
+    assert seen == [str(parts)] * 2 and spark.conf.get("spark.sql.shuffle.partitions") != str(parts)
