@@ -162,3 +162,26 @@ def test_forest_scores_are_the_models_and_made_once(spark, data):
     path = run_folder(spark, "model")
     models.save_model(whole, path)
     assert models.predict(models.load_model(path), test).exceptAll(models.predict(whole, test)).isEmpty()
+
+
+def test_rows_of_a_large_table_train_among_alike_ones(spark, monkeypatch):
+    """Every row once, in parts of like size though most rows are of one cell, neighbours alike; the forest that is trained on them has learned."""
+    n = 4000
+    rows = spark.range(n).select(
+        F.col("id"), *[F.when(F.col("id") % 4 > 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000))).cast("int").alias(c) for i, c in enumerate(NUMERIC_FEATURES)],
+        *[F.concat(F.lit("c"), (F.col("id") % 5).cast("string")).alias(c) for c in CATEGORICAL_FEATURES])
+    rows = rows.withColumn("label", (F.col("distance") > 500).cast("double")).repartition(3).cache()
+    coded = features.fit_encoder(rows, "rate", "label").transform(rows).cache()
+    names = [*NUMERIC_FEATURES, *[f"{c}_indexed" for c in CATEGORICAL_FEATURES]]
+    dealt = [[(x.label, *x.features) for x in p] for p in models.among_alike(coded, names, 4).rdd.glom().collect()]
+    assert sorted(x for p in dealt for x in p) == sorted((x.label, *x.features) for x in coded.select("label", "features").collect())
+    assert len(dealt) == 4 and max(map(len, dealt)) < n / 2
+    before = [x.features for x in coded.select("features").collect()]
+    assert 2 * sum(a[1:] != b[1:] for p in dealt for a, b in zip(p, p[1:])) < sum(a != b for a, b in zip(before, before[1:]))
+
+    seen, real = [], models.among_alike
+    monkeypatch.setattr(models, "ROWS_PER_PART", 1000)
+    monkeypatch.setattr(models, "among_alike", lambda *a: seen.append(a[1:]) or real(*a))
+    model = models.train_models(rows, ("lr", "rf"), lr={"maxIter": 2}, rf={"maxDepth": 4, "numTrees": 5})["rf"].model
+    assert len(seen) == 1
+    assert metrics.auc_roc(models.predict(model, rows)).first()[0] > 0.9
