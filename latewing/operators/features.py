@@ -40,6 +40,11 @@ def complete_features(raw: DataFrame) -> DataFrame:
     return typed_features(raw).na.drop("any", subset=[*NUMERIC_FEATURES, *CATEGORICAL_FEATURES])
 
 
+def prepared_features(raw: DataFrame) -> DataFrame:
+    """Complete rows with the hashed codes of their categories and the feature vector: nothing is fitted, so a stream's rows are ready as they come."""
+    return assembler().transform(hash_index(complete_features(raw), CATEGORICAL_FEATURES))
+
+
 def category_codes(df: DataFrame, cols: Sequence[str], label: str | None = None, smoothing: float = 20.0) -> DataFrame:
     """``(column, value, count, code, rate)``: the codes of every category, as a table of any length.
 

@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latewing.operators import models, ranking
-from latewing.operators.features import complete_features
+from latewing.operators.features import prepared_features
 from latewing.plans.files import message_sql, route_messages
 from latewing.plans.flights import KEY, flights, joined_in_parts
-from latewing.plans.learning import fitted
+from latewing.plans.learning import SLOTS, fitted
 from latewing.plans.registry import query, r
-from latewing.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from latewing.schema import CATEGORICAL_FEATURES, INT_FEATURES, NUMERIC_FEATURES
 from latewing.session import kept, run_folder, settings
 from latewing.sources import views
 from latewing.sources.messages import parse_messages
@@ -107,8 +107,9 @@ def _(spark, sf):
 
 @query("st_preprocess", f"SELECT {', '.join([*NUMERIC_FEATURES, *CATEGORICAL_FEATURES])} FROM flights", "flights")
 def _(spark, sf):
-    return appended(complete_features(parse_messages(message_stream(spark, sf))), "prepared").select(
-        *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
+    """Messages cast, completed, coded and assembled in the stream; the numbers are those that the written vectors hold."""
+    ready = appended(prepared_features(parse_messages(message_stream(spark, sf))), "prepared")
+    return models.decode_features(ready, list(SLOTS), list(INT_FEATURES)).select(*NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
 
 
 @query("st_output_mode", f"SELECT {message_sql()} FROM flights", "flights")

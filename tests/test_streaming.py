@@ -183,3 +183,28 @@ def test_a_message_is_parsed_once(spark):
     assert mine.exceptAll(plain).isEmpty() and plain.exceptAll(mine).isEmpty()
     plan = complete_features(mine)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_preprocessing_codes_and_assembles(spark, monkeypatch):
+    """The stream's table holds hashed codes and the vector of each complete row, as in batch; the query reads its numbers from the vectors."""
+    import __spark_entry__ as entry
+    from latewing.plans import streams
+
+    rows = [("AA", "BOS", "JFK", "900", "1015.0", "75.5", "187", "1", "2", "3"), ("B6", "", "LAX", "5", "6", "7", "8.25", "12", "31", "7"),
+            ("AA", "BOS", None, "900", "1015", "75", "187", "1", "2", "3"), ("AA", "BOS", "JFK", "late", "1015", "75", "187", "1", "2", "3")]
+    names = "OP_UNIQUE_CARRIER ORIGIN DEST CRS_DEP_TIME CRS_ARR_TIME CRS_ELAPSED_TIME DISTANCE MONTH DAY_OF_MONTH DAY_OF_WEEK".split()
+    messages = to_messages(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)))
+    source, written, real = folder_of(spark, messages, 2), [], streams.appended
+    monkeypatch.setattr(streams, "message_stream", lambda *_: scoring.replay(spark, source, schema(MESSAGE), 1))
+    monkeypatch.setattr(streams, "appended", lambda *a: written.append(real(*a)) or written[-1])
+    got = entry.queries()["st_preprocess"](spark, source)
+    table = {x.dest: x for x in written[0].collect()}
+    assert set(table) == {"JFK", "LAX"}
+    for x in table.values():
+        codes = spark.createDataFrame([(x.op_unique_carrier, x.origin, x.dest)], COLS[:3]).selectExpr(*[f"pmod(hash({c}), 10000)" for c in COLS[:3]]).first()
+        assert [*codes] == [x[f"{c}_indexed"] for c in COLS[:3]]
+        assert [*x.features] == [*[float(x[c]) for c in NUMERIC_FEATURES], *map(float, codes)]
+    batch = features.prepared_features(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))).select(written[0].columns)
+    assert batch.exceptAll(written[0]).isEmpty() and written[0].exceptAll(batch).isEmpty()
+    assert [f.dataType.simpleString() for f in got.select(*NUMERIC_FEATURES).schema] == ["int"] * 5 + ["double"] * 2
+    assert {(r.dest, r.crs_arr_time, r.distance) for r in got.collect()} == {("JFK", 1015, 187.0), ("LAX", 6, 8.25)}
