@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,11 @@ class Nodes:
         return out
 
 
+def saved_stage(spark: SparkSession, path: str) -> dict:
+    """What the files of the pipeline at ``path`` say of its only stage."""
+    return json.loads(spark.read.text(f"{path}/stages/*/metadata").first()[0])
+
+
 def saved_nodes(spark: SparkSession, path: str, uid: str) -> DataFrame:
     """The node table of a forest that was saved as a stage of the pipeline at ``path``."""
     split = F.col("nodeData.split")

@@ -6,19 +6,21 @@ import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from latewing.functions.labels import at_threshold, mapped
 from latewing.functions.vectors import delay_probability, vec_get
+from latewing.operators import grow
 from latewing.operators.features import Encoder, complete_features, fit_encoder
-from latewing.operators.forest import decided, read_nodes, voted
+from latewing.operators.forest import decided, read_nodes, saved_stage, voted
 from latewing.schema import FRIENDLY_NAMES
-from latewing.session import run_folder
+from latewing.session import copy_folder, cut_lineage, run_folder
 
 # Training parameters and the bin count of tree models.
 LR_PARAMS = dict(maxIter=100, regParam=0.001, elasticNetParam=0.1)
@@ -40,9 +42,14 @@ class Scorer:
     """From raw columns to probability: category codes, feature vector, classifier."""
 
     encoder: Encoder
-    classifier: PipelineModel
+    path: str                                       # of the saved classifier
     votes: Callable[[str], Column] | None = None    # of a forest: what its trees say to a vector, for batches of rows
 
+    @cached_property
+    def classifier(self) -> PipelineModel:
+        """The model as it is read back: without the summary of its training, which would carry the session to every task. A large forest's batches of rows do without it."""
+        return PipelineModel.load(self.path)
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self.classifier.transform(self.encoder.transform(df))
 
@@ -93,21 +100,32 @@ def train_models(train: DataFrame, kinds=("lr", "dt", "rf"), **params: dict) ->
     for by in dict.fromkeys(ENCODING[k] for k in kinds):
         encoder = replace(base, by=by)
         coded = encoder.transform(train)
-        # A forest of a large table has more counts than caches hold.
-        dealt = among_alike(coded, encoder.names(), parts) if by == ENCODING["rf"] and "rf" in kinds and n > ROWS_PER_PART else coded.select("features", "label").repartition(parts)
-        encoded = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+        encoded = coded.select("features", "label").repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for kind in (k for k in kinds if ENCODING[k] == by):
+                classifier = _classifier(kind, params.get(kind, {}))
+                # The library's passes over a large table's forest exchange more counts than its rows are.
+                large = kind == "rf" and n > ROWS_PER_PART and grow.rules(classifier, len(encoder.names())) and two_classes(train)
                 begin = time.monotonic()
-                fitted = _classifier(kind, params.get(kind, {})).fit(encoded)
+                path = grown(classifier, coded, encoder.names(), parts) if large else None
+                fitted = None if large else classifier.fit(encoded)
                 seconds = time.monotonic() - begin
-                path = saved(PipelineModel([fitted]), train.sparkSession)
-                out[kind] = Trained(scorer(encoder, path, train.sparkSession), seconds)
+                out[kind] = Trained(scorer(encoder, path or saved(PipelineModel([fitted]), train.sparkSession), train.sparkSession), seconds)
         finally:
             encoded.unpersist()
     return {k: out[k] for k in kinds}
 
 
+def two_classes(rows: DataFrame) -> bool:
+    return rows.where(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).isEmpty()
+
+
+def grown(classifier: RandomForestClassifier, coded: DataFrame, names: list[str], parts: int) -> str:
+    """A large table's forest; its rows are dealt in order of likeness, so that a task's reach few of a tree's upper nodes."""
+    plain = cut_lineage(coded.select(*[F.col(c).cast("double") for c in names], "label"), "encoded").withColumn("features", F.array(*names))
+    return grow.grown(classifier, plain.select("features", "label"), among_alike(plain, names, parts), len(names))
+
+
 def saved(classifier: PipelineModel, spark: SparkSession) -> str:
     path = run_folder(spark, "fitted")
     classifier.write().save(path)
@@ -115,17 +133,16 @@ def saved(classifier: PipelineModel, spark: SparkSession) -> str:
 
 
 def scorer(encoder: Encoder, path: str, spark: SparkSession) -> Scorer:
-    """The model as it is read back: without the summary of its training, which would carry the session to every task."""
-    classifier = PipelineModel.load(path)
-    last = classifier.stages[-1]
-    forest = isinstance(last, RandomForestClassificationModel) and last.numClasses == 2
-    return Scorer(encoder, classifier, voted(spark, read_nodes(spark, path, last.uid)) if forest else None)
+    """The model whose classifier was saved at ``path``."""
+    last = saved_stage(spark, path)
+    forest = last["class"].endswith("RandomForestClassificationModel") and last["numClasses"] == 2
+    return Scorer(encoder, path, voted(spark, read_nodes(spark, path, last["uid"])) if forest else None)
 
 
 def save_model(model: Scorer, path: str) -> None:
     """The classifier, and beside it the code table with the kind of encoding."""
-    model.classifier.write().overwrite().save(f"{path}/classifier")
     e = model.encoder
+    copy_folder(e.codes.sparkSession, model.path, f"{path}/classifier")
     e.codes.withColumn("by", F.lit(e.by)).write.mode("overwrite").parquet(f"{path}/codes")
 
 
