@@ -136,7 +136,7 @@ def scorer(encoder: Encoder, path: str, spark: SparkSession) -> Scorer:
     """The model whose classifier was saved at ``path``."""
     last = saved_stage(spark, path)
     forest = last["class"].endswith("RandomForestClassificationModel") and last["numClasses"] == 2
-    return Scorer(encoder, path, voted(spark, read_nodes(spark, path, last["uid"])) if forest else None)
+    return Scorer(encoder, path, voted(spark, read_nodes(spark, path, last["uid"], last["numFeatures"])) if forest else None)
 
 
 def save_model(model: Scorer, path: str) -> None:

@@ -106,7 +106,7 @@ def test_the_library_reads_and_scores_the_model(spark, rows, monkeypatch):
     assert np.allclose(mine.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=0.05)
     area = [metrics.auc_roc(m.transform(vectors).select("label", models.delay_probability("probability").alias("p"))).first()[0] for m in (mine, theirs)]
     assert area[0] == pytest.approx(area[1], abs=0.01) and area[0] > 0.9
-    nodes = read_nodes(spark, path, est.uid)
+    nodes = read_nodes(spark, path, est.uid, WIDTH)
     x = np.array([r.features.toArray() for r in vectors.collect()])
     votes = nodes.votes(x)
     assert np.allclose(votes / votes.sum(1, keepdims=True), [r.probability.toArray() for r in mine.transform(vectors).collect()])
