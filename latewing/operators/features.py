@@ -86,13 +86,21 @@ class Encoder:
         """What an unseen category of each column gets: read once for an encoder, not for every batch."""
         return {r.column: r[self.by] for r in self.codes.where("value IS NULL").collect()}
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def coded(self, df: DataFrame) -> DataFrame:
         for c in self.categorical:
             own = self.codes.where((F.col("column") == c) & F.col("value").isNotNull()).select(
                 F.col("value").alias(f"_value_{c}"), F.col(self.by).alias(f"{c}_indexed"))
             df = df.join(own, F.col(c) == F.col(f"_value_{c}"), "left").drop(f"_value_{c}").withColumn(
                 f"{c}_indexed", F.coalesce(f"{c}_indexed", F.lit(self.unseen.get(c, 0.0))))
-        return assembler(self.numeric, self.categorical).transform(df)
+        return df
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return assembler(self.numeric, self.categorical).transform(self.coded(df))
+
+    def arrays(self, df: DataFrame) -> DataFrame:
+        """The rows of ``transform`` with the vector as an array of doubles, which stays in generated code on its way to batches of rows."""
+        whole = self.coded(df).na.drop("any", subset=self.names())
+        return whole.withColumn("features", F.array(*[F.col(c).cast("double") for c in self.names()]))
 
 
 def hash_index(df: DataFrame, cols: Sequence[str], n: int = 10_000) -> DataFrame:

@@ -6,7 +6,6 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -97,7 +96,7 @@ def read_nodes(spark: SparkSession, path: str, uid: str, width: int) -> Nodes:
 
 
 def voted(spark: SparkSession, nodes: Nodes):
-    """A function of a feature vector: struct of the two classes' votes. The arrays reach an executor once, not with every task.
+    """A function of an array of features: the two classes' votes. The arrays reach an executor once, not with every task.
 
     Called not deterministic, so that filters on its result are not pushed below it, which would run all trees again for each condition.
     """
@@ -112,8 +111,7 @@ def voted(spark: SparkSession, nodes: Nodes):
         out = sent.value.votes(values.reshape(n, -1)) if n else np.zeros((0, 2))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32)), pa.array(out.ravel()))
 
-    once = votes.asNondeterministic()
-    return lambda vector: once(vector_to_array(vector))
+    return votes.asNondeterministic()
 
 
 def decided(votes: Column) -> tuple[Column, Column]:

@@ -157,7 +157,7 @@ def predict(model: Scorer, df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c != "prediction"]
     if model.votes:
         prediction, p = decided(F.col("_votes"))
-        return model.encoder.transform(df).select(*keep, model.votes("features").alias("_votes")).select(
+        return model.encoder.arrays(df).select(*keep, model.votes("features").alias("_votes")).select(
             *keep, prediction.alias("prediction"), p.alias("p"))
     out = model.transform(df)
     return out.select(*keep, F.col("prediction").cast("int").alias("prediction"),

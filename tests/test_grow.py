@@ -150,3 +150,22 @@ def test_a_large_table_is_not_trained_by_the_librarys_passes(spark, monkeypatch)
     models.train_models(rows, ("rf",), rf={"maxDepth": 2, "numTrees": 2, "impurity": "entropy"})
     models.train_models(rows.withColumn("label", F.col("id") % 3), ("rf",), rf={"maxDepth": 2, "numTrees": 2})
     assert len(asked) == 2 and features.fit_encoder(rows, "rate", "label").names()
+
+
+def test_scoring_gets_the_vectors_rows_as_arrays(spark):
+    """Arrays hold what the vectors hold, rows with a missing number are skipped alike, and rows go to the trees without passing a function of vectors."""
+    from pyspark.ml.functions import vector_to_array
+
+    from latewing.operators import features
+
+    rows = spark.range(400).select(
+        "id", *[F.when((F.col("id") + i) % 50 > 0, F.col("id") * i % 37).cast("double" if i % 2 else "int").alias(c) for i, c in enumerate(NUMERIC_FEATURES)],
+        *[F.when(F.col("id") % 7 > 0, F.concat(F.lit("c"), F.col("id") % 5)).alias(c) for c in CATEGORICAL_FEATURES], (F.col("id") % 2).cast("double").alias("label"))
+    rows = rows.withColumn("day_of_month", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("day_of_month")))
+    train = rows.na.drop()
+    enc = features.fit_encoder(train, "rate", "label")
+    want = enc.transform(rows).withColumn("features", vector_to_array("features"))
+    got = enc.arrays(rows)
+    assert 0 < got.count() < 400 and got.select(want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(want.columns)).isEmpty()
+    model = models.train_models(train, ("rf",), rf={"maxDepth": 2, "numTrees": 2})["rf"].model
+    assert "UDF" not in models.predict(model, rows)._jdf.queryExecution().optimizedPlan().toString().replace("pythonUDF", "")
